@@ -80,3 +80,52 @@ def exact_medians(df: DataFrame, keys: list[str], cols: list[str], **kw) -> Data
         return reduce(lambda a, b: a.join(F.broadcast(b), on="_g"), parts).drop("_g")
     parts = [exact_median(df, keys, c, **kw) for c in cols]
     return reduce(lambda a, b: a.join(b, on=keys, how="full_outer"), parts)
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
+                chunks: int = 64, accuracy: int = 10000) -> DataFrame:
+    """Add ``<c>_before`` = Σ c over rows of the same group with a smaller ``order_col``.
+
+    ``df`` should already be aggregated to one row per (group, order value).
+    Same chunking as ``exact_quantiles``: a window over ≤ ``chunks`` rows per
+    group plus windows over (group, chunk) slices — never a window over a
+    whole group or a global window on one task.
+    """
+    user_keys = list(keys)
+    if not user_keys:
+        df = df.withColumn("_g", F.lit(0))
+    keys = user_keys or ["_g"]
+    cut_probs = [i / chunks for i in range(1, chunks)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, cut_probs, accuracy).alias("_cuts"))
+    tagged = df.join(cuts if user_keys else F.broadcast(cuts), on=keys, how="inner")
+    tagged = tagged.withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x < F.col(order_col)))).drop("_cuts")
+    per_chunk = tagged.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_cs_{c}") for c in sum_cols])
+    wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select(*keys, "_chunk", *[
+        F.coalesce(F.sum(f"_cs_{c}").over(wk), F.lit(0)).alias(f"_cb_{c}") for c in sum_cols])
+    wc = Window.partitionBy(*keys, "_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.join(before, on=[*keys, "_chunk"], how="inner")
+    out = out.select(*[F.col(c) for c in tagged.columns if c != "_chunk"], *[
+        (F.col(f"_cb_{c}") + F.coalesce(F.sum(c).over(wc), F.lit(0))).alias(f"{c}_before") for c in sum_cols])
+    return out if user_keys else out.drop("_g")
+
+
+def hash_rank(df: DataFrame, strata: list[str], key: str, seed: int, rank_col: str = "_rank",
+              n_col: str = "_n", prefix_hex: int = 3) -> DataFrame:
+    """Rank rows inside each stratum by ``md5(key|seed)`` (1-based) and attach the stratum size.
+
+    The md5 prefix splits every stratum into 16**prefix_hex slices, so even a
+    stratum with a third of all rows is ranked by many tasks in parallel.
+    The order equals ``ORDER BY md5(key || '|' || seed), key`` in SQL.
+    """
+    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    d = df.withColumn("_h", h).withColumn("_chunk", F.conv(F.substring("_h", 1, prefix_hex), 16, 10).cast("int"))
+    per = d.groupBy(*strata, "_chunk").agg(F.count(F.lit(1)).alias("_cc"))
+    wk = Window.partitionBy(*strata)
+    before = per.select(*strata, "_chunk",
+                        F.coalesce(F.sum("_cc").over(wk.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
+                                   F.lit(0)).alias("_before"),
+                        F.sum("_cc").over(wk).alias(n_col))
+    wc = Window.partitionBy(*strata, "_chunk").orderBy("_h", key)
+    out = d.join(before, on=[*strata, "_chunk"], how="inner")
+    return out.withColumn(rank_col, F.col("_before") + F.row_number().over(wc)).drop("_h", "_chunk", "_before")

@@ -6,6 +6,9 @@ import importlib
 
 CATALOG_MODULES = [
     "regionscore.plans.catalog",
+    "regionscore.plans.catalog_profile",
+    "regionscore.plans.catalog_model",
+    "regionscore.plans.catalog_text",
 ]
 
 
