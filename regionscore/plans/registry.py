@@ -9,6 +9,7 @@ CATALOG_MODULES = [
     "regionscore.plans.catalog_profile",
     "regionscore.plans.catalog_model",
     "regionscore.plans.catalog_text",
+    "regionscore.plans.catalog_rank",
 ]
 
 
