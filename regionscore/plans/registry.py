@@ -10,6 +10,8 @@ CATALOG_MODULES = [
     "regionscore.plans.catalog_model",
     "regionscore.plans.catalog_text",
     "regionscore.plans.catalog_rank",
+    "regionscore.plans.catalog_stream",
+    "regionscore.plans.catalog_spec",
 ]
 
 
