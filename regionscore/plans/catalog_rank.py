@@ -163,3 +163,60 @@ def attribution_long(spark, d):
 @query("model_importance")
 def model_importance(spark, d):
     return XP.importance(attribution_long(spark, d))
+
+
+# ---------------------------------------------------------------------------------------
+# Result-table helpers on fixed inputs (J-8, U-5, T-2, M-16, M-20, M-21)
+
+@query("semi_keys", """
+SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'
+  AND o_orderstatus = 'P')""")
+def semi_keys(spark, d):
+    T = Tables(spark, d)
+    keys = T.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")) \
+        .select(F.col("o_custkey").alias("c_custkey"))
+    return RK.semi_by_keys(T.customer.select("c_custkey", "c_name"), keys, "c_custkey")
+
+
+@query("dim_values", """
+SELECT DISTINCT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY r_name, n_name""")
+def dim_values(spark, d):
+    T = Tables(spark, d)
+    j = T.nation.join(T.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return RK.sorted_distinct(j, ["r_name", "n_name"])
+
+
+@query("bottom_scores", f"""WITH {_FIXED_SQL}
+SELECT c_custkey, attractiveness FROM fx ORDER BY attractiveness, c_custkey LIMIT 15""")
+def bottom_scores(spark, d):
+    return RK.top_k(_fixed_scores(spark, d), "attractiveness", "c_custkey", 15, descending=False) \
+        .select("c_custkey", "attractiveness")
+
+
+@query("residuals", f"""WITH {_FIXED_SQL}
+SELECT c_custkey, round(ln(1 + expected_scale) - ln(1 + y), 6) AS residual_log, CAST(y > 0 AS INTEGER) AS is_positive FROM fx""")
+def residuals(spark, d):
+    r = XP.residuals(_fixed_scores(spark, d), "y", "expected_scale")
+    return r.select("c_custkey", _r("residual_log").alias("residual_log"), "is_positive")
+
+
+@query("dependence", f"""WITH {_LONG_SQL}
+SELECT feature, value, round(phi, 6) AS phi, stage FROM lg WHERE feature IN ('F')""")
+def dependence(spark, d):
+    out = XP.dependence(_fixed_long(spark, d), ["F"])
+    return out.select("feature", "value", _r("phi").alias("phi"), "stage")
+
+
+@query("model_comparison", f"""WITH {_FIXED_SQL},
+m AS (SELECT 'mae_log' AS metric, avg(abs(ln(1 + expected_scale) - ln(1 + y))) AS a,
+             avg(abs(ln(1 + p_presence) - ln(1 + y))) AS b FROM fx
+      UNION ALL SELECT 'rmse_log', sqrt(avg(pow(ln(1 + expected_scale) - ln(1 + y), 2))),
+             sqrt(avg(pow(ln(1 + p_presence) - ln(1 + y), 2))) FROM fx)
+SELECT metric, round(a, 6) AS scale_rule, round(b, 6) AS presence_rule FROM m""")
+def model_comparison(spark, d):
+    from regionscore.operators import metrics as M
+    s = _fixed_scores(spark, d)
+    a = M.regression_log_errors(s, "y", "expected_scale").select("mae_log", "rmse_log")
+    b = M.regression_log_errors(s, "y", "p_presence").select("mae_log", "rmse_log")
+    t = M.comparison_table({"scale_rule": a, "presence_rule": b})
+    return t.select("metric", _r("scale_rule").alias("scale_rule"), _r("presence_rule").alias("presence_rule"))
