@@ -35,21 +35,25 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def place_name_pattern(suffix: str = DEFAULT_SUFFIX) -> str:
-    """Regex (Java and RE2 compatible) whose group 1 is a full place name.
+def place_name_pattern(suffix: str = DEFAULT_SUFFIX, prefilter: bool = False) -> str:
+    """Regex whose group 1 is a full place name.
 
     ``suffix`` is a regex fragment: ``"County"`` for the county extractor,
     or a capitalised-word class to find any run of capitalised words.
+    ``prefilter`` adds a ``(?=[A-Z])`` lookahead (Java only; every match starts
+    with a capital) so the engine rejects most positions at once; the plain
+    form is also valid RE2.
     """
     prefix = "(?:(?:" + "|".join(NAME_PREFIXES) + r")\s+)?"
     particles = r"(?:\s(?:" + "|".join(NAME_PARTICLES) + "))"
     joined = rf"(?:[-'\s]{NAME_TOKEN})"
-    return rf"\b({prefix}{NAME_TOKEN}(?:{joined}|{particles})*\s{suffix})\b"
+    look = "(?=[A-Z])" if prefilter else ""
+    return rf"\b{look}({prefix}{NAME_TOKEN}(?:{joined}|{particles})*\s{suffix})\b"
 
 
 def place_names(text, suffix: str = DEFAULT_SUFFIX) -> Column:
     """Distinct, trimmed place names found in ``text`` (array<string>)."""
-    found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(place_name_pattern(suffix)), 1)
+    found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(place_name_pattern(suffix, True)), 1)
     return F.array_distinct(F.transform(found, lambda s: F.trim(s)))
 
 

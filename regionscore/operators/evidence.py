@@ -148,7 +148,7 @@ def rule_verdicts(df: DataFrame, text: str, keep: list[str], policy_terms: list[
     t = F.coalesce(F.col(text), F.lit(""))
     sup, opp = _count_terms(t, support_terms, ignore_case), _count_terms(t, oppose_terms, ignore_case)
     states = "|".join(sorted(set(K.STATE_ABBR_TO_FULL.values()), key=len, reverse=True))
-    state = F.regexp_extract(t, "\\b(" + states.replace(".", "\\.") + ")\\b", 1)
+    state = F.regexp_extract(t, "\\b(?=[A-Z])(" + states.replace(".", "\\.") + ")\\b", 1)
     n_pol = _count_terms(t, policy_terms, ignore_case)
     return df.select(
         *keep,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions.scalar import bias_corrected_skew
-from regionscore.operators.quantile import exact_quantiles
+from regionscore.operators.quantile import exact_quantiles, quantiles_long
 
 
 def _long(wide: DataFrame, names: list[str], value: str) -> DataFrame:
@@ -68,11 +68,7 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").cast("double").alias(s) for s in stats])
         for c in cols])).alias("r")).select("r.*")
-    med = None
-    for c in cols:
-        m = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], c, {"median": 0.5}).select(
-            F.lit(c).alias("column"), "median")
-        med = m if med is None else med.unionByName(m)
+    med = quantiles_long(df.withColumn("_g", F.lit(0)), ["_g"], cols, {"median": 0.5}).drop("_g")
     return rows.join(med, "column", "left").withColumn("count", F.col("count").cast("long"))
 
 

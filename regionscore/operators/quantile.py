@@ -72,14 +72,22 @@ def exact_median(df: DataFrame, keys: list[str], col: str, name: str | None = No
     return exact_quantiles(df, keys, col, {name or col: 0.5}, **kw)
 
 
+def quantiles_long(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], **kw) -> DataFrame:
+    """Quantiles of several columns in ONE pass: unpivot to (keys, column, value) and
+    group by (keys, column); rows (keys..., column, <prob names>)."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_val")) for c in cols])
+    long = df.select(*keys, F.explode(cells).alias("_e")).select(*keys, "_e.column", "_e._val")
+    return exact_quantiles(long, [*keys, "column"], "_val", probs, **kw)
+
+
 def exact_medians(df: DataFrame, keys: list[str], cols: list[str], **kw) -> DataFrame:
-    """Median of several columns per group (one pass per column, joined on the keys)."""
+    """Median of several columns per group: one quantile pass, pivoted back to one column each."""
     if not keys:
-        g = df.withColumn("_g", F.lit(0))
-        parts = [exact_median(g, ["_g"], c, **kw) for c in cols]
-        return reduce(lambda a, b: a.join(F.broadcast(b), on="_g"), parts).drop("_g")
-    parts = [exact_median(df, keys, c, **kw) for c in cols]
-    return reduce(lambda a, b: a.join(b, on=keys, how="full_outer"), parts)
+        df = df.withColumn("_g", F.lit(0))
+    k = list(keys) or ["_g"]
+    long = quantiles_long(df, k, cols, {"_median": 0.5}, **kw)
+    wide = long.groupBy(*k).pivot("column", list(cols)).agg(F.first("_median"))
+    return wide if keys else wide.drop("_g")
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
