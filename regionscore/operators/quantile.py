@@ -14,6 +14,12 @@ one task; a group holding a third of the rows would sink that task.  Here:
 
 The result equals pandas ``quantile`` / Spark ``percentile`` (linear
 interpolation), whatever the cut points were.
+
+The one join keyed by the group alone (value counts × per-group cut points)
+has one small row per group on its right side: AQE broadcasts it after its
+runtime size check, and otherwise its skew-join rule splits a hot group's
+partition of the big side (the session enables both).  Every later join and
+window is keyed by (group, chunk).
 """
 
 from __future__ import annotations
