@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from regionscore.llm.common import documents, shared_table
+from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mixed_documents
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take globally repeated runs of lines out of the texts; every document stays."""
+    return dedup_lines(docs).select("row.*")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources come near their target weights."""
     return mixed_documents(docs)
 
 
 STAGES = [
+    ("line dedup", line_dedup),
     ("mixing sources to target weights", mix_sources),
 ]
 

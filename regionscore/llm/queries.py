@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionscore.llm.common import documents
+from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
 
 QUERIES: dict = {}
@@ -16,6 +17,13 @@ def query(fn):
     return fn
 
 
+@query
+def op8_line_dedup(spark, sf_dir):
+    """Each document with the lines that the removal of repeated chunks took, and its new text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    return dedup_lines(docs).select("row.doc_id", "row.text", "row.n_chars", "lines_removed")
+
+
 @query
 def op10_mix_sources(spark, sf_dir):
     """Mix all documents: 150 % of all words, sources weighted 3, 1, 2 in turn, two epochs at most."""
