@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regionscore.llm.common import documents
 from regionscore.llm.line_dedup import dedup_lines
+from regionscore.llm import merkle
 from regionscore.llm.mixing import mix
 
 QUERIES: dict = {}
@@ -17,6 +18,54 @@ def query(fn):
     return fn
 
 
+@query
+def op3_merkle(spark, sf_dir):
+    """Merkle roots of every text and its edited text, and how like they and the next text are."""
+    docs = merkle.with_successor(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = docs.withColumn("edited", merkle.edited_text("text", "next_text"))
+    docs = merkle.with_tree(docs, "edited", "edited_").withColumn("diff", merkle.differing_paragraphs("own_", "edited_"))
+    return docs.select(
+        "row.doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.col("own_root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
+        merkle.likeness("own_", "edited_").alias("near_edited"), merkle.likeness("own_", "next_").alias("near_next"),
+        F.size("diff").cast("long").alias("n_diff_paragraphs"), F.get("diff", F.lit(0)).cast("long").alias("first_diff_paragraph"))
+
+
+ORACLE["op3_merkle"] = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) AS k,
+         count(*) OVER () AS n FROM documents),
+p AS (SELECT a.doc_id, a.k, a.text, b.text AS nxt, CAST(length(a.text) AS BIGINT) AS n_chars
+      FROM o a JOIN o b ON b.k = a.k % a.n + 1),
+e AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(nxt, 1, n_chars // 3) AS edited FROM p),
+t AS (SELECT k, 'own' AS kind, text AS t FROM e UNION ALL SELECT k, 'edited', edited FROM e UNION ALL SELECT k, 'next', nxt FROM e),
+s AS (SELECT k, kind, unnest(string_split(t, chr(10) || chr(10))) AS s, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS si FROM t),
+q AS (SELECT k, kind, si, unnest(string_split(s, chr(10))) AS q, generate_subscripts(string_split(s, chr(10)), 1) AS qi FROM s),
+l AS (SELECT k, kind, si, qi, list_transform(
+        regexp_extract_all(q, '[ 	-]*(?:[^ 	-]*[^ 	-.!?][ 	-]+){0,3}[^ 	-]+[ 	-]*|[ 	-]+'),
+        lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS l FROM q),
+h AS (SELECT k, kind, si, qi, l, CAST('0x' || substr(md5('p' || len(l) || ':' || list_aggregate(l, 'string_agg', ',')), 1, 15) AS BIGINT) AS h0,
+             CAST('0x' || substr(md5('p0:'), 1, 15) AS BIGINT) AS h1, len(l) AS n FROM l),
+hs AS (SELECT k, kind, si, list(CASE WHEN n = 0 THEN h1 ELSE h0 END ORDER BY qi) AS ps FROM h GROUP BY k, kind, si),
+r AS (SELECT k, kind, 'd' || count(*) || ':' || string_agg(CAST(CAST('0x' || substr(md5('s' || len(ps) || ':' || list_aggregate(ps, 'string_agg', ',')), 1, 15) AS BIGINT) AS VARCHAR), ',' ORDER BY si) AS r,
+             flatten(list(ps ORDER BY si)) AS ps FROM hs GROUP BY k, kind),
+d AS (SELECT k, kind, list_distinct(flatten(list(l))) AS ls FROM h GROUP BY k, kind),
+x AS (SELECT r.k, r.kind, sha256(r.r) AS root, r.ps, d.ls FROM r JOIN d ON r.k = d.k AND r.kind = d.kind),
+c AS (SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.root AS fingerprint, b.root AS edited_fingerprint,
+             a.ls AS al, b.ls AS bl, c.ls AS cl, c.root AS nr,
+             list_filter(range(greatest(len(a.ps), len(b.ps))), lambda i: a.ps[i + 1] IS DISTINCT FROM b.ps[i + 1]) AS diff
+      FROM e JOIN x a ON a.k = e.k AND a.kind = 'own' JOIN x b ON b.k = e.k AND b.kind = 'edited' JOIN x c ON c.k = e.k AND c.kind = 'next')
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN len(al) + len(bl) = 0 THEN 0.0::DOUBLE
+       ELSE least(2.0::DOUBLE * len(list_intersect(al, bl)) / (len(al) + len(bl)), 0.999999::DOUBLE) END AS near_edited,
+  CASE WHEN fingerprint = nr THEN 1.0::DOUBLE WHEN len(al) + len(cl) = 0 THEN 0.0::DOUBLE
+       ELSE least(2.0::DOUBLE * len(list_intersect(al, cl)) / (len(al) + len(cl)), 0.999999::DOUBLE) END AS near_next,
+  CAST(len(diff) AS BIGINT) AS n_diff_paragraphs, CAST(diff[1] AS BIGINT) AS first_diff_paragraph
+FROM c
+"""
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Each document with the lines that the removal of repeated chunks took, and its new text."""
