@@ -8,10 +8,13 @@ read again, so that a lost executor costs one stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import documents, shared_table
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mixed_documents
+from regionscore.llm.queries import tokenizer_path
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +27,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit) of every document, with its other columns."""
+    out = encode_documents(docs, tokenizer_path("word_bpe_49k.json"), decoded=False)
+    return out.select("row.*", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
 STAGES = [
     ("line dedup", line_dedup),
     ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", bpe),
 ]
 
 #: The classifier is a trained model, which SQL cannot express; tests hold the stages against brute force.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regionscore.llm import merkle
+from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import documents
 from regionscore.llm.line_dedup import dedup_lines
-from regionscore.llm import merkle
 from regionscore.llm.mixing import mix
 
 QUERIES: dict = {}
@@ -18,6 +19,22 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies, on the driver and on every executor."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    """Every text encoded by the merge automaton and decoded again."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.select("row.doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op3_merkle(spark, sf_dir):
     """Merkle roots of every text and its edited text, and how like they and the next text are."""
@@ -43,7 +60,14 @@ t AS (SELECT k, 'own' AS kind, text AS t FROM e UNION ALL SELECT k, 'edited', ed
 s AS (SELECT k, kind, unnest(string_split(t, chr(10) || chr(10))) AS s, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS si FROM t),
 q AS (SELECT k, kind, si, unnest(string_split(s, chr(10))) AS q, generate_subscripts(string_split(s, chr(10)), 1) AS qi FROM s),
 l AS (SELECT k, kind, si, qi, list_transform(
-        regexp_extract_all(q, '[ 	-]*(?:[^ 	-]*[^ 	-.!?][ 	-]+){0,3}[^ 	-]+[ 	-]*|[ 	-]+'),
+        regexp_extract_all(q, '[ 	-
+]*(?:[^ 	-
+]*[^ 	-
+.!?][ 	-
+]+){0,3}[^ 	-
+]+[ 	-
+]*|[ 	-
+]+'),
         lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT)) AS l FROM q),
 h AS (SELECT k, kind, si, qi, l, CAST('0x' || substr(md5('p' || len(l) || ':' || list_aggregate(l, 'string_agg', ',')), 1, 15) AS BIGINT) AS h0,
              CAST('0x' || substr(md5('p0:'), 1, 15) AS BIGINT) AS h1, len(l) AS n FROM l),
