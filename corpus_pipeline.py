@@ -15,6 +15,7 @@ from regionscore.llm.common import documents, shared_table
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mixed_documents
 from regionscore.llm.queries import tokenizer_path
+from regionscore.llm.simhash import one_of_each
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("row.*")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the least id."""
+    return one_of_each(docs, shingle=3, radius=3)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources come near their target weights."""
     return mixed_documents(docs)
@@ -35,6 +41,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding and decoding", bpe),
 ]

@@ -9,6 +9,7 @@ from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import documents
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
+from regionscore.llm.simhash import fingerprint_hex, near_duplicates
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +91,13 @@ FROM c
 """
 
 
+@query
+def op4_simhash(spark, sf_dir):
+    """SimHash of three-word shingles, and components of fingerprints at three or fewer differing bits."""
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=3, radius=3)
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Each document with the lines that the removal of repeated chunks took, and its new text."""
