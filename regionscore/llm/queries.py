@@ -9,7 +9,10 @@ from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import documents
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
+from regionscore.llm.quality_rules import judge
+from regionscore.llm.secret_scan import find_secrets
 from regionscore.llm.simhash import fingerprint_hex, near_duplicates
+from regionscore.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -98,6 +101,15 @@ def op4_simhash(spark, sf_dir):
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_quality_rules(spark, sf_dir):
+    """Word and line statistics of every text, and the verdict of the rules with certified cutoffs."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return judge(docs, labels).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                      "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Each document with the lines that the removal of repeated chunks took, and its new text."""
@@ -105,6 +117,20 @@ def op8_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("row.doc_id", "row.text", "row.n_chars", "lines_removed")
 
 
+@query
+def op9_secrets(spark, sf_dir):
+    """Secrets in every text, by patterns and by characters a token."""
+    import public_tokenizers
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"),
+                         public_tokenizers.PATTERN)
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                               s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "token")
+    return found.select("row.doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+                        F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 @query
 def op10_mix_sources(spark, sf_dir):
     """Mix all documents: 150 % of all words, sources weighted 3, 1, 2 in turn, two epochs at most."""

@@ -129,6 +129,8 @@ def bucket_links(groups: DataFrame, radius: int) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int, bucket_limit: int = 256) -> DataFrame:
     """nodes: fp, distinct. Links (hi, lo), hi > lo, that connect all pairs within ``radius``, as a table."""
+    if bucket_limit < 100:
+        raise ValueError("bucket_limit below 100 would need more levels than there are open bits")
     agreed = [0]  # by the path of tables so far: the bits that a bucket's members share
     level = nodes.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"), "fp")
     found = None
