@@ -14,10 +14,16 @@ from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import documents, shared_table
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mixed_documents
-from regionscore.llm.queries import tokenizer_path
+from regionscore.llm.quality_model import score
+from regionscore.llm.queries import quality_model, tokenizer_path
 from regionscore.llm.simhash import one_of_each
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below a half go."""
+    return score(docs, quality_model(spark, sf_dir), keep_text=True).filter("score >= 0.5").select("row.*")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take globally repeated runs of lines out of the texts; every document stays."""
     return dedup_lines(docs).select("row.*")
@@ -40,6 +46,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("line dedup", line_dedup),
     ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mix_sources),

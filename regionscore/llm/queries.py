@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from regionscore.llm import merkle
 from regionscore.llm.bpe import encode_documents
-from regionscore.llm.common import documents
+from regionscore.llm.common import crc_mod, documents
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
+from regionscore.llm.quality_model import score, train
 from regionscore.llm.quality_rules import judge
 from regionscore.llm.secret_scan import find_secrets
 from regionscore.llm.simhash import fingerprint_hex, near_duplicates
@@ -29,6 +30,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_model(spark, sf_dir):
+    """The classifier of labels.quality, from the rows whose crc32(doc_id) mod 3 is not 1."""
+    labels = read_table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 3) != 1)
+    labels = labels.select("doc_id", F.col("quality").alias("label"))
+    return train(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
+@query
+def op1_quality(spark, sf_dir):
+    """Quality score of every text by gated attention over its passages."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = score(docs, quality_model(spark, sf_dir))
+    return found.select("row.doc_id", (crc_mod(F.col("row.doc_id"), 3) == 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op2_bpe(spark, sf_dir):
     """Every text encoded by the merge automaton and decoded again."""
