@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionscore.llm import merkle
+from regionscore.llm import merkle, token_count
 from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import crc_mod, documents
 from regionscore.llm.line_dedup import dedup_lines
@@ -127,6 +127,19 @@ def op6_quality_rules(spark, sf_dir):
                                       "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules"))
 
 
+#: The separator: an id that the vocabulary leaves free.
+END_OF_DOCUMENT = 50256
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """Tokens of every document, by a scan of flat token files of all texts for separators."""
+    import public_tokenizers
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    blocks = token_count.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    return token_count.token_counts(blocks, END_OF_DOCUMENT, "doc_ids").select("doc_id", "n_tokens")
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     """Each document with the lines that the removal of repeated chunks took, and its new text."""
