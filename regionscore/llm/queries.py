@@ -9,6 +9,7 @@ from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import crc_mod, documents
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
+from regionscore.llm.ngram_lm import score_texts
 from regionscore.llm.quality_model import score, train
 from regionscore.llm.quality_rules import judge
 from regionscore.llm.secret_scan import find_secrets
@@ -118,6 +119,13 @@ def op4_simhash(spark, sf_dir):
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_ngram_lm(spark, sf_dir):
+    """Log10 probability of every text under a model of the texts whose crc32(doc_id) mod 10 is not 0."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return score_texts(docs, crc_mod(F.col("doc_id"), 10) == 0)
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     """Word and line statistics of every text, and the verdict of the rules with certified cutoffs."""
