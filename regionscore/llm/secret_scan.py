@@ -34,7 +34,7 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
-PLAIN = re.compile(r"[A-Z]?[a-z_=-]+|[A-Z_=-]+|[0-9_=/+-]+")
+PLAIN = re.compile(r"[A-Z]?[a-z_=-]+|[A-Z_=-]+|[0-9TZ_=/+-]+")
 
 _LOADED: dict[str, tiktoken.Encoding] = {}
 
