@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionscore.operators.quantile import exact_medians
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 _METHODS = {
     "mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
-    "median": F.median, "std": F.stddev, "count": F.count,
+    "median": exact_medians, "std": F.stddev, "count": F.count,
 }
 
 
@@ -26,20 +28,20 @@ def numeric_columns(df: DataFrame, exclude: list[str] | tuple = ()) -> list[str]
 
 
 def agg_by_key(df: DataFrame, keys: list[str], method: str = "median",
-               cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+               cols: list[str] | None = None) -> DataFrame:
     """One aggregate per value column, chosen by ``method`` (median default).
 
-    Null keys are dropped first (pandas ``groupby`` semantics). ``approx``
-    swaps exact medians for ``percentile_approx`` on very large groups.
+    Null keys are dropped first (pandas ``groupby`` semantics). Medians are
+    exact and never hold a group in one task (``exact_medians``); a group
+    without values has none, and keeps its row.
     """
     cols = cols or numeric_columns(df, keys)
-    if method == "median" and approx:
-        fn = lambda c: F.percentile_approx(c, 0.5, 10000)
-    elif method not in _METHODS:
+    if method not in _METHODS:
         raise ValueError(f"unknown aggregation {method!r}")
-    else:
-        fn = _METHODS[method]
     keep = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if method == "median":
+        return df.where(keep).select(*keys).distinct().join(exact_medians(df, keys, cols), keys, "left")
+    fn = _METHODS[method]
     return df.where(keep).groupBy(*keys).agg(*[fn(c).alias(c) for c in cols])
 
 

@@ -24,13 +24,16 @@ def tweedie_deviance(df: DataFrame, y: str, mu: str, p: float) -> DataFrame:
     return df.agg(F.avg(dev).alias("deviance"))
 
 
+def log_errors(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """MAE and RMSE of log1p values."""
+    e = F.log1p(F.col(yhat)) - F.log1p(F.col(y))
+    return df.agg(F.avg(F.abs(e)).alias("mae_log"), F.sqrt(F.avg(e * e)).alias("rmse_log"))
+
+
 def regression_log_errors(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """MAE and RMSE of log1p values, plus the raw median absolute error."""
-    e = F.log1p(F.col(yhat)) - F.log1p(F.col(y))
-    base = df.agg(F.avg(F.abs(e)).alias("mae_log"), F.sqrt(F.avg(e * e)).alias("rmse_log"))
-    med = exact_quantiles(df.withColumn("_ae", F.abs(F.col(yhat) - F.col(y))).withColumn("_g", F.lit(0)),
-                          ["_g"], "_ae", {"median_ae": 0.5})
-    return base.withColumn("_g", F.lit(0)).join(F.broadcast(med), "_g").drop("_g")
+    med = exact_quantiles(df.withColumn("_ae", F.abs(F.col(yhat) - F.col(y))), [], "_ae", {"median_ae": 0.5})
+    return log_errors(df, y, yhat).crossJoin(F.broadcast(med))
 
 
 def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -11,26 +11,29 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionscore.functions.scalar import bias_corrected_skew
+from regionscore.functions.scalar import bias_corrected_skew, nan_to_null
 from regionscore.operators.quantile import exact_quantiles, quantiles_long
 
 
+def _value(df: DataFrame, c: str) -> Column:
+    """The column, NaN as null."""
+    return nan_to_null(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)
+
+
+def _clean(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: _value(df, c) for c in cols})
+
+
 def _long(wide: DataFrame, names: list[str], value: str) -> DataFrame:
     return wide.unpivot([], names, "column", value)
 
 
 def profile_missing(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n_missing, pct_missing) — nulls and NaN count as missing."""
-    def miss(c):
-        dt = dict(df.dtypes)[c]
-        m = F.col(c).isNull()
-        if dt in ("double", "float"):
-            m = m | F.isnan(c)
-        return F.sum(m.cast("long"))
-    wide = df.agg(*[miss(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
+    wide = df.agg(*[F.sum(_value(df, c).isNull().cast("long")).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
     long = wide.unpivot(["_n"], cols, "column", "n_missing")
     return long.select("column", "n_missing",
                        (F.col("n_missing") * 100.0 / F.col("_n")).alias("pct_missing"))
@@ -38,12 +41,12 @@ def profile_missing(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def missing_matrix(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """0/1 per cell: 1 when missing (A-27)."""
-    return df.select(*keys, *[F.col(c).isNull().cast("int").alias(c) for c in cols])
+    return df.select(*keys, *[_value(df, c).isNull().cast("int").alias(c) for c in cols])
 
 
 def profile_skew(df: DataFrame, cols: list[str], threshold: float = 1.0) -> DataFrame:
     """(column, skew, abs_skew, is_skewed): bias-corrected sample skewness (pandas ``skew``)."""
-    aggs = []
+    df, aggs = _clean(df, cols), []
     for c in cols:
         aggs += [F.skewness(c).alias(f"s__{c}"), F.count(c).alias(f"n__{c}")]
     wide = df.agg(*aggs)
@@ -55,12 +58,13 @@ def profile_skew(df: DataFrame, cols: list[str], threshold: float = 1.0) -> Data
 
 def profile_std(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, std) sample standard deviation."""
-    wide = df.agg(*[F.stddev(c).alias(c) for c in cols])
+    wide = _clean(df, cols).agg(*[F.stddev(c).alias(c) for c in cols])
     return _long(wide, cols, "std")
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, count, mean, std, min, median, max): one pass + exact medians."""
+    df = _clean(df, cols)
     wide = df.agg(*[x for c in cols for x in (
         F.count(c).alias(f"count__{c}"), F.avg(c).alias(f"mean__{c}"), F.stddev(c).alias(f"std__{c}"),
         F.min(F.col(c).cast("double")).alias(f"min__{c}"), F.max(F.col(c).cast("double")).alias(f"max__{c}"))])
@@ -68,7 +72,7 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{s}__{c}").cast("double").alias(s) for s in stats])
         for c in cols])).alias("r")).select("r.*")
-    med = quantiles_long(df.withColumn("_g", F.lit(0)), ["_g"], cols, {"median": 0.5}).drop("_g")
+    med = quantiles_long(df, [], cols, {"median": 0.5})
     return rows.join(med, "column", "left").withColumn("count", F.col("count").cast("long"))
 
 
@@ -78,7 +82,7 @@ def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
     All k(k-1)/2 correlations run in one aggregate; nulls are skipped per pair.
     """
     pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    wide = _clean(df, cols).agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
@@ -93,13 +97,14 @@ def corr_top_pairs(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
 def corr_target(df: DataFrame, cols: list[str], target: str, log1p: bool = True) -> DataFrame:
     """(column, corr) with the (log1p-transformed) target, sorted by |r|."""
     y = F.log1p(F.col(target)) if log1p else F.col(target)
-    d = df.withColumn("_y", y)
+    d = _clean(_clean(df, cols).withColumn("_y", y.cast("double")), ["_y"])
     wide = d.agg(*[F.corr(c, "_y").alias(c) for c in cols])
-    return _long(wide, cols, "corr")
+    return _long(wide, cols, "corr").orderBy(F.abs("corr").desc_nulls_last(), "column")
 
 
 def describe_group(df: DataFrame, group: str, y: str) -> DataFrame:
     """Grouped describe: count, mean, std, min, q25, median, q75, max."""
+    df = _clean(df, [y])
     base = df.groupBy(group).agg(F.count(y).alias("count"), F.avg(y).alias("mean"), F.stddev(y).alias("std"),
                                  F.min(F.col(y).cast("double")).alias("min"),
                                  F.max(F.col(y).cast("double")).alias("max"))
@@ -131,17 +136,19 @@ def hist_cut(df: DataFrame, col: str, edges: list[float], labels: list[str] | No
 def hist_width(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width histogram over [min, max]; the last bin is closed (numpy rule).
 
-    Returns (bin, lo, hi, n) for non-empty bins; min/max come from a one-row
-    aggregate that is broadcast back.
+    Returns (bin, lo, hi, n) for every bin, empty ones with n = 0; min/max come
+    from a one-row aggregate that is broadcast back.
     """
     v = F.col(col).cast("double")
-    mm = df.agg(F.min(v).alias("_min"), F.max(v).alias("_max")).withColumn("_k", F.lit(0))
-    d = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).withColumn("_k", F.lit(0))
-    d = d.join(F.broadcast(mm), "_k")
+    d = df.select(nan_to_null(v).alias("_v")).where(F.col("_v").isNotNull())
+    mm = d.agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    d = d.crossJoin(F.broadcast(mm))
     width = (F.col("_max") - F.col("_min")) / F.lit(bins)
     b = F.when(F.col("_max") == F.col("_min"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_min")) / width), F.lit(bins - 1))).cast("int")
-    out = d.withColumn("bin", b).groupBy("bin", "_min", "_max").agg(F.count(F.lit(1)).alias("n"))
+    counts = d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = mm.where("_min is not null").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select("bin", (F.col("_min") + F.col("bin") * (F.col("_max") - F.col("_min")) / bins).alias("lo"),
                       (F.col("_min") + (F.col("bin") + 1) * (F.col("_max") - F.col("_min")) / bins).alias("hi"), "n")
 
@@ -150,10 +157,10 @@ def quantile_bins(df: DataFrame, col: str, q: int = 10, bin_col: str = "bin") ->
     """``pd.qcut(q, duplicates='drop')``: edges at exact quantiles, repeated edges merged,
     bins right-closed with the lowest value in bin 0."""
     probs = {f"e{i}": i / q for i in range(1, q)}
-    edges = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], col, probs)
-    edges = edges.select("_g", F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(1, q)])).alias("_edges"))
-    d = df.withColumn("_g", F.lit(0)).join(F.broadcast(edges), "_g")
-    return d.withColumn(bin_col, F.size(F.filter("_edges", lambda e: e < F.col(col)))).drop("_g", "_edges")
+    edges = exact_quantiles(df, [], col, probs)
+    edges = edges.select(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(1, q)])).alias("_edges"))
+    d = df.crossJoin(F.broadcast(edges))  # one row
+    return d.withColumn(bin_col, F.size(F.filter("_edges", lambda e: e < F.col(col)))).drop("_edges")
 
 
 def decile_calibration(df: DataFrame, y: str, yhat: str, q: int = 10) -> DataFrame:
@@ -166,8 +173,8 @@ def decile_calibration(df: DataFrame, y: str, yhat: str, q: int = 10) -> DataFra
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """(value, n, share) — ``value_counts(normalize=True)``; the total is a one-row broadcast."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_k", F.lit(0))
-    return (counts.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k")
+    total = counts.agg(F.sum("n").alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))
             .select("value", "n", (F.col("n") / F.col("_total")).alias("share")))
 
 

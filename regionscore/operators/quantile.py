@@ -3,75 +3,89 @@
 ``median`` / ``percentile`` in Spark keep a per-group value map in memory in
 one task; a group holding a third of the rows would sink that task.  Here:
 
-1. values are counted per (group, value) with a map-side partial aggregate;
-2. each group's value range is cut into ``chunks`` slices at approximate
-   quantiles (a bounded-size sketch per group);
-3. per (group, chunk) counts give, through a window over at most ``chunks``
-   rows per group, the number of values before each chunk;
-4. a running count inside each (group, chunk) — a window over ~1/chunks of
-   the group's distinct values — gives every value's exact rank range;
-5. the rows covering the two ranks around ``(n-1)·p`` are interpolated.
+1. an approximate quantile sketch (a partial aggregate of bounded size) gives a
+   bracket of two values around each wanted quantile;
+2. a second scan counts the rows below each bracket and keeps the values inside
+   it, a few in ten thousand, counted by value before they are shuffled;
+3. a window over those few gives exact ranks, and the values at the two ranks
+   around ``(n-1)*p`` are interpolated.
 
 The result equals pandas ``quantile`` / Spark ``percentile`` (linear
-interpolation), whatever the cut points were.
+interpolation), whatever the brackets were: their error is below their width,
+and the nearest values outside are kept for ranks just beyond.
 
-The one join keyed by the group alone (value counts × per-group cut points)
-has one small row per group on its right side: AQE broadcasts it after its
-runtime size check, and otherwise its skew-join rule splits a hot group's
-partition of the big side (the session enables both).  Every later join and
-window is keyed by (group, chunk).
+Rows get their group's bracket by a broadcast join when the groups, which are
+counted, are at most ``BROADCAST_GROUPS``.  Beyond that they join by group and a
+salt of the value's hash, so that a hot group is spread over ``SALTS`` tasks and
+no aggregate can rest on a partitioning by group alone.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionscore.session import cut_lineage
+
+BROADCAST_GROUPS, SALTS = 100_000, 64
+
+
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, spread: Column) -> DataFrame:
+    """Each row with the columns of its group's one row in ``small``; ``few``: the groups may be broadcast."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(small))  # one row
+    if few:
+        return rows.join(F.broadcast(small), keys)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+            .join(salted, [*keys, "_salt"]).drop("_salt"))
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    chunks: int = 64, accuracy: int = 10000) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` ({name: p})."""
-    user_keys = list(keys)
-    v = F.col(col).cast("double")
-    if not user_keys:
-        # A global quantile is one group; a constant key keeps one code path.
-        df = df.withColumn("_g", F.lit(0))
-    keys = user_keys or ["_g"]
-    base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    base = base.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+                    chunks: int = 3334, accuracy: int | None = None) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` ({name: p}); without keys one row.
+
+    Null and NaN values, and rows with a null key, don't count. A bracket spans
+    about two in ``chunks`` of a group's rows.
+    """
+    accuracy = accuracy or 3 * chunks
+    base = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if keys:
+        base = base.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    names, margin = list(probs), 3.0 / accuracy
+    asked = [min(1.0, max(0.0, probs[n] + side * margin)) for n in names for side in (-1, 1)]
+    brackets = cut_lineage(base.groupBy(*keys).agg(F.percentile_approx("_v", asked, accuracy).alias("_b")))
+    few = not keys or brackets.count() <= BROADCAST_GROUPS
+    tagged = attach(base, brackets, keys, few, F.col("_v"))
+    lo, hi = (lambda i: F.get("_b", F.lit(2 * i))), (lambda i: F.get("_b", F.lit(2 * i + 1)))
+
+    v = F.col("_v")
+    outside = [x for i in range(len(names)) for x in (
+        F.sum((v < lo(i)).cast("long")).alias(f"_below{i}"), F.max(F.when(v < lo(i), v)).alias(f"_under{i}"),
+        F.min(F.when(v > hi(i), v)).alias(f"_over{i}"))]
+    sums = tagged.groupBy(*keys).agg(F.count("_v").alias("_n"), *outside)
+    hits = F.array(*[F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in range(len(names))])
+    inside = (tagged.select(*keys, "_v", F.explode(F.array_compact(hits)).alias("_i"))
+              .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v"))))
+    ranked = attach(inside, sums, keys, few, F.col("_v"))
 
-    cut_probs = [i / chunks for i in range(1, chunks)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"),
-                   F.sum("_c").alias("_n"))
-    # One row per group; for the global case that single row is broadcast.
-    tagged = counts.join(cuts if user_keys else F.broadcast(cuts), on=keys, how="inner")
-    tagged = tagged.withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
-
-    per_chunk = tagged.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_cc"))
-    wk = Window.partitionBy(*keys)
-    before = per_chunk.withColumn(
-        "_before", F.sum("_cc").over(wk.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    ).select(*keys, "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
-
-    wc = Window.partitionBy(*keys, "_chunk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (tagged.join(before, on=[*keys, "_chunk"], how="inner")
-              .withColumn("_hi", F.col("_before") + F.sum("_c").over(wc))
-              .withColumn("_lo", F.col("_hi") - F.col("_c")))
     aggs = []
-    for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        a = F.floor(pos) + 1
-        b = F.ceil(pos) + 1
-        frac = pos - F.floor(pos)
-        va = F.max(F.when((F.col("_lo") < a) & (F.col("_hi") >= a), F.col("_v")))
-        vb = F.max(F.when((F.col("_lo") < b) & (F.col("_hi") >= b), F.col("_v")))
-        fr = F.max(frac)
-        aggs.append((va + fr * (vb - va)).alias(name))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    return out if user_keys else out.drop("_g")
+    for i, name in enumerate(names):
+        pos = (F.col("_n") - 1) * F.lit(float(probs[name]))
+        own = F.col("_i") == i
+
+        def at(rank):
+            want = rank - F.col(f"_below{i}")
+            return F.max(F.when(own & (F.col("_upto") >= want) & (F.col("_upto") - F.col("_c") < want), v)
+                         .when(own & (want < 1), F.col(f"_under{i}")))
+        above = F.max(F.col(f"_over{i}"))
+        first, second = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+        first, second = F.coalesce(first, above), F.coalesce(second, above)
+        aggs.append((first + F.max(pos - F.floor(pos)) * (second - first)).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def exact_median(df: DataFrame, keys: list[str], col: str, name: str | None = None, **kw) -> DataFrame:
@@ -88,30 +102,23 @@ def quantiles_long(df: DataFrame, keys: list[str], cols: list[str], probs: dict[
 
 def exact_medians(df: DataFrame, keys: list[str], cols: list[str], **kw) -> DataFrame:
     """Median of several columns per group: one quantile pass, pivoted back to one column each."""
-    if not keys:
-        df = df.withColumn("_g", F.lit(0))
-    k = list(keys) or ["_g"]
-    long = quantiles_long(df, k, cols, {"_median": 0.5}, **kw)
-    wide = long.groupBy(*k).pivot("column", list(cols)).agg(F.first("_median"))
-    return wide if keys else wide.drop("_g")
+    long = quantiles_long(df, keys, cols, {"_median": 0.5}, **kw)
+    return long.groupBy(*keys).pivot("column", list(cols)).agg(F.first("_median"))
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
                 chunks: int = 64, accuracy: int = 10000) -> DataFrame:
-    """Add ``<c>_before`` = Σ c over rows of the same group with a smaller ``order_col``.
+    """Add ``<c>_before`` = sum of c over rows of the same group with a smaller ``order_col``.
 
-    ``df`` should already be aggregated to one row per (group, order value).
-    Same chunking as ``exact_quantiles``: a window over ≤ ``chunks`` rows per
-    group plus windows over (group, chunk) slices — never a window over a
+    ``df`` should already be aggregated to one row per (group, order value).  Each
+    group is cut into chunks at approximate quantiles: a window over <= ``chunks``
+    rows per group plus windows over (group, chunk) slices, never a window over a
     whole group or a global window on one task.
     """
-    user_keys = list(keys)
-    if not user_keys:
-        df = df.withColumn("_g", F.lit(0))
-    keys = user_keys or ["_g"]
     cut_probs = [i / chunks for i in range(1, chunks)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, cut_probs, accuracy).alias("_cuts"))
-    tagged = df.join(cuts if user_keys else F.broadcast(cuts), on=keys, how="inner")
+    cuts = cut_lineage(df.groupBy(*keys).agg(F.percentile_approx(order_col, cut_probs, accuracy).alias("_cuts")))
+    few = not keys or cuts.count() <= BROADCAST_GROUPS
+    tagged = attach(df, cuts, keys, few, F.col(order_col))
     tagged = tagged.withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x < F.col(order_col)))).drop("_cuts")
     per_chunk = tagged.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_cs_{c}") for c in sum_cols])
     wk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,9 +126,8 @@ def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[s
         F.coalesce(F.sum(f"_cs_{c}").over(wk), F.lit(0)).alias(f"_cb_{c}") for c in sum_cols])
     wc = Window.partitionBy(*keys, "_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out = tagged.join(before, on=[*keys, "_chunk"], how="inner")
-    out = out.select(*[F.col(c) for c in tagged.columns if c != "_chunk"], *[
+    return out.select(*[F.col(c) for c in tagged.columns if c != "_chunk"], *[
         (F.col(f"_cb_{c}") + F.coalesce(F.sum(c).over(wc), F.lit(0))).alias(f"{c}_before") for c in sum_cols])
-    return out if user_keys else out.drop("_g")
 
 
 def hash_rank(df: DataFrame, strata: list[str], key: str, seed: int, rank_col: str = "_rank",

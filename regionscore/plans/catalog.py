@@ -211,14 +211,13 @@ def state_lookup(spark, d):
 # Assembly (J-1…J-4, F-4)
 
 def _nation_tables(T: Tables) -> dict[str, DataFrame]:
-    cust = A.agg_by_key(T.customer.select(F.col("c_nationkey").alias("nation_key"),
-                                          F.col("c_acctbal").alias("acctbal")), ["nation_key"], "mean")
-    cust = cust.join(A.count_by_key(T.customer.select(F.col("c_nationkey").alias("nation_key")),
-                                    ["nation_key"], "n"), "nation_key")
-    sup = A.agg_by_key(T.supplier.select(F.col("s_nationkey").alias("nation_key"),
-                                         F.col("s_acctbal").alias("acctbal")), ["nation_key"], "mean")
-    sup = sup.join(A.count_by_key(T.supplier.select(F.col("s_nationkey").alias("nation_key")),
-                                  ["nation_key"], "n"), "nation_key")
+    mean_and_n = [F.avg("acctbal").alias("acctbal"), F.count(F.lit(1)).alias("n")]
+    cust = (T.customer.select(F.col("c_nationkey").alias("nation_key"), F.col("c_acctbal").alias("acctbal"))
+            .groupBy("nation_key").agg(*mean_and_n))
+    # supplier codes are shifted by five, so that either side has keys the other lacks, and one code is blank
+    sup = (T.supplier.select(F.when(F.col("s_nationkey") != 7, F.col("s_nationkey") + 5).alias("nation_key"),
+                             F.col("s_acctbal").alias("acctbal"))
+           .groupBy("nation_key").agg(*mean_and_n))
     urgent = (T.orders.where(F.col("o_orderpriority") == "1-URGENT")
               .join(T.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
               .where(F.col("o_totalprice") > 300000))
@@ -229,7 +228,8 @@ def _nation_tables(T: Tables) -> dict[str, DataFrame]:
 
 _NATION_SQL = """
 cust AS (SELECT c_nationkey AS nation_key, avg(c_acctbal) AS acctbal, count(*) AS n FROM customer GROUP BY 1),
-sup AS (SELECT s_nationkey AS nation_key, avg(s_acctbal) AS acctbal_supplier, count(*) AS n_supplier FROM supplier GROUP BY 1),
+sup AS (SELECT s_nationkey + 5 AS nation_key, avg(s_acctbal) AS acctbal_supplier, count(*) AS n_supplier FROM supplier
+        WHERE s_nationkey <> 7 GROUP BY 1),
 ords AS (SELECT c_nationkey AS nation_key, count(*) AS n_orders, sum(o_totalprice) AS total
          FROM orders JOIN customer ON o_custkey = c_custkey
          WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 GROUP BY 1)"""
@@ -323,11 +323,10 @@ SELECT round(median(l_extendedprice), 6) AS median_price, round(quantile_cont(l_
 FROM lineitem""")
 def agg_median_global(spark, d):
     from regionscore.operators.quantile import exact_quantiles
-    li = Tables(spark, d).lineitem.withColumn("_g", F.lit(0))
-    a = exact_quantiles(li, ["_g"], "l_extendedprice", {"median_price": 0.5})
-    b = exact_quantiles(li, ["_g"], "l_quantity", {"q90_qty": 0.9})
-    return a.join(F.broadcast(b), "_g").select(_r("median_price").alias("median_price"),
-                                                _r("q90_qty").alias("q90_qty"))
+    li = Tables(spark, d).lineitem
+    a = exact_quantiles(li, [], "l_extendedprice", {"median_price": 0.5})
+    b = exact_quantiles(li, [], "l_quantity", {"q90_qty": 0.9})
+    return a.crossJoin(F.broadcast(b)).select(_r("median_price").alias("median_price"), _r("q90_qty").alias("q90_qty"))
 
 
 # ---------------------------------------------------------------------------------------

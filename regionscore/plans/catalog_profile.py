@@ -97,16 +97,30 @@ def hist_cut(spark, d):
     return P.hist_cut(Tables(spark, d).lineitem, "l_quantity", _EDGES)
 
 
-@query("hist_width", """
+def _hist_width_sql(bins):
+    return f"""
 WITH mm AS (SELECT min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders),
-b AS (SELECT CAST(least(floor((o_totalprice - mn) / ((mx - mn) / 30)), 29) AS INTEGER) AS bin, mn, mx FROM orders, mm)
-SELECT bin, round(mn + bin * (mx - mn) / 30, 6) AS lo, round(mn + (bin + 1) * (mx - mn) / 30, 6) AS hi,
-       count(*) AS n FROM b GROUP BY bin, mn, mx""")
-def hist_width(spark, d):
-    out = P.hist_width(Tables(spark, d).orders, "o_totalprice", 30)
+b AS (SELECT CAST(least(floor((o_totalprice - mn) / ((mx - mn) / {bins})), {bins - 1}) AS INTEGER) AS bin, count(*) AS n FROM orders, mm GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS bin, round(mn + k * (mx - mn) / {bins}, 6) AS lo, round(mn + (k + 1) * (mx - mn) / {bins}, 6) AS hi,
+       coalesce(n, 0) AS n FROM (SELECT unnest(range({bins})) AS k) LEFT JOIN b ON k = bin, mm"""
+
+
+def _hist_width(spark, d, bins):
+    out = P.hist_width(Tables(spark, d).orders, "o_totalprice", bins)
     return out.select("bin", _r("lo").alias("lo"), _r("hi").alias("hi"), "n")
 
 
+@query("hist_width", _hist_width_sql(30))
+def hist_width(spark, d):
+    return _hist_width(spark, d, 30)
+
+
+@query("hist_width_fine", _hist_width_sql(30000))
+def hist_width_fine(spark, d):
+    """More bins than the values fill: the empty ones are in the result."""
+    return _hist_width(spark, d, 30000)
+
+
 @query("decile_calibration", """
 WITH e AS (SELECT list_distinct(quantile_cont(l_discount, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS edges FROM lineitem),
 b AS (SELECT len(list_filter(edges, lambda x: x < l_discount)) AS bin, l_extendedprice, l_discount FROM lineitem, e)

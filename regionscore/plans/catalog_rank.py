@@ -216,7 +216,6 @@ SELECT metric, round(a, 6) AS scale_rule, round(b, 6) AS presence_rule FROM m"""
 def model_comparison(spark, d):
     from regionscore.operators import metrics as M
     s = _fixed_scores(spark, d)
-    a = M.regression_log_errors(s, "y", "expected_scale").select("mae_log", "rmse_log")
-    b = M.regression_log_errors(s, "y", "p_presence").select("mae_log", "rmse_log")
+    a, b = M.log_errors(s, "y", "expected_scale"), M.log_errors(s, "y", "p_presence")
     t = M.comparison_table({"scale_rule": a, "presence_rule": b})
     return t.select("metric", _r("scale_rule").alias("scale_rule"), _r("presence_rule").alias("presence_rule"))
