@@ -7,30 +7,30 @@ the page / document table.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
-# Place-name pattern pieces: a name token is "St." or a capitalised word;
-# an optional directional prefix; tokens joined by space, hyphen or
-# apostrophe; lower-weight particles joined by a space; then the suffix.
-NAME_TOKEN = r"(?:St\.|[A-Z][a-z]+)"
-NAME_PREFIXES = ["New", "North", "South", "East", "West", "Upper", "Lower"]
-NAME_PARTICLES = ["San", "Santa", "Los", "De", "Del", "La", "Le", "Du", "Van", "Von"]
+# Place-name pattern: group 1 is the name; %s is the suffix.
+PLACE_NAME = (r"((?:(?:New|North|South|East|West|Upper|Lower)\s+)?(?:St\.|[A-Z][a-z]+)"
+              r"(?:(?:[-'\s](?:St\.|[A-Z][a-z]+))|(?:\s(?:San|Santa|Los|De|Del|La|Le|Du|Van|Von)))*\s%s)")
 DEFAULT_SUFFIX = "County"
 # HTML elements whose content is not page text.
 HIDDEN_ELEMENTS = ["script", "style", "noscript"]
-# Named character references decoded after tag removal ("&amp;" last).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
-                 ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"),
-                 ("&hellip;", "…"), ("&amp;", "&")]
-# Default cut of page text handed to the verdict scorer.
+# Default cut of page text (X-13's own feature; verdicts are made on whole texts).
 DEFAULT_MAX_CHARS = 8000
 # ---------------------------------------------------------------------------
 
 
+#: An anchor's href, with its quotes; and the quotes.
+HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = r"""^["']|["']$"""
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,11 +44,8 @@ def place_name_pattern(suffix: str = DEFAULT_SUFFIX, prefilter: bool = False) ->
     with a capital) so the engine rejects most positions at once; the plain
     form is also valid RE2.
     """
-    prefix = "(?:(?:" + "|".join(NAME_PREFIXES) + r")\s+)?"
-    particles = r"(?:\s(?:" + "|".join(NAME_PARTICLES) + "))"
-    joined = rf"(?:[-'\s]{NAME_TOKEN})"
     look = "(?=[A-Z])" if prefilter else ""
-    return rf"\b{look}({prefix}{NAME_TOKEN}(?:{joined}|{particles})*\s{suffix})\b"
+    return rf"\b{look}{PLACE_NAME % suffix}\b"
 
 
 def place_names(text, suffix: str = DEFAULT_SUFFIX) -> Column:
@@ -58,10 +55,21 @@ def place_names(text, suffix: str = DEFAULT_SUFFIX) -> Column:
 
 
 def decode_entities(c) -> Column:
-    out = _c(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references decoded: all named ones of HTML 5, and numeric ones in either base."""
+    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        base = F.when(F.substring(name, 2, 1).isin("x", "X"), 16).otherwise(10)
+        digits = F.regexp_replace(name, "^#[xX]?", "")
+        code = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        got = F.when(name == "", None).when(name.startswith("#"), char).otherwise(F.get(F.array(F.try_element_at(named, name)), F.lit(0)))
+        return F.when(got.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(got, F.substr(part, F.length(name) + 2)))
+
+    parts = F.split(_c(c), "&")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), "")
 
 
 def html_to_text(html, max_chars: int | None = None) -> Column:
@@ -86,9 +94,17 @@ def html_to_text(html, max_chars: int | None = None) -> Column:
 
 
 def hrefs(html) -> Column:
-    """All ``href`` attribute values of anchors, in page order."""
-    return F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"""<a\b[^>]*href="([^"]*)\""""), 1)
+    """All ``href`` attribute values of anchors, in page order: any case, either quote or none."""
+    found = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(HREF), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, QUOTES, ""))
+
+
+def attribute(tag, name: str) -> Column:
+    """Value of an attribute in the text of a start tag ('' if absent)."""
+    raw = F.regexp_extract(_c(tag), rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(raw, QUOTES, "")
 
 
-def anchor_texts(html) -> Column:
-    return F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"(?s)<a\b[^>]*>(.*?)</a>"), 1)
+def element_of_class(html, name: str) -> Column:
+    """Inner HTML of the first element that has the class."""
+    return F.regexp_extract(_c(html), rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*?\sclass\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))[^>]*>(.*?)</\1\s*>""", 2)

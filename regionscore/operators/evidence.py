@@ -101,21 +101,49 @@ def page_links(df: DataFrame, html: str, keep: list[str], prefix: str | None = N
     return ex
 
 
-def extract_cards(df: DataFrame, html: str, keep: list[str], block: str = r"(?s)<article\b[^>]*>(.*?)</article>",
-                  skip_prefix: str = "Suite") -> DataFrame:
-    """Cards from listing pages: one row per block; its text lines give
-    facility (line 1), company (line 2), a 5-digit zip if any, and the other lines;
-    lines starting with ``skip_prefix`` are skipped; cards are deduplicated by
-    (keep..., facility)."""
-    blocks = df.select(*keep, F.explode(F.regexp_extract_all(F.col(html), F.lit(block), 1)).alias("_b"))
-    lines = F.filter(F.split(TX.html_to_text(F.col("_b")), "\n"),
-                     lambda s: (F.trim(s) != "") & ~F.trim(s).startswith(skip_prefix))
-    cards = blocks.select(*keep, F.transform(lines, lambda s: F.trim(s)).alias("_l"))
-    zips = F.filter(F.transform("_l", lambda s: F.regexp_extract(s, r"\b(\d{5})(?:-\d{4})?\b", 1)), lambda z: z != "")
-    out = cards.select(*keep, F.get("_l", 0).alias("facility"), F.get("_l", 1).alias("company"),
-                       F.get(zips, 0).alias("zip"), F.size("_l").alias("n_lines"))
-    first = F.min(F.struct("company", "zip", "n_lines")).alias("_m")
-    return out.groupBy(*keep, "facility").agg(first).select(*keep, "facility", "_m.*")
+def path_links(df: DataFrame, html: str, keep: list[str], base: str, segments: list, depth: int,
+               bad: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (keep..., name, url) of the links one level below ``segments``, sorted: the path of a relative or
+    absolute href has ``depth`` segments, begins with ``segments`` (strings or columns), and its last segment, the
+    name, is not in ``bad``; the url is absolute."""
+    parts = X.url_segments(F.col("href"))
+    ok = F.size(parts) == depth
+    for i, s in enumerate(segments):
+        ok = ok & (F.get(parts, F.lit(i)) == (F.lit(s) if isinstance(s, str) else s))
+    name = F.get(parts, F.lit(depth - 1))
+    links = df.withColumn("href", F.explode(TX.hrefs(F.col(html)))).withColumn("href", F.trim("href"))
+    out = links.where(ok & ~name.isin(list(bad)) if bad else ok)
+    url = F.concat(F.lit(base.rstrip("/") + "/"), F.array_join(parts, "/"), F.lit("/"))
+    return out.select(*keep, name.alias("name"), url.alias("url")).distinct().orderBy(*keep, "name")
+
+
+def extract_cards(df: DataFrame, html: str, keep: list[str], segments: list) -> DataFrame:
+    """Cards of listing pages: anchors of class ``card`` whose href has one segment below ``segments``.
+
+    A card counts once per (keep..., href), at its first place, if it has a header and a description of two lines
+    or more: facility is the header, company and street the first two lines, zip the first later line that is a
+    5-digit or ZIP+4 code as a whole, city the first line after it that is no suite or floor.
+    """
+    cards = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), 0)).alias("_at", "_card"),
+                      F.array(*[F.lit(s) if isinstance(s, str) else s for s in segments]).alias("_segments"))
+    tag = F.regexp_extract("_card", r"(?is)^<a\b[^>]*>", 0)
+    cards = cards.withColumn("href", F.trim(TX.attribute(tag, "href"))).where(
+        F.array_contains(F.split(F.trim(TX.attribute(tag, "class")), r"\s+"), "card"))
+    parts = F.filter(F.split("href", "/"), lambda s: s != "")
+    cards = cards.where((F.size(parts) == F.size("_segments") + 1)
+                        & (F.slice(parts, F.lit(1), F.size("_segments")) == F.col("_segments")))
+    lines = F.split(TX.html_to_text(TX.element_of_class("_card", "description")), "\n")
+    cards = (cards.withColumn("facility", F.trim(TX.html_to_text(TX.element_of_class("_card", "header"))))
+             .withColumn("_l", F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != ""))
+             .withColumn("_zip", F.array_position(F.transform("_l", lambda s, i: (i >= 2) & s.rlike(r"^\d{5}(?:-\d{4})?$")), True)))
+    later = F.filter(F.slice("_l", F.col("_zip").cast("int") + 1, F.size("_l")), lambda s: ~s.rlike(r"(?i)^(suite|ste|unit|floor|fl)\b"))
+    found = F.col("_zip") > 0
+    values = F.struct("_at", "facility", F.get("_l", F.lit(0)).alias("company"), F.get("_l", F.lit(1)).alias("street"),
+                      F.when(found, F.substring(F.get("_l", F.col("_zip").cast("int") - 1), 1, 5)).alias("zip"),
+                      F.when(found, F.get(later, F.lit(0))).alias("city"), F.size("_l").alias("_n"))
+    first = cards.withColumn("_v", values).groupBy(*keep, "href").agg(F.min("_v").alias("_v"))
+    return first.where("_v.facility <> '' AND _v._n >= 2").select(
+        *keep, "href", *[f"_v.{c}" for c in ("facility", "company", "street", "zip", "city")])
 
 
 def rate_limited(df: DataFrame, html: str, n_found: Column, marker: str = RATE_LIMIT_MARKER) -> Column:
@@ -127,59 +155,72 @@ def _terms_re(terms: list[str], ignore_case: bool) -> str:
     return ("(?i)" if ignore_case else "") + "\\b(" + "|".join(terms) + ")\\b"
 
 
-def _any_term(text: Column, terms: list[str], ignore_case: bool = False) -> Column:
-    return text.rlike(_terms_re(terms, ignore_case))
-
-
-def _count_terms(text: Column, terms: list[str], ignore_case: bool = False) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(_terms_re(terms, ignore_case)), 1))
-
-
 def rule_verdicts(df: DataFrame, text: str, keep: list[str], policy_terms: list[str], support_terms: list[str],
-                  oppose_terms: list[str], place_suffix: str = TX.DEFAULT_SUFFIX,
-                  summary_chars: int = 200, ignore_case: bool = False) -> DataFrame:
+                  oppose_terms: list[str], place_suffix: str = TX.DEFAULT_SUFFIX, ignore_case: bool = False) -> DataFrame:
     """Deterministic verdict scorer with the 7-key contract (+ ``error`` null).
 
     is_data_center_policy: any policy term; support: 'true' / 'false' /
     'neutral' by comparing support and oppose term counts; mentioned county:
     first place name; mentioned state: first full state name in the text;
+    summary: the line that holds the first policy term, uncut ('' without one);
     confidence: matched policy terms / 10, capped at 1.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    sup, opp = _count_terms(t, support_terms, ignore_case), _count_terms(t, oppose_terms, ignore_case)
+    kinds = {"p": policy_terms, "s": support_terms, "o": oppose_terms}
+    # one pass over the text finds all terms; the rest works on the few that it found
+    every = sorted({t for ts in kinds.values() for t in ts}, key=len, reverse=True)
+    terms = "|".join(every)
+    hits = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_terms_re([terms], ignore_case)), 1)
+    d = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_hits", hits)
+    norm = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
+    of = lambda k: F.filter("_hits", lambda x: norm(x).isin([t.lower() if ignore_case else t for t in kinds[k]]))
+    d = d.withColumn("_p", of("p")).withColumn("_s", F.size(of("s"))).withColumn("_o", F.size(of("o")))
     states = "|".join(sorted(set(K.STATE_ABBR_TO_FULL.values()), key=len, reverse=True))
-    state = F.regexp_extract(t, "\\b(?=[A-Z])(" + states.replace(".", "\\.") + ")\\b", 1)
-    n_pol = _count_terms(t, policy_terms, ignore_case)
-    return df.select(
+    state = F.regexp_extract("_t", "\\b(?=[A-Z])(" + states.replace(".", "\\.") + ")\\b", 1)
+    policy = F.size("_p") > 0
+    line = F.get(F.filter(F.split("_t", "\n"), lambda x: x.rlike(_terms_re(policy_terms, ignore_case))), F.lit(0))
+    return d.select(
         *keep,
         F.nullif(state, F.lit("")).alias("mentioned_state"),
-        F.get(TX.place_names(t, place_suffix), 0).alias("mentioned_county"),
-        _any_term(t, policy_terms, ignore_case).alias("is_data_center_policy"),
-        F.when(sup > opp, F.lit("true")).when(sup < opp, F.lit("false")).otherwise(F.lit("neutral"))
-        .alias("support_data_center_siting"),
-        F.nullif(F.regexp_extract(t, _terms_re(policy_terms, ignore_case), 1), F.lit("")).alias("policy_type"),
-        F.substring(t, 1, summary_chars).alias("summary"),
-        F.least(n_pol / F.lit(10.0), F.lit(1.0)).alias("llm_confidence"),
+        F.get(TX.place_names(F.col("_t"), place_suffix), 0).alias("mentioned_county"),
+        policy.alias("is_data_center_policy"),
+        F.when(F.col("_s") > F.col("_o"), F.lit("true")).when(F.col("_s") < F.col("_o"), F.lit("false"))
+        .otherwise(F.lit("neutral")).alias("support_data_center_siting"),
+        F.get("_p", F.lit(0)).alias("policy_type"),
+        F.when(policy, F.coalesce(line, F.lit(""))).otherwise(F.lit("")).alias("summary"),
+        F.least(F.size("_p") / F.lit(10.0), F.lit(1.0)).alias("llm_confidence"),
         F.lit(None).cast("string").alias("error"))
 
 
+def classify(df: DataFrame, scorer, keep: list[str]) -> DataFrame:
+    """Verdicts of any scorer: ``scorer(df)`` gives a JSON reply column, whose contract ``parse_verdicts`` holds.
+
+    ``scorer`` is a function from a DataFrame to a Column (a model behind a Pandas UDF, a rule, a stored reply).
+    """
+    return parse_verdicts(df.withColumn("_reply", scorer(df)), "_reply", keep)
+
+
 def parse_verdicts(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
-    """Model replies as JSON -> verdict columns; unparsable or missing replies
-    become the default row (not policy, siting false, confidence 0) with an error."""
+    """Model replies as JSON -> verdict columns.
+
+    A reply that parses as a JSON object keeps every field it has: absent or null ones stay null, but for
+    is_data_center_policy (false) and summary (''). Only a null reply or one that does not parse becomes the
+    default row (not policy, siting false, confidence 0) with an error.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in VERDICT_SCHEMA] + [T.StructField("_bad", T.StringType())])
     p = df.select(*keep, F.col(json_col).alias("_raw"),
-                  F.from_json(F.col(json_col), VERDICT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_v"))
-    ok = p["_v"].isNotNull() & p["_raw"].isNotNull() & F.col("_v.summary").isNotNull()
+                  F.from_json(F.col(json_col), text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_v"))
+    ok = F.coalesce(F.trim("_raw").startswith("{") & F.col("_v").isNotNull() & F.col("_v._bad").isNull(), F.lit(False))
+    p = p.withColumn("_ok", ok)
+    plain = lambda c: F.when(F.col("_ok"), F.col(f"_v.{c}"))
     return p.select(
-        *keep,
-        F.when(ok, F.col("_v.mentioned_state")).alias("mentioned_state"),
-        F.when(ok, F.col("_v.mentioned_county")).alias("mentioned_county"),
-        F.when(ok, F.coalesce("_v.is_data_center_policy", F.lit(False))).otherwise(F.lit(False))
+        *keep, plain("mentioned_state").alias("mentioned_state"), plain("mentioned_county").alias("mentioned_county"),
+        F.when(F.col("_ok"), F.coalesce(X.is_truthy(F.col("_v.is_data_center_policy")), F.lit(False))).otherwise(F.lit(False))
         .alias("is_data_center_policy"),
-        F.when(ok, F.col("_v.support_data_center_siting")).otherwise(F.lit("false")).alias("support_data_center_siting"),
-        F.when(ok, F.col("_v.policy_type")).alias("policy_type"),
-        F.when(ok, F.col("_v.summary")).otherwise(F.lit("")).alias("summary"),
-        F.when(ok, F.col("_v.llm_confidence")).otherwise(F.lit(0.0)).alias("llm_confidence"),
-        F.when(~ok, F.lit("unparsable reply")).alias("error"))
+        F.when(F.col("_ok"), F.lower("_v.support_data_center_siting")).otherwise(F.lit("false")).alias("support_data_center_siting"),
+        plain("policy_type").alias("policy_type"),
+        F.when(F.col("_ok"), F.coalesce("_v.summary", F.lit(""))).otherwise(F.lit("")).alias("summary"),
+        F.when(F.col("_ok"), F.col("_v.llm_confidence").try_cast("double")).otherwise(F.lit(0.0)).alias("llm_confidence"),
+        F.when(~F.col("_ok"), F.lit("unparsable reply")).alias("error"))
 
 
 def entity_signal(verdicts: DataFrame, state: str = "mentioned_state", county: str = "mentioned_county",
@@ -203,9 +244,9 @@ def pending_units(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return units.select(key).where(F.col(key).isNotNull()).distinct().join(done.select(key), key, "left_anti")
 
 
-def append_done(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Persist a finished unit of work (append), so a rerun skips it."""
-    df.write.mode("append").format(fmt).save(path)
+def write_done(df: DataFrame, path: str, unit: str, fmt: str = "parquet") -> None:
+    """Persist a finished unit of work in a folder of its own, so that a rerun skips it and a retry replaces it."""
+    df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/unit={unit}")
 
 
 def search_queries(spark, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from regionscore.functions.scalar import is_truthy
 
 
 def spec_filter(df: DataFrame, conditions: dict, strict: bool = False) -> DataFrame:
-    """AND over columns of equality / IN conditions; a missing column is skipped
-    (or raises when ``strict``). Column names are matched after trimming."""
+    """AND over columns of equality / IN conditions; a missing column is skipped with
+    a warning that names it (or raises when ``strict``). Column names are matched
+    after trimming."""
     by_stripped = {c.strip(): c for c in df.columns}
     preds = []
     for col, val in conditions.items():
@@ -21,6 +23,7 @@ def spec_filter(df: DataFrame, conditions: dict, strict: bool = False) -> DataFr
         if real is None:
             if strict:
                 raise KeyError(f"filter column {col!r} not in {df.columns}")
+            warnings.warn(f"filter column {col!r} is missing: its condition lets all rows through", stacklevel=2)
             continue
         vals = val if isinstance(val, (list, tuple, set)) else [val]
         preds.append(F.col(real).isin(list(vals)))

@@ -18,6 +18,12 @@ SUPPORT_TERMS = ["MIT", "Apache"]
 OPPOSE_TERMS = ["GNU", "General Public"]
 
 
+#: The character references that the pages hold, for the oracle.
+PAGE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                 ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
+                 ("&amp;", "&")]
+
+
 def _sq(s: str) -> str:
     return s.replace("'", "''")
 
@@ -58,7 +64,7 @@ def _sql_html_to_text(h: str) -> str:
     for tag in TX.HIDDEN_ELEMENTS:
         s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<{tag}>', 'g')"
     s = f"regexp_replace({s}, '(?s)(?:<[^>]*>)+', chr(10), 'g')"
-    for ent, ch in TX.HTML_ENTITIES:
+    for ent, ch in PAGE_ENTITIES:
         s = f"replace({s}, '{_sq(ent)}', '{_sq(ch)}')"
     s = f"regexp_replace({s}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
     s = f"regexp_replace({s}, '[ \\t]{{2,}}', ' ', 'g')"
@@ -82,7 +88,7 @@ _SQL_PATH = "regexp_extract(href, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]
 @query("page_links", f"""
 SELECT page_id, href, {_SQL_PATH} AS path,
        CAST(len(list_filter(string_split({_SQL_PATH}, '/'), lambda s: s <> '')) AS INTEGER) AS depth
-FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\b[^>]*href="([^"]*)"', 1)) AS href FROM pages)""")
+FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '{_sq(TX.HREF)}', 1), lambda x: regexp_replace(x, '{_sq(TX.QUOTES)}', '', 'g'))) AS href FROM pages)""")
 def page_links(spark, d):
     return E.page_links(Tables(spark, d).pages, "html", ["page_id"]).select("page_id", "href", "path", "depth")
 
@@ -134,6 +140,23 @@ def search_flatten(spark, d):
     return E.flatten_search_results(replies, "reply", ["page_id"])
 
 
+@query("search_flatten_multi", """
+SELECT page_id, title, snippet, url FROM (
+  SELECT page_id, CAST(page_id AS VARCHAR) AS title, 'first' AS snippet, url FROM pages WHERE page_id % 3 < 2
+  UNION ALL SELECT page_id, '', '', url || '#2' FROM pages WHERE page_id % 3 = 0)""")
+def search_flatten_multi(spark, d):
+    """Replies of two results, the second without title and snippet; of one; of none; and broken ones."""
+    p = Tables(spark, d).pages
+    first = F.struct(F.col("page_id").cast("string").alias("title"), F.lit("first").alias("snippet"), F.col("url").alias("link"))
+    second = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"),
+                      F.concat("url", F.lit("#2")).alias("link"))
+    k = F.col("page_id") % 3
+    reply = (F.when(k == 0, F.to_json(F.struct(F.array(first, second).alias("organic_results"))))
+             .when(k == 1, F.to_json(F.struct(F.array(first).alias("organic_results"))))
+             .when(F.col("page_id") % 2 == 0, F.lit('{"organic_results": []}')).otherwise(F.lit('{"organic')))
+    return E.flatten_search_results(p.select("page_id", reply.alias("reply")), "reply", ["page_id"])
+
+
 def _verdicts(spark, d):
     docs = Tables(spark, d).documents
     return E.rule_verdicts(docs, "text", ["doc_id", "lang", "source"], POLICY_TERMS, SUPPORT_TERMS, OPPOSE_TERMS,
@@ -154,7 +177,7 @@ _VERDICT_SQL = f"""v AS (SELECT doc_id, lang, source,
        WHEN len(regexp_extract_all(t, '{_terms(SUPPORT_TERMS)}', 1)) < len(regexp_extract_all(t, '{_terms(OPPOSE_TERMS)}', 1)) THEN 'false'
        ELSE 'neutral' END AS support_data_center_siting,
   nullif(regexp_extract(t, '{_terms(POLICY_TERMS)}', 1), '') AS policy_type,
-  substr(t, 1, 200) AS summary,
+  coalesce(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_terms(POLICY_TERMS)}'))[1], '') AS summary,
   least(len(regexp_extract_all(t, '{_terms(POLICY_TERMS)}', 1)) / 10.0, 1.0) AS llm_confidence,
   CAST(NULL AS VARCHAR) AS error
   FROM (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents))"""
@@ -183,12 +206,29 @@ def entity_signal(spark, d):
 
 
 @query("verdict_parse", """
-SELECT event_id, CAST(NULL AS VARCHAR) AS mentioned_state, CAST(NULL AS VARCHAR) AS mentioned_county,
-       false AS is_data_center_policy, 'false' AS support_data_center_siting, CAST(NULL AS VARCHAR) AS policy_type,
-       '' AS summary, CAST(0.0 AS DOUBLE) AS llm_confidence, 'unparsable reply' AS error FROM events""")
+SELECT event_id, CASE WHEN k IN (0, 1) THEN 'Ohio' END AS mentioned_state, CASE WHEN k IN (0, 1, 2) THEN event_type END AS mentioned_county,
+       k IN (0, 1) AS is_data_center_policy,
+       CASE k WHEN 0 THEN 'true' WHEN 1 THEN 'neutral' WHEN 3 THEN 'false' WHEN 4 THEN 'false' END AS support_data_center_siting,
+       CASE WHEN k IN (0, 1) THEN 'zoning' END AS policy_type, CASE WHEN k = 0 THEN 'said ' || event_type ELSE '' END AS summary,
+       CAST(CASE k WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 END AS DOUBLE) AS llm_confidence,
+       CASE WHEN k IN (3, 4) THEN 'unparsable reply' END AS error
+FROM (SELECT event_id, event_type, event_id % 6 AS k FROM events)""")
 def verdict_parse(spark, d):
-    """Replies that are not verdict JSON (the event props) all become default rows."""
-    return E.parse_verdicts(Tables(spark, d).events, "props", ["event_id"])
+    """Replies made of the events: a full one, one with null summary and neutral siting, one of few keys, a broken one,
+    none, and an object with other keys."""
+    e = Tables(spark, d).events
+    full = F.to_json(F.struct(F.lit("Ohio").alias("mentioned_state"), F.col("event_type").alias("mentioned_county"),
+                              F.lit(True).alias("is_data_center_policy"), F.lit(True).alias("support_data_center_siting"),
+                              F.lit("zoning").alias("policy_type"), F.concat(F.lit("said "), "event_type").alias("summary"),
+                              F.lit(0.75).alias("llm_confidence")))
+    null_summary = F.concat(F.lit('{"mentioned_state": "Ohio", "is_data_center_policy": "yes", "summary": null, "policy_type": "zoning", '
+                                  '"support_data_center_siting": "Neutral", "llm_confidence": "0.5", "mentioned_county": "'),
+                            "event_type", F.lit('"}'))
+    few = F.to_json(F.struct(F.col("event_type").alias("mentioned_county"), F.lit(False).alias("is_data_center_policy")))
+    k = F.col("event_id") % 6
+    reply = (F.when(k == 0, full).when(k == 1, null_summary).when(k == 2, few).when(k == 3, F.substring(full, 1, 20))
+             .when(k == 5, F.col("props")))
+    return E.classify(e, lambda _: reply, ["event_id"])
 
 
 @query("collect_resume", """
@@ -198,14 +238,61 @@ def collect_resume(spark, d):
     return E.pending_units(T.orders, T.events.select(F.col("user_id").alias("o_custkey")), "o_custkey")
 
 
-@query("cards")
+@query("cards", """
+SELECT s_suppkey, '/usa/n' || s_nationkey || '/m/' || s_suppkey AS href, s_name AS facility, 'Co & Sons ' || s_suppkey AS company,
+       CAST(10000 + s_suppkey AS VARCHAR) || ' Main St' AS street,
+       CASE WHEN s_suppkey % 3 < 2 THEN lpad(CAST(s_suppkey * 37 % 90000 AS VARCHAR), 5, '0') END AS zip,
+       CASE WHEN s_suppkey % 3 < 2 THEN n_name END AS city
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL
+SELECT s_suppkey, '/usa/n' || s_nationkey || '/m/other', s_name, 'Other', '2 Side St', NULL, NULL FROM supplier""")
 def cards(spark, d):
-    return E.extract_cards(Tables(spark, d).pages, "html", ["page_id"])
-
-
-@query("rate_limit")
+    """Listing pages made of the suppliers: both quote styles, equal names, 5-digit street numbers, suite lines, entities,
+    repeated cards, cards of other paths, cards without a header."""
+    T = Tables(spark, d)
+    s = T.supplier.join(F.broadcast(T.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    href = F.concat(F.lit("/usa/n"), "s_nationkey", F.lit("/m/"), "s_suppkey")
+    code = F.lpad((F.col("s_suppkey") * 37 % 90000).cast("string"), 5, "0")
+    kind = F.col("s_suppkey") % 3
+    place = (F.when(kind == 0, F.concat(F.lit("Suite 12345<br>"), code, F.lit("<br>SUITE 9<br>fl 2<br>"), "n_name"))
+             .when(kind == 1, F.concat(F.lit("<span>"), code, F.lit("-1234</span><p>"), "n_name", F.lit("</p>")))
+             .otherwise(F.concat(F.lit("zip "), code)))
+    body = F.concat(F.lit("<div class='ui header'> "), "s_name", F.lit('</div><DIV CLASS="description">Co &amp; Sons '), "s_suppkey",
+                    F.lit("<br/>"), (F.col("s_suppkey") + 10000).cast("string"), F.lit(" Main St<br>"), place, F.lit("</DIV></A>"))
+    card = F.when(kind == 0, F.concat(F.lit('<a class="ui card" href="'), href, F.lit('">'), body)) \
+        .otherwise(F.concat(F.lit("<A href='"), href, F.lit("' class='card'>"), body))
+    other = F.concat(F.lit("<a href=/usa/n"), "s_nationkey", F.lit("/m/other class=card><b class=header>"), "s_name",
+                     F.lit("</b><p class=description>Other<br>2 Side St</p></a>"))
+    wrong = F.lit("<a class='card' href='/usa/x/m/1'><b class=header>No</b><p class=description>a<br>b</p></a>"
+                  "<a class='discard' href='/usa/n1/m/2'><b class=header>No</b><p class=description>a<br>b</p></a>"
+                  "<a class='card' href='/usa/n1/m/2/3'><b class=header>No</b></a>")
+    pages = s.select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("state"), F.concat(wrong, card, other, card).alias("html"))
+    return E.extract_cards(pages, "html", ["s_suppkey", "state"], ["usa", F.col("state"), "m"]).drop("state")
+
+
+@query("market_links", """
+SELECT r_name AS state, lower(n_name) AS name, 'https://example.org/usa/' || r_name || '/' || lower(n_name) || '/' AS url
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def market_links(spark, d):
+    """Links of index pages made of the regions' nations: absolute and relative, both quotes, repeated, too short, too deep, bad."""
+    T = Tables(spark, d)
+    j = T.nation.join(F.broadcast(T.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    at = F.concat(F.lit("/usa/"), "r_name", F.lit("/"), F.lower("n_name"))
+    html = F.concat(F.lit("<A HREF='"), at, F.lit("/'>x</A><a class=b href=\"https://example.org"), at, F.lit("?q=1\">y</a><a href="), at,
+                    F.lit("/deep>z</a><a href='/usa/"), "r_name", F.lit("/privacy'>p</a><a href='/usa/"), "r_name", F.lit("/'>s</a>"))
+    pages = j.select(F.col("r_name").alias("state"), html.alias("html"))
+    return E.path_links(pages, "html", ["state"], "https://example.org", ["usa", F.col("state")], 3,
+                        ("quote", "contact", "about", "privacy", "terms"))
+
+
+@query("rate_limit", f"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '{_sq(TX.HREF)}', 1)) AS INTEGER) AS n_links,
+       contains(html, 'Page View Limit') AND len(regexp_extract_all(html, '{_sq(TX.HREF)}', 1)) = 0 AS rate_limited
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Page View Limit' WHEN 1 THEN 'Page View Limit ' || html ELSE html END AS html FROM pages)""")
 def rate_limit(spark, d):
-    p = Tables(spark, d).pages
+    """Pages, of which some show the marker in place of their links, and some besides them."""
+    marker, k = F.lit("Page View Limit"), F.col("page_id") % 5
+    p = Tables(spark, d).pages.withColumn("html", F.when(k == 0, marker).when(k == 1, F.concat_ws(" ", marker, "html")).otherwise(F.col("html")))
     n = F.size(TX.hrefs(F.col("html")))
     return p.select("page_id", n.alias("n_links"), E.rate_limited(p, "html", n).alias("rate_limited"))
 

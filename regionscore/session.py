@@ -41,11 +41,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder from ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we create a scratch folder
-    and register it; on a cluster the setting names shared storage.
+    Only a local session that has none (tests) gets a scratch folder; on a
+    cluster a machine-local folder would hold a part of the data on each
+    machine, so that the setting is required there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = tempfile.mkdtemp(prefix="regionscore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

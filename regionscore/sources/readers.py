@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,8 @@ DTYPE_NAMES = {"string": "string", "str": "string", "float64": "double", "float"
 ENCODINGS = ["utf-8", "latin-1", "cp1252"]
 # ---------------------------------------------------------------------------
 
+SPARK_CHARSETS = {"latin-1": "ISO-8859-1"}
+
 
 def norm_column_name(name: str) -> str:
     """Newlines and runs of spaces -> one space, trimmed (S-9)."""
@@ -57,15 +60,19 @@ def apply_dtypes(df: DataFrame, dtypes: dict[str, str], strict: bool = False) ->
             out[c] = F.trim(F.col(c).cast("string"))
         elif kind == "double":
             out[c] = to_number(F.col(c))
-        else:
-            out[c] = to_number(F.col(c)).cast(kind)
+        else:  # digit for digit: a double holds 53 bits only, and an overflow is null, not a failed job
+            s = F.regexp_replace(F.trim(F.col(c).cast("string")), ",", "")
+            out[c] = F.coalesce(s.try_cast(kind), s.try_cast("decimal(38,9)").try_cast(kind))
     return df.withColumns(out) if out else df
 
 
 def read_csv(spark: SparkSession, paths: list[str] | str, sep: str = ",", encoding: str = "utf-8",
              columns: list[str] | None = None) -> DataFrame:
     """CSV with header; with ``columns`` the schema is declared (all strings)."""
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE")
+    charset = SPARK_CHARSETS.get(encoding, encoding)
+    r = spark.read.option("header", True).option("sep", sep).option("encoding", charset).option("mode", "PERMISSIVE")
+    if charset.upper().startswith("UTF-16"):
+        r = r.option("multiLine", True)  # line feeds are two bytes there: a file is decoded as a whole
     if columns:
         r = r.schema(string_schema(columns))
     else:
@@ -74,15 +81,21 @@ def read_csv(spark: SparkSession, paths: list[str] | str, sep: str = ",", encodi
 
 
 def detect_format(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, encoding, sep) per file from the first bytes: UTF-16 BOM -> tab, else utf-8,
-    with tab when the first line has more tabs than commas (S-2)."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, 4096).alias("head"))
-    bom16 = F.hex(F.substring("head", 1, 2)).isin("FFFE", "FEFF")
-    first = F.substring_index(F.decode("head", "UTF-8"), "\n", 1)
-    tabs = F.size(F.split(first, "\t")) - 1
-    commas = F.size(F.split(first, ",")) - 1
-    return files.select("path", F.when(bom16, F.lit("UTF-16")).otherwise(F.lit("utf-8")).alias("encoding"),
-                        F.when(bom16 | (tabs > commas), F.lit("\t")).otherwise(F.lit(",")).alias("sep"))
+    """(path, encoding, sep) per file (S-2), from all its lines, which are read in splits like any text.
+
+    A UTF-16 byte order mark gives UTF-16 and tab; else the first of ENCODINGS
+    that every line is valid in (any bytes are valid latin-1); tab when the file
+    has more tabs than commas.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = F.col("value").cast("binary")
+    count = lambda c: F.sum(F.length(raw) - F.length(F.replace("value", F.lit(c)).cast("binary")))
+    found = lines.groupBy("path").agg(
+        F.max(F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF")).alias("bom"), F.min(F.is_valid_utf8("value")).alias("utf8"),
+        (count("\t") > count(",")).alias("tabs"))
+    return found.select("path", F.when(F.col("bom"), F.lit("UTF-16")).when(F.col("utf8"), F.lit(ENCODINGS[0]))
+                        .otherwise(F.lit(ENCODINGS[1])).alias("encoding"),
+                        F.when(F.col("bom") | F.col("tabs"), F.lit("\t")).otherwise(F.lit(",")).alias("sep"))
 
 
 def read_union(spark: SparkSession, paths: list[str], columns: list[str] | None = None,
@@ -97,16 +110,34 @@ def read_union(spark: SparkSession, paths: list[str], columns: list[str] | None
 
 
 def discover(spark: SparkSession, directory: str, prefix: str, columns: list[str]) -> DataFrame:
-    """All ``prefix*.csv`` files of a folder as one table, unreadable files skipped (S-5, S-6)."""
+    """All ``prefix*.csv`` files of a folder as one table; a missing folder is an empty table (S-5, S-6).
+
+    Any other failure (permission, unreadable file) is raised.
+    """
     r = (spark.read.option("header", True).option("pathGlobFilter", f"{prefix}*.csv")
-         .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).schema(string_schema(columns)))
+         .option("enforceSchema", False).schema(string_schema(columns)))
     try:
         df = r.csv(directory)
-    except Exception:  # noqa: BLE001 - empty or missing folder -> empty table with the schema
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], string_schema(columns + ["source_file"]))
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def header_report(spark: SparkSession, paths: list[str], columns: list[str], sep: str = ",") -> DataFrame:
+    """(path, missing, n_lines) per file: which of ``columns`` its header lacks, and how many lines it has.
+
+    Files to leave out of ``read_union`` or ``discover`` are those with a missing column: a report, not a silent skip.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value"),
+                                          F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    head = F.min_by(F.col("value"), F.struct("at", "i"))
+    names = F.transform(F.split(F.col("head"), sep), lambda x: F.trim(F.regexp_replace(x, '^\ufeff|"', "")))
+    return lines.groupBy("path").agg(head.alias("head"), F.count(F.lit(1)).alias("n_lines")).select(
+        "path", F.array_except(F.array(*[F.lit(c) for c in columns]), names).alias("missing"), "n_lines")
+
+
 def explode_json_map(spark: SparkSession, path: str, value_schema: T.StructType, key_name: str = "url") -> DataFrame:
     """A JSON object {key: record} file -> one row per entry, all record keys kept (S-7)."""
     raw = spark.read.option("wholetext", True).text(path)
@@ -121,6 +152,23 @@ def inspect_dtypes(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, dtype string")
 
 
+def inspect_registry(spark: SparkSession, registries: list[dict]) -> DataFrame:
+    """(table, column, dtype, error) over registries of {name: function that gives a DataFrame} (S-11).
+
+    A table that cannot be opened gives one row with its error; a name in two registries is a ValueError.
+    """
+    names = [n for r in registries for n in r]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"tables registered twice: {twice}")
+    rows = []
+    for name, open_table in ((n, f) for r in registries for n, f in r.items()):
+        try:
+            rows += [(name, c, t, None) for c, t in open_table().dtypes]
+        except AnalysisException as e:
+            rows.append((name, None, None, e.getCondition() or type(e).__name__))
+    return spark.createDataFrame(rows, "table string, column string, dtype string, error string")
+
+
 # Sinks ---------------------------------------------------------------------------------
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -147,8 +195,10 @@ def write_counts(df: DataFrame, name_col: str, path: str) -> None:
 
 
 def to_markdown(small: DataFrame, max_rows: int = 200) -> str:
-    """Markdown table of a small report (K-4); the row bound is explicit."""
-    rows = small.limit(max_rows).collect()
+    """Markdown table of a small report (K-4); a larger one says how many rows it has in all."""
+    rows = small.limit(max_rows + 1).collect()
+    more = f"{max_rows} of {small.count()} rows" if len(rows) > max_rows else ""
+    rows = rows[:max_rows]
     cols = small.columns
     head = "| " + " | ".join(cols) + " |\n|" + "---|" * len(cols) + "\n"
-    return head + "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in cols) + " |\n" for r in rows)
+    return head + "".join("| " + " | ".join("" if r[c] is None else str(r[c]) for c in cols) + " |\n" for r in rows) + more

@@ -7,8 +7,10 @@ entity-signal steps (R-1…R-3).
   write for a batch id is idempotent: it overwrites that batch's folder).
 * ``stream_dedup``: ``withWatermark`` + ``dropDuplicatesWithinWatermark``;
   state is bounded by the watermark delay.
-* ``stream_signal``: stateful ``groupBy(entity).agg(avg, count)``; state is one
-  row per entity.
+* ``dedup_with_late``: the same with a side output of the rows that come later
+  than the delay allows, which Spark's operator drops without a trace.
+* ``stream_signal``: stateful ``groupBy(entity).agg(avg, count)`` in update mode;
+  state is one row per entity, and a batch writes the entities that it changed.
 
 Checkpoints and sinks live under the shared folder of ``spark.checkpoint.dir``.
 """
@@ -53,30 +55,55 @@ def stream_dedup(df: DataFrame, keys: list[str], ts: str, delay: str = "1 hour")
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def dedup_with_late(df: DataFrame, keys: list[str], ts: str, delay: str, sink: str, checkpoint: str) -> None:
+    """First row per key within the watermark to ``sink``/kept, rows behind the watermark to ``sink``/late.
+
+    The watermark of a batch is the largest time of the batches before it, less
+    ``delay``; only kept rows at or after it are looked at for duplicates. Every
+    output of a batch is a folder of its own, so that a replayed batch replaces it.
+    """
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [os.path.join(sink, "marks", f"batch={i}") for i in range(batch_id)]
+        mark = spark.read.parquet(*before).agg(F.max("mark") - F.expr(f"interval {delay}")).first()[0] if before else None
+        behind = F.lit(False) if mark is None else F.coalesce(F.col(ts) < F.lit(mark), F.lit(False))
+        batch.where(behind).write.mode("overwrite").parquet(os.path.join(sink, "late", f"batch={batch_id}"))
+        fresh = batch.where(~behind).dropDuplicates(keys)
+        if before:
+            kept = spark.read.parquet(*[os.path.join(sink, "kept", f"batch={i}") for i in range(batch_id)])
+            fresh = fresh.join(kept.where(F.col(ts) >= F.lit(mark)).select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(os.path.join(sink, "kept", f"batch={batch_id}"))
+        batch.agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(os.path.join(sink, "marks", f"batch={batch_id}"))
+
+    q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def stream_signal(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(df: DataFrame, mode: str, checkpoint: str, sink_path: str) -> DataFrame:
+def run_to_table(df: DataFrame, mode: str, checkpoint: str, sink_path: str, keys: list[str] | None = None) -> DataFrame:
     """Drive a streaming query over all available input into Parquet and read the result.
 
-    ``complete`` mode (aggregates) rewrites the whole result per batch; other
-    modes append every batch.
+    Every batch is a folder of its own. ``update`` mode (aggregates) writes the
+    groups that a batch changed, and the last batch's row of each of ``keys`` counts.
     """
     spark = df.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(os.path.join(sink_path, "current"))
-        else:
-            batch.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch={batch_id}"))
+        batch.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch={batch_id}"))
 
     q = (df.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if mode == "complete":
-        return spark.read.parquet(os.path.join(sink_path, "current"))
-    return spark.read.parquet(sink_path).drop("batch")
+    out = spark.read.parquet(sink_path)
+    if mode == "update":
+        rest = [c for c in out.columns if c not in (*keys, "batch")]
+        last = F.max_by(F.struct(*rest), "batch").alias("_last")
+        return out.groupBy(*keys).agg(last).select(*keys, *[f"_last.{c}" for c in rest])
+    return out.drop("batch")
 
 
 EVENTS_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -101,4 +128,17 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stream_signal(events_stream(spark, sf_dir), ["event_type"], "value")
-    return run_to_table(s, "complete", _scratch(spark, "signal-ckpt"), _scratch(spark, "signal-sink"))
+    return run_to_table(s, "update", _scratch(spark, "signal-ckpt"), _scratch(spark, "signal-sink"), ["event_type"])
+
+
+def late_events(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
+    """The events in four files, read one file a batch: those that come behind the watermark."""
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(os.path.join(sf_dir, "events.parquet"))
+    source, sink = _scratch(spark, "late-source"), _scratch(spark, "late-sink")
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+    stream = read_stream(spark, source, EVENTS_SCHEMA, max_files=1).withColumn("hour", F.date_trunc("hour", "ts"))
+    dedup_with_late(stream, ["user_id", "event_type", "hour"], "ts", delay, sink, _scratch(spark, "late-ckpt"))
+    both = [spark.read.parquet(os.path.join(sink, side)).select("event_id", "user_id", "event_type", "hour", F.lit(side).alias("side"))
+            for side in ("kept", "late")]
+    return both[0].unionByName(both[1])

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from regionscore.functions import text as TX
 from regionscore.operators import evidence as E
 from regionscore.operators import explain as XP
 from regionscore.operators.rank import knn
@@ -26,17 +27,38 @@ def test_parse_verdicts_success_and_failure(spark):
         [("Virginia", "Loudoun County", 0.0)]
 
 
-def test_cards_skip_suite_lines_and_dedup(spark):
-    html = ("<article><h3>DC One</h3><p>Acme</p><p>Suite 200</p><p>Ashburn VA 20147-1234</p></article>"
-            "<article><h3>DC One</h3><p>Acme</p></article><article><h3>DC Two</h3><p>Beta</p></article>")
+def test_cards_of_listing_pages(spark):
+    card = ('<a class="ui card" href="/usa/va/ashburn/{0}"><div class="header">DC One</div><div class="description">Acme<br>'
+            '12345 Main St<br>Suite 200<br>{1}<br>Suite 9<br>Ashburn</div></a>')
+    html = (card.format("a", "20147-1234") + card.format("b", "VA 20147") + card.format("a", "99999")
+            + '<a class="card" href="/usa/va/other/c"><p class="header">X</p><p class="description">a<br>b</p></a>'
+            + '<a class="card" href="/usa/va/ashburn/d"><p class="header">X</p><p class="description">a</p></a>')
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
-    cards = {r["facility"]: r for r in E.extract_cards(df, "html", ["page_id"]).collect()}
-    assert set(cards) == {"DC One", "DC Two"}
-    assert cards["DC Two"]["company"] == "Beta" and cards["DC Two"]["zip"] is None
-    limited = df.select(E.rate_limited(df, "html", F.lit(0), marker="DC Two").alias("x")).first()["x"]
+    cards = {r["href"][-1]: r for r in E.extract_cards(df, "html", ["page_id"], ["usa", "va", "ashburn"]).collect()}
+    assert set(cards) == {"a", "b"}  # equal names are two sites; a repeated href is one
+    assert (cards["a"]["facility"], cards["a"]["company"], cards["a"]["street"]) == ("DC One", "Acme", "12345 Main St")
+    assert (cards["a"]["zip"], cards["a"]["city"]) == ("20147", "Ashburn") and cards["b"]["zip"] is None
+    limited = df.select(E.rate_limited(df, "html", F.lit(0), marker="DC One").alias("x")).first()["x"]
     assert limited is True
 
 
+def test_verdicts_keep_the_fields_of_valid_replies(spark):
+    df = spark.createDataFrame([(1, '{"mentioned_state": "Ohio", "is_data_center_policy": true, "summary": null}'),
+                                (2, '{"mentioned_state": "Ohio", "is_data_center'), (3, '{"support_data_center_siting": false}')],
+                               "id int, reply string")
+    rows = {r["id"]: r for r in E.parse_verdicts(df, "reply", ["id"]).collect()}
+    assert rows[1]["mentioned_state"] == "Ohio" and rows[1]["is_data_center_policy"] and rows[1]["error"] is None
+    assert rows[1]["summary"] == "" and rows[2]["error"] == "unparsable reply" and rows[2]["mentioned_state"] is None
+    assert rows[3]["support_data_center_siting"] == "false" and rows[3]["error"] is None
+
+
+def test_entities_and_links(spark):
+    page = "<p>a&#8217;b &eacute; &#x27;x&#X41; &amp;lt; &unknown; &#0; &nbsp</p><A HREF='/one'>1</A><a class=x href=/two>2</a><a  href=\"/three\">3</a>"
+    df = spark.createDataFrame([(page,)], "html string")
+    row = df.select(TX.html_to_text("html").alias("t"), TX.hrefs("html").alias("h")).first()
+    assert row["t"].split("\n")[0] == "a\u2019b é 'xA &lt; &unknown; &#0; &nbsp" and row["h"] == ["/one", "/two", "/three"]
+
+
 def test_rank_shift_direction(spark):
     imp = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2), ("s1", "c", 3), ("s2", "a", 3), ("s2", "b", 2),
                                  ("s2", "c", 1)], "stage string, feature string, rank int")

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regionscore.operators import quantile as Q
 from regionscore.operators.quantile import exact_quantiles, hash_rank, prefix_sums
 from regionscore.operators.rank import global_rank
 
@@ -44,3 +47,30 @@ def test_hash_rank_dense_per_stratum(spark):
     for s in (0, 1):
         ranks = sorted(x["_rank"] for x in r.where(F.col("s") == s).collect())
         assert ranks == list(range(1, 151))
+
+
+def test_rank_spreads_ties(spark):
+    """A third of all rows with one score, and null scores, are cut by key as well; text keys too."""
+    rows = [(i, None if i % 11 == 0 else 0.0 if i % 3 == 0 else float(i % 97), f"k{i * 7919 % 4000:05d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, s double, t string")
+    for key, at in (("k", 0), ("t", 2)):
+        got = {r[key]: r["rank"] for r in global_rank(df, "s", key, chunks=16).collect()}
+        expect = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[at]))
+        assert [got[r[at]] for r in expect] == list(range(1, 4001))
+
+
+def test_quantile_plan_has_no_cartesian_product_and_no_group_only_join(spark, skewed, monkeypatch):
+    df, rows = skewed
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)  # as with more groups than may be broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = Q.exact_quantiles(df, ["g"], "v", {"med": 0.5})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "_salt" in plan
+        for keys in re.findall(r"SortMergeJoin \[([^\]]*)\]", plan):
+            assert "_salt" in keys
+        assert {r["g"]: r["med"] for r in found.collect()} == {
+            g: pytest.approx(np.median([v for k, v in rows if k == g])) for g in {g for g, _ in rows}}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

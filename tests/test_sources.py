@@ -1,9 +1,12 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF_SMALL
+from regionscore.session import checkpoint_dir
 from regionscore.plans.spec import TableSpec, compile_spec
 from regionscore.sources import readers as RD
 
@@ -49,3 +52,44 @@ def test_json_map_scan_and_inspection(spark, tmp_path):
     assert info.where(F.col("column") == "n_name").first()["dtype"] == "string"
     md = RD.to_markdown(nation.orderBy("n_nationkey"), max_rows=3)
     assert md.count("\n") == 5
+
+
+def test_integers_keep_all_digits_and_overflow_is_null(spark):
+    df = spark.createDataFrame([("9,007,199,254,740,993",), ("1e30",), ("12.0",), ("x",), (None,)], "n string")
+    assert [r["n"] for r in RD.apply_dtypes(df, {"n": "int64"}).collect()] == [9007199254740993, None, 12, None, None]
+
+
+def test_latin1_and_utf16_files_are_recognised(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("zip,name\n1,Café\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("zip\tname\n2\tÉté\n".encode("utf-16"))
+    (tmp_path / "c.csv").write_bytes("zip,name\n3,Ñandú\n".encode())
+    paths = [str(tmp_path / f"{x}.csv") for x in "abc"]
+    found = {r["path"][-5]: (r["encoding"], r["sep"]) for r in RD.detect_format(spark, paths).collect()}
+    assert found == {"a": ("latin-1", ","), "b": ("UTF-16", "\t"), "c": ("utf-8", ",")}
+    rows = RD.read_union(spark, paths, ["zip", "name"], [found[x] for x in "abc"]).collect()
+    assert {(r["zip"], r["name"]) for r in rows} == {("1", "Café"), ("2", "Été"), ("3", "Ñandú")}
+
+
+def test_reports_of_files_and_registries(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("zip,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("zip,other\n1,x\n2,y\n")
+    got = {r["path"][-5]: (r["missing"], r["n_lines"]) for r in RD.header_report(spark, [str(tmp_path)], ["zip", "name"]).collect()}
+    assert got == {"a": ([], 2), "b": (["name"], 3)}
+    tables = {"good": lambda: spark.range(1), "gone": lambda: spark.read.parquet(str(tmp_path / "none"))}
+    rows = {r["table"]: (r["column"], r["error"]) for r in RD.inspect_registry(spark, [tables]).collect()}
+    assert rows == {"good": ("id", None), "gone": (None, "PATH_NOT_FOUND")}
+    with pytest.raises(ValueError):
+        RD.inspect_registry(spark, [tables, {"good": tables["good"]}])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
