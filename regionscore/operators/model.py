@@ -10,6 +10,8 @@ thing the driver holds.
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,10 +19,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionscore.operators.metrics import tweedie_deviance
+from regionscore.operators.quantile import exact_median
+from regionscore.operators.split import kfold
+from regionscore.session import cut_lineage
 
 SCALE_FLOOR = 1e-9
 
@@ -31,31 +36,41 @@ def feature_columns(df: DataFrame, exclude: list[str]) -> list[str]:
 
 
 def _prep_stages(features: list[str]):
-    return [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
+    return [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"),
             StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
 
 
 def fit_tweedie(df: DataFrame, features: list[str], target: str, power: float, reg: float = 1e-4,
                 max_iter: int = 50) -> PipelineModel:
-    glr = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=target,
-                                      featuresCol="features", predictionCol="pred", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[*_prep_stages(features), glr]).fit(df)
+    return Pipeline(stages=[*_prep_stages(features), _tweedie(target, power, reg, max_iter)]).fit(df)
+
+
+def _tweedie(target: str, power: float, reg: float, max_iter: int = 50) -> GeneralizedLinearRegression:
+    return GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=target,
+                                       featuresCol="features", predictionCol="pred", regParam=reg, maxIter=max_iter)
 
 
 def tweedie_cv(df: DataFrame, features: list[str], target: str, fold_col: str, powers: list[float],
                reg: float = 1e-4) -> DataFrame:
     """Mean out-of-fold deviance per Tweedie power: rows (power, fold, deviance).
 
-    ``df`` should be cached by the caller; each (power, fold) is one distributed fit.
+    The frame is checkpointed, the scaler fitted once per fold, and the (power, fold) fits, each distributed, run
+    a few at a time.
     """
     spark = df.sparkSession
+    df = cut_lineage(df.select(*features, target, fold_col))
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # k values
-    rows = []
-    for p in powers:
-        for k in folds:
-            m = fit_tweedie(df.where(F.col(fold_col) != k), features, target, p, reg)
-            dev = tweedie_deviance(m.transform(df.where(F.col(fold_col) == k)), target, "pred", p).first()[0]
-            rows.append((float(p), int(k), float(dev)))
+    ready = {k: Pipeline(stages=_prep_stages(features)).fit(df.where(F.col(fold_col) != k)) for k in folds}
+
+    def run(job: tuple) -> tuple:
+        p, k = job
+        scaled = ready[k].transform(df)
+        m = _tweedie(target, p, reg).fit(scaled.where(F.col(fold_col) != k))
+        dev = tweedie_deviance(m.transform(scaled.where(F.col(fold_col) == k)), target, "pred", p).first()[0]
+        return float(p), int(k), float(dev)
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(run, [(p, k) for p in powers for k in folds]))
     return spark.createDataFrame(rows, "power double, fold int, deviance double")
 
 
@@ -81,15 +96,32 @@ class HurdleModel:
     def save(self, path: str) -> None:
         self.stage1.write().overwrite().save(path + "/stage1")
         self.stage2.write().overwrite().save(path + "/stage2")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps({"features": self.features, "power": self.power}),)], "value string") \
+            .coalesce(1).write.mode("overwrite").text(path + "/meta")
 
     @staticmethod
-    def load(path: str, features: list[str], power: float) -> "HurdleModel":
-        return HurdleModel(features, PipelineModel.load(path + "/stage1"), PipelineModel.load(path + "/stage2"), power)
+    def load(path: str) -> "HurdleModel":
+        meta = json.loads(SparkSession.getActiveSession().read.text(path + "/meta").first()[0])
+        return HurdleModel(meta["features"], PipelineModel.load(path + "/stage1"), PipelineModel.load(path + "/stage2"), meta["power"])
+
+
+def search_power(df: DataFrame, features: list[str], target: str, key: str, powers: list[float], folds: int = 5,
+                 seed: int = 42, reg: float = 1e-4) -> float:
+    """The Tweedie power of least cross-validated deviance on the positive rows; strata: above their median or not."""
+    positive = df.where(F.col(target) > 0)
+    middle = exact_median(positive, [], target, "m").first()["m"]
+    parts = kfold(positive, key, F.col(target) > F.lit(middle), folds, seed)
+    return best_power(tweedie_cv(parts, features, target, "fold", powers, reg))
 
 
 def fit_hurdle(df: DataFrame, features: list[str], target: str, power: float = 1.8,
                reg: float = 1e-4) -> HurdleModel:
-    """Stage 1 on all rows (presence = target > 0, positives re-weighted), stage 2 on positives."""
+    """Stage 1 on all rows (presence = target > 0, positives re-weighted), stage 2 on positives.
+
+    The columns used are checkpointed once, so that no iteration of a fit goes back to the sources.
+    """
+    df = cut_lineage(df.select(*features, target))
     counts = df.agg(F.sum((F.col(target) > 0).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, n = counts["pos"] or 0, counts["n"]
     w = (n - pos) / pos if pos else 1.0

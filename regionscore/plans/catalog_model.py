@@ -121,6 +121,15 @@ def split_stratified(spark, d):
     return S.stratified_split(f, "c_custkey", F.col("y") > 0, 0.2, 42).select("c_custkey", "split")
 
 
+@query("holdout", f"""WITH {CUST_FEAT_SQL},
+r AS (SELECT c_custkey, row_number() OVER (PARTITION BY y > 0 ORDER BY {_HASH_ORDER}) AS rk, count(*) OVER (PARTITION BY y > 0) AS n FROM feat)
+SELECT c_custkey, rk <= ceil(n * 0.1) AS is_valid FROM r""")
+def holdout(spark, d):
+    """The inner holdout that stops a fit early."""
+    f = customer_features(spark, d).select("c_custkey", "y")
+    return S.holdout(f, "c_custkey", F.col("y") > 0, 0.1, 42).select("c_custkey", "is_valid")
+
+
 @query("kfold", f"""WITH {CUST_FEAT_SQL},
 r AS (SELECT c_custkey, row_number() OVER (PARTITION BY y > 0 ORDER BY {_HASH_ORDER}) AS rk FROM feat)
 SELECT c_custkey, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM r""")

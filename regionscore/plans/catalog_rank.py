@@ -7,6 +7,9 @@ solver) are registered without one and checked by invariants in the tests.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from regionscore.operators import explain as XP
@@ -16,8 +19,11 @@ from regionscore.operators import split as S
 from regionscore.plans.catalog import _r, query
 from regionscore.plans.catalog_model import CUST_FEAT_SQL, PREP_SPEC, customer_features
 from regionscore.operators import prep as PR
+from regionscore.session import checkpoint_dir, cut_lineage
 from regionscore.sources.tables import Tables
 
+REG = 1e-4
+POWERS = [1.2, 1.5, 1.8]
 FEATURES = ["c_acctbal", "c_acctbal_missing", "n_orders", "n_orders_above_floor", "sum_f", "n_p", "avg_urgent"]
 
 
@@ -137,7 +143,7 @@ def _model_table(spark, d):
 @query("hurdle_scores")
 def hurdle_scores(spark, d):
     t = _model_table(spark, d)
-    m = MD.fit_hurdle(t, FEATURES, "y", power=1.5)
+    m = MD.fit_hurdle(t, FEATURES, "y", MD.search_power(t, FEATURES, "y", "c_custkey", POWERS, 3))
     s = m.score(t)
     return RK.global_rank(s, "attractiveness", "c_custkey").select(
         "rank", "c_custkey", "y", F.round("p_presence", 4).alias("p_presence"),
@@ -146,8 +152,8 @@ def hurdle_scores(spark, d):
 
 @query("tweedie_cv")
 def tweedie_cv(spark, d):
-    t = S.kfold(_model_table(spark, d), "c_custkey", F.col("y") > 0, 3, 42).cache()
-    cv = MD.tweedie_cv(t, FEATURES, "y", "fold", [1.2, 1.5, 1.8])
+    t = S.kfold(_model_table(spark, d), "c_custkey", F.col("y") > 0, 3, 42)
+    cv = MD.tweedie_cv(t, FEATURES, "y", "fold", POWERS)
     return cv.groupBy("power").agg(F.avg("deviance").alias("cv_deviance"))
 
 
@@ -160,6 +166,63 @@ def attribution_long(spark, d):
     return a1.unionByName(a2)
 
 
+@query("model_checks", """
+SELECT 'attribution_stage1' AS name, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'attribution_stage2', 0
+UNION ALL SELECT 'gradient_stage1', 0 UNION ALL SELECT 'gradient_stage2', 0
+UNION ALL SELECT 'rank_permutation', 0 UNION ALL SELECT 'scored_customers', count(*) FROM customer""")
+def model_checks(spark, d):
+    """Fitted models held to what must hold for any of them: attributions add up to the link of the prediction, the
+    penalised gradients are zero at the optimum, ranks are a permutation, every customer is scored."""
+    t = cut_lineage(_model_table(spark, d))
+    m = MD.fit_hurdle(t, FEATURES, "y", power=1.5, reg=REG)
+    s = m.score(t)
+    n = t.count()
+
+    def identity(stage, model, link, scored):
+        a = XP.attribution_long(model, t, "c_custkey", FEATURES, stage).groupBy("c_custkey").agg(
+            (F.sum("phi") + F.first("base")).alias("sum"))
+        return (a.join(scored.select("c_custkey", link.alias("link")), "c_custkey")
+                .agg(F.count_if(F.abs(F.col("sum") - F.col("link")) > 1e-6).alias("violations")))
+
+    logit = F.ln(F.col("p_presence") / (1 - F.col("p_presence")))
+    checks = [("attribution_stage1", identity("stage1", m.stage1, logit, s)),
+              ("attribution_stage2", identity("stage2", m.stage2, F.ln("expected_scale"), s))]
+    z = [vector_to_array("features")[i] for i in range(len(FEATURES))]
+
+    def gradient(model, rows, error, weight):
+        """Features (and the intercept) whose mean gradient, with the penalty, is not near zero."""
+        scaled = model.stages[1].transform(model.stages[0].transform(rows))
+        means = scaled.agg(*[(F.sum(weight * error * x) / F.sum(weight)).alias(f"g{i}") for i, x in enumerate([*z, F.lit(1.0)])])
+        penalty = [REG * float(c) for c in model.stages[-1].coefficients] + [0.0]
+        return means.select(sum((F.abs(F.col(f"g{i}") + p) > 1e-3).cast("long") for i, p in enumerate(penalty)).alias("violations"))
+
+    pos = s.where("y > 0").count()
+    weight = F.when(F.col("y") > 0, F.lit((n - pos) / max(pos, 1))).otherwise(F.lit(1.0))
+    checks += [("gradient_stage1", gradient(m.stage1, s, F.col("p_presence") - (F.col("y") > 0).cast("double"), weight)),
+               ("gradient_stage2", gradient(m.stage2, s.where("y > 0"), (F.col("expected_scale") - F.col("y"))
+                                            * F.pow(F.col("expected_scale"), F.lit(-0.5)), F.lit(1.0)))]
+    ranks = RK.global_rank(s, "attractiveness", "c_custkey").agg(
+        (F.count(F.lit(1)) - F.count_distinct("rank") + F.abs(F.max("rank") - F.count(F.lit(1)))
+         + F.abs(F.min("rank") - 1)).cast("long").alias("violations"))
+    checks += [("rank_permutation", ranks), ("scored_customers", s.agg(F.count_if(F.col("attractiveness") >= 0).alias("violations")))]
+    out = None
+    for name, one in checks:
+        one = one.select(F.lit(name).alias("name"), F.col("violations").cast("long").alias("violations"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("rank_export", f"""WITH {_FIXED_SQL}
+SELECT CAST(row_number() OVER (ORDER BY attractiveness DESC, c_custkey) AS BIGINT) AS rank, CAST(c_custkey AS BIGINT) AS c_custkey,
+       CAST(attractiveness AS DOUBLE) AS attractiveness FROM fx""")
+def rank_export(spark, d):
+    """A ranking written as CSV with its ranks, and read again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ranking-{uuid.uuid4().hex}"
+    ranked = RK.global_rank(_fixed_scores(spark, d), "attractiveness", "c_custkey")
+    RK.export_ranking(ranked.select("rank", "c_custkey", "attractiveness"), path)
+    return spark.read.option("header", True).schema("rank long, c_custkey long, attractiveness double").csv(path)
+
+
 @query("model_importance")
 def model_importance(spark, d):
     return XP.importance(attribution_long(spark, d))
