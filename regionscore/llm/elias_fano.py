@@ -12,7 +12,24 @@ import os
 
 import numpy as np
 
-CHUNK = 1 << 16
+#: By byte and r, the place of its r-th one (from 0; 8: it has fewer).
+SELECT = np.stack([np.where((np.cumsum(b := np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1)
+                             == r + 1) & (b == 1), np.arange(8), 8).min(axis=1) for r in range(8)], axis=1).astype(np.uint64)
+#: Every byte of a word 01, 80, 0F; every two bits 01; every four bits 0011.
+EACH, HIGH, LOW = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(0x0F0F0F0F0F0F0F0F)
+PAIRS, FOURS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
+
+
+def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th one (from 0) in each 64-bit word; any number if it has fewer."""
+    u, r = np.uint64, r.astype(np.uint64) & np.uint64(63)
+    s = words - (words >> u(1) & PAIRS)
+    s = (s & FOURS) + (s >> u(2) & FOURS)
+    s = (s + (s >> u(4)) & LOW) * EACH  # each byte: the ones up to it
+    octet = np.minimum(np.bitwise_count(((r * EACH | HIGH) - s) & HIGH), 7).astype(np.uint64) << u(3)  # bytes that end before it
+    before = (s << u(8)) >> octet & u(255)
+    own = words >> octet & u(255)
+    return (octet + SELECT[own.astype(np.intp), np.minimum(r - before, u(7)).astype(np.intp)]).astype(np.int64)
 
 
 class EliasFano:
@@ -53,45 +70,51 @@ class EliasFano:
 
     def _begin(self, h: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least h: ones before the zero number h-1."""
-        out = np.empty(len(h), np.int64)
-        for k in range(0, len(h), CHUNK):
-            z = h[k:k + CHUNK].astype(np.int64) - 1
-            word = np.clip(np.searchsorted(self.zeros, z, "right") - 1, 0, len(self.high) - 1)
-            bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            place = (np.cumsum(1 - bits, axis=1, dtype=np.int16) > (z - self.zeros[word])[:, None]).argmax(axis=1)
-            found = word * 64 + place - z
-            out[k:k + CHUNK] = np.where(z < 0, 0, np.where(z >= self.zeros[-1], self.n, np.minimum(found, self.n)))
-        return out
+        z = h.astype(np.int64) - 1
+        word = np.clip(np.searchsorted(self.zeros, z, "right") - 1, 0, len(self.high) - 1)
+        found = word * 64 + select_in_words(~self.high[word], z - self.zeros[word]) - z
+        return np.where(z < 0, 0, np.where(z >= self.zeros[-1], self.n, np.minimum(found, self.n)))
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x, the index of the first value that is at least x (n: none), and whether it is x."""
         x = x.astype(np.uint64)
         h, want = x >> np.uint64(self.width), x & np.uint64((1 << self.width) - 1)
-        a, b = self._begin(h), self._begin(h + np.uint64(1))
-        end = b.copy()
-        while (open_ := a < b).any():
-            mid = (a + b) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self._low(mid[open_]) < want[open_]
-            a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-        hit = a < end
-        hit[hit] = self._low(a[hit]) == want[hit]
-        return a, hit
+        at = self._begin(h)
+        hit, open_, h = np.zeros(len(x), bool), np.arange(len(x)), h.astype(np.int64)
+        for _ in range(2):  # along the ones of the high part, of which there mostly are one or two
+            bit = at[open_] + h[open_]
+            word = np.minimum(bit >> 6, len(self.high) - 1)
+            inside = (self.high[word] >> (bit & 63).astype(np.uint64) & np.uint64(1) == 1) & (bit >> 6 < len(self.high))
+            open_ = open_[inside]
+            low, aim = self._low(at[open_]), want[open_]
+            hit[open_[low == aim]] = True
+            open_ = open_[low < aim]
+            at[open_] += 1
+        if len(open_):  # long runs: a binary search up to the next high part
+            a, aim = at[open_], want[open_]
+            end = self._begin((h[open_] + 1).astype(np.uint64))
+            b = end.copy()
+            live = np.flatnonzero(a < b)
+            while len(live):
+                mid = (a[live] + b[live]) >> 1
+                less = self._low(mid) < aim[live]
+                a[live[less]], b[live[~less]] = mid[less] + 1, mid[~less]
+                live = live[a[live] < b[live]]
+            at[open_] = a
+            inside = np.flatnonzero(a < end)
+            hit[open_[inside[self._low(a[inside]) == aim[inside]]]] = True
+        return at, hit
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"low": self.low, "high": self.high, "zeros": self.zeros, "shape": np.array([self.n, self.width])}
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index."""
-        out = np.empty(len(i), np.uint64)
+        i = i.astype(np.int64)
         ones = np.arange(len(self.zeros)) * 64 - self.zeros  # ones before each word of high
-        for k in range(0, len(i), CHUNK):
-            j = i[k:k + CHUNK].astype(np.int64)
-            word = np.searchsorted(ones, j, "right") - 1
-            bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            place = (np.cumsum(bits, axis=1, dtype=np.int16) > (j - ones[word])[:, None]).argmax(axis=1)
-            out[k:k + CHUNK] = (word * 64 + place - j).astype(np.uint64) << np.uint64(self.width)
-        return out | self._low(i)
+        word = np.clip(np.searchsorted(ones, i, "right") - 1, 0, len(self.high) - 1)
+        part = word * 64 + select_in_words(self.high[word], i - ones[word]) - i
+        return part.astype(np.uint64) << np.uint64(self.width) | self._low(i)
 
 
 class NgramTrie:
@@ -135,25 +158,52 @@ class NgramTrie:
                          [through(f"codes{k}", c) for k, c in enumerate(self.codes)], self.span)
 
     def lookup(self, paths: np.ndarray) -> list[np.ndarray]:
-        """For each level from the second, the code rows of the paths' prefixes; zeros where there is none."""
-        index, hit = self.levels[0].successor(paths[:, 0])
+        """For each level from the second, the code rows of the paths' prefixes; zeros where there is none.
+
+        Neighbours with one prefix are looked up once: sorted paths save most of the work.
+        """
+        fresh = prefix_starts(paths, 1)
+        group = np.cumsum(fresh) - 1
+        index, hit = self.levels[0].successor(paths[fresh, 0])
         out = []
         for k in range(1, paths.shape[1]):
-            rows = np.zeros((len(paths), self.codes[k - 1].shape[1]), self.codes[k - 1].dtype)
-            at = np.flatnonzero(hit & (paths[:, k] > 0) & (paths[:, k] < self.span))
-            begin = self.pointers[k - 1].get(index[at]).astype(np.int64)
-            end = self.pointers[k - 1].get(index[at] + 1).astype(np.int64)
-            where, same = self.levels[k].successor(index[at].astype(np.uint64) * np.uint64(self.span) + paths[at, k].astype(np.uint64))
-            same &= (where >= begin) & (where < end)
-            rows[at[same]] = self.codes[k - 1][where[same]]
-            out.append(rows)
-            index, hit = np.zeros(len(paths), np.int64), np.zeros(len(paths), bool)
-            index[at], hit[at] = where, same
+            begin, end = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+            begin[hit] = self.pointers[k - 1].get(index[hit])
+            end[hit] = self.pointers[k - 1].get(index[hit] + 1)
+            at = np.flatnonzero(prefix_starts(paths, k + 1))
+            parent, ids = group[at], paths[at, k]
+            asked = np.flatnonzero(hit[parent] & (ids > 0) & (ids < self.span))
+            context = parent[asked]
+            where, same = self.levels[k].successor(index[context].astype(np.uint64) * np.uint64(self.span) + ids[asked].astype(np.uint64))
+            same &= (where >= begin[context]) & (where < end[context])
+            rows = np.zeros((len(at), self.codes[k - 1].shape[1]), self.codes[k - 1].dtype)
+            rows[asked[same]] = self.codes[k - 1][where[same]]
+            mark = np.zeros(len(paths), np.int64)
+            mark[at] = 1
+            group = np.cumsum(mark) - 1
+            out.append(rows[group])
+            index, hit = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            index[asked], hit[asked] = where, same
         return out
 
 
 def prefix_starts(paths: np.ndarray, k: int) -> np.ndarray:
     """Whether each of the sorted rows begins a new prefix of length k."""
     fresh = np.ones(len(paths), bool)
-    fresh[1:] = (paths[1:, :k] != paths[:-1, :k]).any(axis=1)
+    if len(paths):
+        fresh[1:] = paths[1:, 0] != paths[:-1, 0]
+        for j in range(1, k):
+            fresh[1:] |= paths[1:, j] != paths[:-1, j]
     return fresh
+
+
+def path_order(paths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Order of the rows, of which first ranks the first ids: one sort of packed ids where they fit into 64 bits, else one
+    a column."""
+    bits = [int(c.max(initial=0)).bit_length() for c in (first, *paths.T[1:])]
+    if sum(bits) > 63:
+        return np.lexsort(paths.T[::-1])
+    key = first.astype(np.int64)
+    for j, b in enumerate(bits[1:], 1):
+        key = (key << b) | paths[:, j]
+    return np.argsort(key)

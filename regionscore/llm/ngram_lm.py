@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.llm.common import partitions, shared_table
-from regionscore.llm.elias_fano import NgramTrie, prefix_starts
+from regionscore.llm.elias_fano import NgramTrie, path_order, prefix_starts
 
 #: Quantised logarithms, in two bytes: 0 is zero, 1 is one, STEPS + 1 is 10^-RANGE.
 RANGE, STEPS = 9.0, 65534
@@ -83,26 +83,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class Numbers(dict):
+    """Numbers of words in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def make_block(texts: list[bytes], held: np.ndarray, shards: int) -> dict:
     """Tokens as numbers of the block's words, which are sorted by shard and spelling."""
-    number: dict[bytes, int] = {END: 0}
+    number = Numbers()
+    number[END]  # noqa: B018  the end is number 0
     stream, sizes = [], []
     for text in texts:
         words = text.split()  # bytes: ASCII white space only
-        stream += [number.setdefault(w, len(number)) for w in words]
+        stream.extend(map(number.__getitem__, words))
         stream.append(0)
         sizes.append(len(words) + 1)
     stream, sizes = np.array(stream, np.int64), np.array(sizes, np.int64)
-    words = sorted((zlib.crc32(w) % shards, w, i) for w, i in number.items())
+    words = sorted(number)
+    of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+    order = np.argsort(of, kind="stable")
+    of, words = of[order], [words[i] for i in order.tolist()]
     place = np.empty(len(words), np.int64)
-    place[[i for _, _, i in words]] = np.arange(len(words))
+    place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
     stream = place[stream]
     counts = np.bincount(stream[np.repeat(~held, sizes)], minlength=len(words))
-    of = np.array([s for s, _, _ in words])
     parts = []
     for s in np.unique(of):
         own = range(np.searchsorted(of, s), np.searchsorted(of, s, "right"))
-        spelled = b" ".join(words[i][1] for i in own)
+        spelled = b" ".join(words[own.start:own.stop])
         parts.append({"shard": int(s), "words": zstandard.compress(spelled, 3), "counts": squeeze(counts[own.start:own.stop])})
     return {"sizes": squeeze(sizes), "stream": squeeze(stream), "end": int(place[0]), "parts": parts}
 
@@ -170,7 +181,7 @@ def word_shard(shards: int):
 class Block:
     """A block's tokens with the words' answers: number, count, and the distinct paths of n-grams."""
 
-    def __init__(self, row: dict, numbers: list[bytes], counts: list[bytes], order: int, shards: int, hot: int):
+    def __init__(self, row: dict, numbers: list[bytes], counts: list[bytes], order: int, shards: int, hot: int, send: bool):
         self.number = np.concatenate([expand(x) for x in numbers])
         self.count = [expand(x) for x in counts]
         self.count = np.concatenate([c if len(c) else np.zeros(len(expand(n)), np.int64) for c, n in zip(self.count, numbers, strict=True)])
@@ -199,21 +210,24 @@ class Block:
             key = key * (words + 1) + c
         _, at, path = np.unique(key, return_index=True, return_inverse=True)
         number = np.append(self.number, 0)
-        paths = np.stack([number[c[at]] for c in columns], axis=1)
-        head = self.count[columns[0][at]]
-        shard = (mix(paths[:, 0].astype(np.uint64) ^ np.where(head > hot, mix(paths[:, 1]), np.uint64(0))) % np.uint64(shards)).astype(np.int64)
-        weights = np.bincount(path[np.repeat(~self.held, self.sizes)], minlength=len(at))
-        sort = np.lexsort([*paths.T[::-1], shard])
+        head, one, two = self.count[columns[0][at]], number[columns[0][at]], number[columns[1][at]]
+        shard = (mix(one.astype(np.uint64) ^ np.where(head > hot, mix(two), np.uint64(0))) % np.uint64(shards)).astype(np.int64)
+        # by shard, and in it by the block's words: neighbours share their first words
+        sort = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
         back = np.empty(len(sort), np.int64)
         back[sort] = np.arange(len(sort))
-        self.paths, self.shard, self.weights, self.head, self.path = paths[sort], shard[sort], weights[sort], head[sort], back[path]
+        self.path = back[path]
+        if send:
+            weights = np.bincount(path[np.repeat(~self.held, self.sizes)], minlength=len(at))
+            self.paths = np.stack([one[sort], two[sort], *[number[c[at[sort]]] for c in columns[2:]]], axis=1)
+            self.shard, self.weights, self.head = shard[sort], weights[sort], head[sort]
 
 
 def send_paths(order: int, shards: int, hot: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """The distinct n-grams of a block, one row a shard."""
         right = right.sort_by("shard")
-        b = Block(left.to_pylist()[0], right["numbers"].to_pylist(), right["counts"].to_pylist(), order, shards, hot)
+        b = Block(left.to_pylist()[0], right["numbers"].to_pylist(), right["counts"].to_pylist(), order, shards, hot, send=True)
         cut = np.flatnonzero(np.concatenate(([True], b.shard[1:] != b.shard[:-1], [True]))) if len(b.shard) else np.array([0])
         rows = []
         for a, z in zip(cut[:-1], cut[1:], strict=True):
@@ -240,20 +254,25 @@ def trie_shard(order: int, prior: float):
     def run(part: pa.Table) -> pa.Table:
         """Build the trie of a shard's n-grams, and answer each block with its codes."""
         rows = part.to_pylist()
-        paths, weights, sums = [], [], []
-        for r in rows:
-            runs = full(r["runs"], 0)
-            paths.append(np.stack([np.repeat(full(r["heads"], len(runs)), runs), *[full(x, r["n"]) for x in r["tails"]]], axis=1))
-            sums.append(np.repeat(full(r["sums"], len(runs)), runs))
-            weights.append(full(r["weights"], r["n"]))
-        asked, weights, sums = np.concatenate(paths), np.concatenate(weights), np.concatenate(sums)
+        runs = [full(r["runs"], 0) for r in rows]
+        heads = np.concatenate([full(r["heads"], len(k)) for r, k in zip(rows, runs, strict=True)])
+        sums = np.concatenate([full(r["sums"], len(k)) for r, k in zip(rows, runs, strict=True)])
+        runs, weights = np.concatenate(runs), np.concatenate([full(r["weights"], r["n"]) for r in rows])
+        asked = np.empty((len(weights), order), np.int64, order="F")  # columns are worked on one by one
+        asked[:, 0] = np.repeat(heads, runs)
+        for j in range(1, order):
+            asked[:, j] = np.concatenate([full(r["tails"][j - 1], r["n"]) for r in rows])
+        sums, first = np.repeat(sums, runs), np.repeat(np.unique(heads, return_inverse=True)[1], runs)
+        sort = path_order(asked, first)
+        asked = np.asfortranarray(asked[sort])
+        fresh = prefix_starts(asked, order)
+        row = np.empty(len(sort), np.int64)
+        row[sort] = np.cumsum(fresh) - 1
+        own = np.flatnonzero(fresh)
+        weights, asked, sums = np.add.reduceat(weights[sort], own), np.asfortranarray(asked[own]), sums[sort[own]]
         known = weights > 0
-        p, c, s = asked[known], weights[known], sums[known]
-        sort = np.lexsort(p.T[::-1])
-        p, c, s = p[sort], c[sort], s[sort]
-        own = np.flatnonzero(prefix_starts(p, order))
-        c, p, s = np.add.reduceat(c, own) if len(own) else c, p[own], s[own]
-        codes, above = [], s  # above: count of the context of each path
+        p, c, above = np.asfortranarray(asked[known]), weights[known], sums[known]  # above: count of the context of each path
+        codes = []
         for k in range(2, order + 1):
             fresh = np.flatnonzero(prefix_starts(p, k))
             here = np.add.reduceat(c, fresh) if len(fresh) else c
@@ -265,9 +284,10 @@ def trie_shard(order: int, prior: float):
         with tempfile.TemporaryDirectory() as folder:
             found = np.hstack(NgramTrie.build(p, codes).saved(folder).lookup(asked)) if len(p) else \
                 np.zeros((len(asked), 2 * (order - 1) - 1), "<u2")
+        found = found[row]
         at = np.cumsum([0, *[r["n"] for r in rows]])
         return pa.table([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int64()),
-                         pa.array([zstandard.compress(found[a:z].T.tobytes(), 3) for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                         pa.array([zstandard.compress(np.ascontiguousarray(found[a:z].T).tobytes(), 1) for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                         names=["block", "shard", "codes"])
     return run
 
@@ -281,7 +301,7 @@ def score_block(order: int, shards: int, hot: int, prior: float, tokens: int, ty
         words = right.filter(pc.is_valid(right["numbers"])).sort_by("shard")
         grams = right.filter(pc.is_valid(right["codes"])).sort_by("shard")
         row = left.to_pylist()[0]
-        b = Block(row, words["numbers"].to_pylist(), words["counts"].to_pylist(), order, shards, hot)
+        b = Block(row, words["numbers"].to_pylist(), words["counts"].to_pylist(), order, shards, hot, send=False)
         width = 2 * (order - 1) - 1
         parts = [np.frombuffer(zstandard.decompress(x), "<u2").reshape(width, -1) for x in grams["codes"].to_pylist()]
         codes = np.hstack(parts)[:, b.path] if parts else np.zeros((width, len(b.stream)), "<u2")
