@@ -93,13 +93,6 @@ def state_full_name(c) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit("")).otherwise(out)
 
 
-def lookup_name(c, mapping: dict, fallback: str = "original") -> Column:
-    """Dictionary lookup join as a literal map; fallback keeps the input or title-cases it."""
-    m = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-    s = F.trim(_c(c).cast("string"))
-    fb = title_case(s) if fallback == "title" else s
-    return F.coalesce(F.element_at(m, s), fb)
-
 
 def county_form(c) -> Column:
     """Title-case and make sure the name ends with `` County``; blank -> ''."""

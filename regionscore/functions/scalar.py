@@ -111,13 +111,6 @@ def number_or_zero(c) -> Column:
     return F.coalesce(to_number(c), F.lit(0.0))
 
 
-def collapse_whitespace(c, max_chars: int | None = None) -> Column:
-    """3+ newlines -> 2, runs of spaces/tabs -> 1, trim, optional cut."""
-    s = F.regexp_replace(_c(c), r"\n{3,}", "\n\n")
-    s = F.regexp_replace(s, r"[ \t]{2,}", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"^\s+", ""), r"\s+$", "")
-    return F.substring(s, 1, max_chars) if max_chars else s
-
 
 def zip5(c) -> Column:
     """Recognise ZIP / ZIP+4 and keep the first five digits; else null."""

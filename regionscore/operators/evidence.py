@@ -10,8 +10,6 @@ first-wins dedup, ``count`` for frequencies).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -253,7 +251,3 @@ def search_queries(spark, path: str) -> DataFrame:
     """Query list file: one query per line, trimmed, blank lines skipped (S-8)."""
     return (spark.read.text(path).select(F.trim("value").alias("query"), F.monotonically_increasing_id().alias("seq"))
             .where(F.col("query") != ""))
-
-
-def union_evidence(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

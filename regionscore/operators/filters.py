@@ -51,6 +51,16 @@ def invalid_code(col: str):
     return s.isNull() | (s == "") | F.lower(s).contains("nan")
 
 
+def point_lookup(df: DataFrame, keys: dict) -> DataFrame:
+    """The rows with these key values."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in keys.items()]))
+
+
+def drop_names(df: DataFrame, names: set[str]) -> DataFrame:
+    """The table without the columns of a set of names; absent ones don't matter."""
+    return df.drop(*names)
+
+
 def keep_truthy(df: DataFrame, col: str) -> DataFrame:
     return df.where(is_truthy(col))
 

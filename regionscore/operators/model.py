@@ -30,10 +30,6 @@ from regionscore.session import cut_lineage
 SCALE_FLOOR = 1e-9
 
 
-def feature_columns(df: DataFrame, exclude: list[str]) -> list[str]:
-    num = {"double", "float", "int", "bigint", "smallint", "tinyint"}
-    return [c for c, t in df.dtypes if c not in exclude and (t in num or t.startswith("decimal"))]
-
 
 def _prep_stages(features: list[str]):
     return [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"),

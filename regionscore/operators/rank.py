@@ -73,6 +73,8 @@ def knn(df: DataFrame, key: str, vec: str, query_ids: list, k: int = 5, buckets:
     two phases: the k best per (query, hash bucket of the candidate) — windows
     over ~N/buckets rows each — then the k best of those ≤ buckets·k rows.
     """
+    if len(query_ids) > 10_000:
+        raise ValueError("query rows are broadcast; ask for at most 10,000 at a time")
     base = df.select(F.col(key).alias("_id"), F.transform(vec, lambda x: x.cast("double")).alias("_v"))
     q = F.broadcast(base.where(F.col("_id").isin(list(query_ids)))
                     .select(F.col("_id").alias("query_id"), F.col("_v").alias("_qv")))

@@ -9,7 +9,6 @@ both sides so the value hashes can match.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -12,6 +12,7 @@ CATALOG_MODULES = [
     "regionscore.plans.catalog_rank",
     "regionscore.plans.catalog_stream",
     "regionscore.plans.catalog_spec",
+    "regionscore.plans.catalog_views",
 ]
 
 
