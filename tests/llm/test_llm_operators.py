@@ -173,7 +173,7 @@ def brute_score(rows, held, prior):
         yield len(t) - 1, sum(grams[1][w,] > 0 for w in t[1:]), total, base, score
 
 
-@pytest.mark.parametrize("hot,block_chars", [(100_000, 8_000_000), (2, 300)])
+@pytest.mark.parametrize("hot,block_chars", [(100_000, 8_000_000), (2, 100_000)])
 def test_ngram_scores(docs, rows, none, hot, block_chars):
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
     rule = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
