@@ -1,8 +1,9 @@
 """Operator 8: remove globally repeated runs of lines, cut at content-defined places.
 
-A text is cut into lines, after each line feed and after each sentence end
-followed by a space, so that a passage inside a paragraph is a run of lines as
-well; lines keep their separators, and joined they are the text. A rolling hash
+A text is cut into lines, after each line feed and after each end of a sentence
+or clause that a space follows, so that a passage inside a paragraph is a run of
+lines as well, and a passage of fifty words is long enough to hold whole chunks;
+lines keep their separators, and joined they are the text. A rolling hash
 over the hashes of ``WINDOW`` lines is taken at every line, and a chunk ends
 where it has a strict local minimum. Such places depend on a few lines nearby
 only, so that an insertion shifts no later boundary, and every chunk but a
@@ -32,7 +33,15 @@ from pyspark.sql import functions as F
 
 from regionscore.llm.common import WORD, shared_table
 
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+LINE_END = r"(?<=\n)|(?<=[.!?,;] )"
+#: A repeated chunk of fewer words may be a common phrase.
+MIN_WORDS = 10
+
+
+def lines_of(text: Column) -> Column:
+    """Lines with their separators; none is empty (the end of a text that ends a line would be), so that equal chunks
+    are equal arrays."""
+    return F.filter(F.split(text, LINE_END), lambda x: x != "")
 
 
 def chunked(rows: DataFrame, text: Column) -> DataFrame:
@@ -41,18 +50,19 @@ def chunked(rows: DataFrame, text: Column) -> DataFrame:
     Every array is a column of its own that later ones use more than once, so
     that the optimizer doesn't evaluate it again inside a lambda.
     """
-    out = (rows.withColumn("lines", F.split(text, LINE_END))
+    out = (rows.withColumn("lines", lines_of(text))
            .withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
            .withColumn("r", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i - 1)))))
     ends = lambda i: (F.get("r", i - 1) < F.get("r", i - 2)) & (F.get("r", i - 1) < F.get("r", i))
-    out = out.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | ((i >= 2) & ends(i))))
+    places = F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | ((i >= 2) & ends(i)))
+    out = out.withColumn("starts", F.when(F.size("r") > 0, places).otherwise(F.array().cast("array<int>")))
     length = lambda s, j: F.coalesce(F.get("starts", j + 1), F.size("r")) - s
     return out.withColumn("chunks", F.transform("starts", lambda s, j: F.struct(
         s.alias("start"), length(s, j).alias("len"),
         F.xxhash64(F.slice("h", s + 1, length(s, j)), length(s, j)).alias("hash"))))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 15, text: str = "text", doc_id: str = "doc_id",
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id",
                 n_chars: str | None = "n_chars") -> DataFrame:
     """One row per row of ``docs``: row (a struct of its columns, text cleaned), lines_removed, words_removed."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
@@ -69,7 +79,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 15, text: str = "text", doc_id
     # byte comparison: the repeated chunks with their text, grouped by it
     per_row = proposed.groupBy("rid").agg(F.collect_list(F.struct("start", "len", "hash", "doc")).alias("cs"))
     texts = (rows.select("rid", text_of.alias("text")).join(per_row, "rid")
-             .withColumn("lines", F.split("text", LINE_END)).withColumn("c", F.explode("cs"))
+             .withColumn("lines", lines_of(F.col("text"))).withColumn("c", F.explode("cs"))
              .select("rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
              .filter(F.regexp_count("chunk", F.lit(WORD)) >= min_words))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")).alias("first")
@@ -86,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 15, text: str = "text", doc_id
              .groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1))).alias("gone")))
 
     joined = (rows.join(drops, "rid", "left")
-              .withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text_of, LINE_END))))
+              .withColumn("lines", F.when(F.col("gone").isNotNull(), lines_of(text_of))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),
                        lambda i: F.get("lines", i))
     cleaned = F.when(F.col("gone").isNull(), text_of).otherwise(F.array_join(kept, ""))

@@ -7,6 +7,7 @@ import corpus_pipeline
 from conftest import SF_SMALL
 from regionscore.llm.bpe import WordBpe
 from regionscore.llm.common import documents
+from regionscore.llm.line_dedup import MIN_WORDS
 from regionscore.llm.queries import QUERIES
 from test_llm_operators import brute_chunks, brute_fingerprint, brute_mix, components, words
 
@@ -36,7 +37,7 @@ def test_stages_and_run(spark, tmp_path):
         left = []
         for chunk in brute_chunks(text):
             whole = "".join(chunk)
-            if len(chunk) > 1 and len(words(whole)) >= 15:
+            if len(chunk) > 1 and len(words(whole)) >= MIN_WORDS:
                 if whole in seen:
                     continue
                 seen.add(whole)

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from regionscore.llm import line_dedup, merkle, mixing, ngram_lm, quality_model, quality_rules, secret_scan, simhash, token_count
+from regionscore.llm.line_dedup import MIN_WORDS
 from regionscore.llm.bpe import WordBpe, encode_documents
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -264,13 +265,13 @@ def test_token_counts(spark, docs, rows, none, tmp_path):
 
 
 def brute_chunks(text):
-    lines = re.split(line_dedup.LINE_END, text)
+    lines = [x for x in re.split(line_dedup.LINE_END, text) if x]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     step = lambda value, seed: xxhash.xxh64_intdigest(struct.pack("<q", value), seed)
     h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
     r = [signed(step(h[i - 1], step(x, 42)) if i else step(x, 42)) for i, x in enumerate(h)]
     starts = [i for i in range(len(h)) if i == 0 or i >= 2 and r[i - 1] < r[i - 2] and r[i - 1] < r[i]]
-    return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(h)], strict=True)]
+    return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(h)], strict=False)]
 
 
 def test_line_dedup(docs, rows, none):
@@ -280,7 +281,7 @@ def test_line_dedup(docs, rows, none):
         kept = []
         for chunk in brute_chunks(r[1].text) if r[1].text is not None else []:
             text = "".join(chunk)
-            if len(chunk) > 1 and len(words(text)) >= 15:
+            if len(chunk) > 1 and len(words(text)) >= MIN_WORDS:
                 if text in seen:
                     continue
                 seen.add(text)
