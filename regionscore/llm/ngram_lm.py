@@ -67,6 +67,17 @@ def expand(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<i8")
 
 
+def squeeze_codes(codes: np.ndarray) -> bytes:
+    """Rows of two-byte codes, column by column, the bytes of each apart, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(codes, "<u2").view(np.uint8).T).tobytes(), 3)
+
+
+def expand_codes(raw: bytes, width: int) -> np.ndarray:
+    """A row for each column of codes."""
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(2 * width, -1)
+    return planes[0::2].astype("<u2") | planes[1::2].astype("<u2") << np.uint16(8)
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(p > 0, np.clip(np.rint(-np.log10(p) / RANGE * STEPS), 0, STEPS) + 1, 0).astype("<u2")
@@ -212,8 +223,8 @@ class Block:
         number = np.append(self.number, 0)
         head, one, two = self.count[columns[0][at]], number[columns[0][at]], number[columns[1][at]]
         shard = (mix(one.astype(np.uint64) ^ np.where(head > hot, mix(two), np.uint64(0))) % np.uint64(shards)).astype(np.int64)
-        # by shard, and in it by the block's words: neighbours share their first words
-        sort = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+        # by shard, and in it by number: neighbours share their first words, and compress well
+        sort = np.lexsort([*[number[c[at]] for c in columns[:1:-1]], two, one, shard])
         back = np.empty(len(sort), np.int64)
         back[sort] = np.arange(len(sort))
         self.path = back[path]
@@ -234,7 +245,7 @@ def send_paths(order: int, shards: int, hot: int):
             p = b.paths[a:z]
             heads = np.flatnonzero(prefix_starts(p, 1))
             rows.append({"block": left["block"][0].as_py(), "shard": int(b.shard[a]), "n": int(z - a),
-                         "heads": squeeze(p[heads, 0]), "runs": squeeze(np.diff(np.append(heads, z - a))), "sums": squeeze(b.head[a:z][heads]),
+                         "heads": squeeze(np.diff(p[heads, 0], prepend=0)), "runs": squeeze(np.diff(np.append(heads, z - a))), "sums": squeeze(b.head[a:z][heads]),
                          "tails": [squeeze(p[:, k]) for k in range(1, order)], "weights": squeeze(b.weights[a:z])})
         return pa.Table.from_pylist(rows, PATHS)
     return run
@@ -255,7 +266,7 @@ def trie_shard(order: int, prior: float):
         """Build the trie of a shard's n-grams, and answer each block with its codes."""
         rows = part.to_pylist()
         runs = [full(r["runs"], 0) for r in rows]
-        heads = np.concatenate([full(r["heads"], len(k)) for r, k in zip(rows, runs, strict=True)])
+        heads = np.concatenate([np.cumsum(full(r["heads"], len(k))) for r, k in zip(rows, runs, strict=True)])
         sums = np.concatenate([full(r["sums"], len(k)) for r, k in zip(rows, runs, strict=True)])
         runs, weights = np.concatenate(runs), np.concatenate([full(r["weights"], r["n"]) for r in rows])
         asked = np.empty((len(weights), order), np.int64, order="F")  # columns are worked on one by one
@@ -287,7 +298,7 @@ def trie_shard(order: int, prior: float):
         found = found[row]
         at = np.cumsum([0, *[r["n"] for r in rows]])
         return pa.table([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int64()),
-                         pa.array([zstandard.compress(np.ascontiguousarray(found[a:z].T).tobytes(), 1) for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                         pa.array([squeeze_codes(found[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                         names=["block", "shard", "codes"])
     return run
 
@@ -303,7 +314,7 @@ def score_block(order: int, shards: int, hot: int, prior: float, tokens: int, ty
         row = left.to_pylist()[0]
         b = Block(row, words["numbers"].to_pylist(), words["counts"].to_pylist(), order, shards, hot, send=False)
         width = 2 * (order - 1) - 1
-        parts = [np.frombuffer(zstandard.decompress(x), "<u2").reshape(width, -1) for x in grams["codes"].to_pylist()]
+        parts = [expand_codes(x, width) for x in grams["codes"].to_pylist()]
         codes = np.hstack(parts)[:, b.path] if parts else np.zeros((width, len(b.stream)), "<u2")
         count = b.count[b.stream].astype(float)
         if tokens:
