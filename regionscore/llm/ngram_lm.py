@@ -50,12 +50,12 @@ RANGE, STEPS = 9.0, 65534
 END = b""
 
 
-def squeeze(x: np.ndarray) -> bytes:
+def squeeze(x: np.ndarray, level: int = 3) -> bytes:
     """An integer array, each byte of its items apart, compressed; all zeros leave nothing."""
     x = np.ascontiguousarray(x, "<u8" if x.dtype.itemsize == 8 else "<u4" if x.dtype.itemsize == 4 else "u1")
     planes = x.view(np.uint8).reshape(len(x), -1).T
     used = max([k + 1 for k, p in enumerate(planes) if p.any()], default=0)  # the upper bytes are mostly zero
-    return bytes([used]) + zstandard.compress(planes[:used].tobytes(), 3)
+    return bytes([used]) + zstandard.compress(planes[:used].tobytes(), level)
 
 
 def expand(raw: bytes) -> np.ndarray:
@@ -126,7 +126,7 @@ def make_block(texts: list[bytes], held: np.ndarray, shards: int) -> dict:
         own = range(np.searchsorted(of, s), np.searchsorted(of, s, "right"))
         spelled = b" ".join(words[own.start:own.stop])
         parts.append({"shard": int(s), "words": zstandard.compress(spelled, 3), "counts": squeeze(counts[own.start:own.stop])})
-    return {"sizes": squeeze(sizes), "stream": squeeze(stream), "end": int(place[0]), "parts": parts}
+    return {"sizes": squeeze(sizes), "stream": squeeze(stream, 9), "end": int(place[0]), "parts": parts}
 
 
 PART = pa.struct([("shard", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
