@@ -9,11 +9,13 @@ where it has a strict local minimum. Such places depend on a few lines nearby
 only, so that an insertion shifts no later boundary, and every chunk but a
 text's first and last has two lines or more.
 
-A chunk of at least two lines and ``min_words`` words that is repeated anywhere
-in the corpus stays at its first place (smallest doc_id, null last, then scan
-order) and is removed from all others. Hashes only propose repeats: repeated
-chunks are grouped by their bytes before any is removed, so that two texts with
-one hash are never taken for each other.
+A chunk of at least two lines that is repeated anywhere in the corpus stays at
+its first place (smallest doc_id, null last, then scan order); at all others it
+is a later copy. Neighbouring later copies of a document are one run, and a run
+of at least ``min_words`` words is removed, however few words each of its chunks
+has. Hashes only propose repeats: repeated chunks are grouped by their bytes
+before any is removed, so that two texts with one hash are never taken for each
+other.
 
 Shuffles: a skinny table of chunk hashes (pre-aggregated, so that a chunk in a
 third of all documents is one row per task), the texts once by row number, and
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from regionscore.llm.common import WORD, shared_table
 
 LINE_END = r"(?<=\n)|(?<=[.!?,;] )"
-#: A repeated chunk of fewer words may be a common phrase.
+#: A repeated run of fewer words may be a common phrase.
 MIN_WORDS = 10
 
 
@@ -81,19 +83,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     texts = (rows.select("rid", text_of.alias("text")).join(per_row, "rid")
              .withColumn("lines", lines_of(F.col("text"))).withColumn("c", F.explode("cs"))
              .select("rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
-             .filter(F.regexp_count("chunk", F.lit(WORD)) >= min_words))
+             .withColumn("words", F.regexp_count("chunk", F.lit(WORD))))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")).alias("first")
-    same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), first)
+    same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.first("words").alias("words"), first)
             .withColumn("texts", F.count("*").over(Window.partitionBy("hash"))))
     same = shared_table(same.filter("n > 1"), "classes")
     # nearly always one text has the hash, and the hash tells the class; else the text does
-    alone = proposed.join(same.filter("texts = 1").select("hash", "first"), "hash")
+    alone = proposed.join(same.filter("texts = 1").select("hash", "words", "first"), "hash")
     shared = same.filter("texts > 1").select("hash", "chunk", "first")
-    drops = alone.select("rid", "start", "len", "first")
+    copies = alone.select("rid", "start", "len", "words", "first")
     if not shared.isEmpty():
-        drops = drops.union(texts.join(shared, ["hash", "chunk"]).select("rid", "start", "len", "first"))
-    drops = (drops.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))))
-             .groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1))).alias("gone")))
+        copies = copies.union(texts.join(shared, ["hash", "chunk"]).select("rid", "start", "len", "words", "first"))
+    later = copies.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))))
+    # the lines between a row's later copies up to here are as many for all chunks of a run, and more for the next run
+    between = F.col("start") + F.col("len") - F.sum("len").over(Window.partitionBy("rid").orderBy("start"))
+    runs = later.withColumn("run", between).withColumn("run_words", F.sum("words").over(Window.partitionBy("rid", "run")))
+    drops = (runs.filter(F.col("run_words") >= min_words).groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1))).alias("gone")))
 
     joined = (rows.join(drops, "rid", "left")
               .withColumn("lines", F.when(F.col("gone").isNotNull(), lines_of(text_of))))
