@@ -3,11 +3,15 @@
 A text is cut into lines, after each line feed and after each end of a sentence
 or clause that a space follows, so that a passage inside a paragraph is a run of
 lines as well, and a passage of fifty words is long enough to hold whole chunks;
-lines keep their separators, and joined they are the text. A rolling hash
-over the hashes of ``WINDOW`` lines is taken at every line, and a chunk ends
-where it has a strict local minimum. Such places depend on a few lines nearby
-only, so that an insertion shifts no later boundary, and every chunk but a
-text's first and last has two lines or more.
+lines keep their separators, and joined they are the text. A line of more than
+``LONG_LINE`` bytes (lists, text without such marks) is cut again between words,
+or after characters of scripts without spaces. A rolling hash over the hashes of
+two lines is taken at every line, and a chunk ends where it has a strict local
+minimum; from the second on, equal lines in a row count with their place in that
+row, so that it has minima too. Such places depend on a few lines nearby (and
+the start of a row of equal lines) only, so that an insertion shifts no later
+boundary, and every chunk but a text's first and last has two lines or more.
+Long lines are cut by the same rule over their words.
 
 A chunk of at least two lines that is repeated anywhere in the corpus stays at
 its first place (smallest doc_id, null last, then scan order); at all others it
@@ -15,7 +19,11 @@ is a later copy. Neighbouring later copies of a document are one run, and a run
 of at least ``min_words`` words is removed, however few words each of its chunks
 has. Hashes only propose repeats: repeated chunks are grouped by their bytes
 before any is removed, so that two texts with one hash are never taken for each
-other.
+other. A run's first and last lines share chunks with its surroundings, so each
+run is then extended line by line to both sides, as far as the lines equal those
+beside the first place of its outer chunk, and not into a chunk that stays as a
+first place. ``REACH`` equal lines in a row hold a whole chunk, but for about one
+place in 10^8, so that no longer stretch has to be compared.
 
 Shuffles: a skinny table of chunk hashes (pre-aggregated, so that a chunk in a
 third of all documents is one row per task), the texts once by row number, and
@@ -33,17 +41,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import WORD, shared_table
-
-LINE_END = r"(?<=\n)|(?<=[.!?,;] )"
+from regionscore.llm.common import shared_table
+
+#: Scripts without spaces (Thai to Lao, Myanmar, Khmer, kana, Han): each character counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+LINE_END = r"(?<=\n)|(?<=[.!?,;:\u060c\u061b\u061f\u06d4] )|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
+WORD_END = rf"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=[{UNSPACED}])"
+#: Bytes. A line of over fifty words has more, and is cut between words.
+LONG_LINE = 96
+#: Lines compared on each side of a run.
+REACH = 16
 #: A repeated run of fewer words may be a common phrase.
 MIN_WORDS = 10
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_of(h: Column) -> Column:
+    """Where the chunks of a sequence with hashes ``h`` start. ``h`` is used more than once."""
+    def tied(rows):
+        place = F.flatten(F.transform(rows, lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(rows, j + 1), F.size(h)) - s - 1)))
+        return F.when(F.size(rows) == F.size(h), h).otherwise(
+            F.zip_with(h, place, lambda x, k: F.when(k == 0, x).otherwise(F.xxhash64(x, k))))
+
+    rows = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+    rolling = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i - 1)))
+    ends = lambda r, i: (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i))
+    places = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | ((i >= 2) & ends(r, i)))
+    found = let(rows, lambda f: let(tied(f), lambda t: let(rolling(t), places)))
+    return F.when(F.size(h) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def cut_line(line: Column) -> Column:
+    """A long line as several, cut between words."""
+    def joined(words, starts):
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
+        return F.transform(starts, lambda s, j: F.array_join(F.slice(words, s + 1, end(j) - s), ""))
+
+    return let(F.filter(F.split(line, WORD_END), lambda x: x != ""), lambda w: let(
+        F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(starts_of(h), lambda s: joined(w, s))))
+
+
 def lines_of(text: Column) -> Column:
     """Lines with their separators; none is empty (the end of a text that ends a line would be), so that equal chunks
     are equal arrays."""
-    return F.filter(F.split(text, LINE_END), lambda x: x != "")
+    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
+    return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > LONG_LINE, cut_line(x)).otherwise(F.array(x))))
 
 
 def chunked(rows: DataFrame, text: Column) -> DataFrame:
@@ -54,16 +101,26 @@ def chunked(rows: DataFrame, text: Column) -> DataFrame:
     """
     out = (rows.withColumn("lines", lines_of(text))
            .withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-           .withColumn("r", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i - 1)))))
-    ends = lambda i: (F.get("r", i - 1) < F.get("r", i - 2)) & (F.get("r", i - 1) < F.get("r", i))
-    places = F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | ((i >= 2) & ends(i)))
-    out = out.withColumn("starts", F.when(F.size("r") > 0, places).otherwise(F.array().cast("array<int>")))
-    length = lambda s, j: F.coalesce(F.get("starts", j + 1), F.size("r")) - s
+           .withColumn("starts", starts_of(F.col("h"))))
+    length = lambda s, j: F.coalesce(F.get("starts", j + 1), F.size("h")) - s
     return out.withColumn("chunks", F.transform("starts", lambda s, j: F.struct(
         s.alias("start"), length(s, j).alias("len"),
         F.xxhash64(F.slice("h", s + 1, length(s, j)), length(s, j)).alias("hash"))))
 
 
+def extended(span: Column) -> Column:
+    """The places of a span's lines, and of those beside it that equal the lines beside its source."""
+    def equal(at):
+        """How many lines from at(0) on equal those of the source, at(1) and so on."""
+        differ = lambda k: ~F.coalesce(at(k), F.lit(False))
+        return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(REACH)), differ))
+
+    before = equal(lambda k: F.get("lines", span.start - 1 - k) == F.get(span.beside, F.size(span.beside) - 1 - k))
+    after = equal(lambda k: F.get("lines", span.end + k) == F.get(span.beside, k))
+    return F.when(span.side < 0, F.sequence(span.start - before, span.end - 1)).otherwise(
+        F.sequence(span.start, span.end + after - 1))
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id",
                 n_chars: str | None = "n_chars") -> DataFrame:
     """One row per row of ``docs``: row (a struct of its columns, text cleaned), lines_removed, words_removed."""
@@ -83,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     texts = (rows.select("rid", text_of.alias("text")).join(per_row, "rid")
              .withColumn("lines", lines_of(F.col("text"))).withColumn("c", F.explode("cs"))
              .select("rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
-             .withColumn("words", F.regexp_count("chunk", F.lit(WORD))))
+             .withColumn("words", F.regexp_count("chunk", F.lit(UNIT))))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")).alias("first")
     same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.first("words").alias("words"), first)
             .withColumn("texts", F.count("*").over(Window.partitionBy("hash"))))
@@ -94,14 +151,36 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     copies = alone.select("rid", "start", "len", "words", "first")
     if not shared.isEmpty():
         copies = copies.union(texts.join(shared, ["hash", "chunk"]).select("rid", "start", "len", "words", "first"))
-    later = copies.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))))
+    later = ~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start")))
     # the lines between a row's later copies up to here are as many for all chunks of a run, and more for the next run
-    between = F.col("start") + F.col("len") - F.sum("len").over(Window.partitionBy("rid").orderBy("start"))
-    runs = later.withColumn("run", between).withColumn("run_words", F.sum("words").over(Window.partitionBy("rid", "run")))
-    drops = (runs.filter(F.col("run_words") >= min_words).groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1))).alias("gone")))
-
+    between = F.col("start") + F.col("len") - F.sum("len").over(Window.partitionBy("rid", "later").orderBy("start"))
+    source = lambda line: F.struct(F.col("first.rid").alias("source"), line.alias("line"))
+    spans = shared_table(
+        copies.withColumn("later", later).withColumn("run", between).groupBy("rid", "later", "run")
+        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"), F.sum("words").alias("words"),
+             F.min_by(source(F.col("first.start")), "start").alias("left"),
+             F.max_by(source(F.col("first.start") + F.col("len")), "start").alias("right"))
+        .filter(~F.col("later") | (F.col("words") >= min_words)), "runs")
+    edges = (spans.filter("later").withColumn("edge", F.explode(F.array(
+        F.struct(F.lit(-1).alias("side"), "left.*"), F.struct(F.lit(1).alias("side"), "right.*"))))
+        .select("rid", "start", "end", "edge.*"))
+    asked = edges.select("source", "side", "line").distinct().groupBy("source").agg(F.collect_list(F.struct("side", "line")).alias("asked"))
+    near = F.when(F.col("side") < 0, F.slice("lines", F.greatest(F.lit(1), F.col("line") - REACH + 1), F.least(F.col("line"), F.lit(REACH)))
+                  ).otherwise(F.slice("lines", F.col("line") + 1, REACH))
+    beside = shared_table(rows.select(F.col("rid").alias("source"), text_of.alias("text")).join(asked, "source")
+                          .withColumn("lines", lines_of(F.col("text"))).withColumn("a", F.explode("asked"))
+                          .select("source", "a.*", "lines").select("source", "side", "line", near.alias("beside")), "beside")
+    span = ["rid", "start", "end", "side", "beside"]
+    stay = spans.filter("not later").select("rid", "start", "end", F.lit(0).alias("side"), F.lit(None).cast("array<string>").alias("beside"))
+    drops = (edges.join(beside, ["source", "side", "line"]).select(span).union(stay)
+             .groupBy("rid").agg(F.collect_list(F.struct(*span[1:])).alias("spans"))
+             .filter(F.exists("spans", lambda x: x.side != 0)))
+
+    places = lambda picked, of: F.flatten(F.transform(F.filter("spans", picked), of))
     joined = (rows.join(drops, "rid", "left")
-              .withColumn("lines", F.when(F.col("gone").isNotNull(), lines_of(text_of))))
+              .withColumn("lines", F.when(F.col("spans").isNotNull(), lines_of(text_of)))
+              .withColumn("gone", F.array_except(places(lambda x: x.side != 0, extended),
+                                                 places(lambda x: x.side == 0, lambda x: F.sequence(x.start, x.end - 1)))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),
                        lambda i: F.get("lines", i))
     cleaned = F.when(F.col("gone").isNull(), text_of).otherwise(F.array_join(kept, ""))

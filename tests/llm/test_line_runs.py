@@ -1,16 +1,23 @@
 """Line dedup on repeated runs, against brute force and on passages that chunks alone don't tell."""
 
+import collections
 import re
+import struct
 
 import pytest
+import xxhash
 
 from regionscore.llm import line_dedup
 from regionscore.llm.line_dedup import MIN_WORDS
-from test_llm_operators import LONG, PROSE, SHARED, TEXTS, brute_chunks, words
+from test_llm_operators import LONG, PROSE, SHARED, TEXTS, words
 
 #: Sixty words, two to a line: no chunk of it has ten words.
 MENU = "".join(f"{a}{i} {b}{i}\n" for i, (a, b) in enumerate([("soup", "five"), ("bread", "two"), ("plum", "nine")] * 10))
 
+#: Unpunctuated words, and characters of a script without spaces.
+BARE = " ".join(f"b{i * i % 97}u{i}" for i in range(70))
+HAN = "".join(chr(0x4E00 + i * i * 37 % 5000) for i in range(120))
+
 
 def stored(spark, tmp_path, texts):
     path = str(tmp_path / "docs")
@@ -22,27 +29,77 @@ def cleaned(docs):
     return [r.row.text for r in sorted(line_dedup.dedup_lines(docs).collect(), key=lambda r: r.row.doc_id)]
 
 
-def brute_runs(texts):
-    """Texts in their order, without runs of later copies of MIN_WORDS words or more."""
-    seen, out = set(), []
-    for text in texts:
-        kept, run = [], []
-        for chunk in [*(brute_chunks(text) if text is not None else []), None]:
-            whole = None if chunk is None else "".join(chunk)
-            if chunk is not None and len(chunk) > 1 and whole in seen:
-                run.append(whole)
-                continue
-            kept += run * (sum(len(words(x)) for x in run) < MIN_WORDS)
-            run = []
-            if chunk is not None:
-                kept.append(whole)
-                seen |= {whole} if len(chunk) > 1 else set()
-        out.append(None if text is None else "".join(kept))
+def hashed(value, seed=42):
+    out = xxhash.xxh64_intdigest(value if isinstance(value, bytes) else struct.pack("<q", value), seed)
     return out
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_starts(parts):
+    h, place = [signed(hashed(x.encode())) for x in parts], []
+    for i in range(len(h)):
+        place.append(place[-1] + 1 if i and h[i] == h[i - 1] else 0)
+    t = [signed(xxhash.xxh64_intdigest(struct.pack("<i", k), hashed(x))) if k else x for x, k in zip(h, place, strict=True)]
+    r = [signed(hashed(t[i - 1], hashed(x)) if i else hashed(x)) for i, x in enumerate(t)]
+    return [i for i in range(len(r)) if i == 0 or i >= 2 and r[i - 1] < r[i - 2] and r[i - 1] < r[i]]
+
+
+def pieces(parts, starts):
+    return [parts[a:b] for a, b in zip(starts, [*starts[1:], len(parts)], strict=False)]
+
+
+def brute_lines(text):
+    out = []
+    for line in [x for x in re.split(line_dedup.LINE_END, text) if x]:
+        if len(line.encode()) <= line_dedup.LONG_LINE:
+            out.append(line)
+        else:
+            parts = [x for x in re.split(line_dedup.WORD_END, line) if x]
+            out += ["".join(x) for x in pieces(parts, brute_starts(parts))]
+    return out
+
+
+def brute_runs(texts):
+    """Texts in their order, without runs of later copies of MIN_WORDS words or more, extended line by line."""
+    lines = [brute_lines(t or "") for t in texts]
+    places = collections.defaultdict(list)
+    for d, x in enumerate(lines):
+        s = brute_starts(x)
+        for a, c in zip(s, pieces(x, s), strict=True):
+            if len(c) > 1:
+                places["".join(c)].append((d, a, a + len(c)))
+    places = {k: v for k, v in places.items() if len(v) > 1}
+    stay = {(d, i) for v in places.values() for d, a, b in v[:1] for i in range(a, b)}
+    later = {(d, a): (b, v[0], k) for k, v in places.items() for d, a, b in v[1:]}
+    gone = [set() for _ in texts]
+    for (d, a), (b, (sd, sa, sb), k) in later.items():
+        if any(e == a for (x, _), (e, _, _) in later.items() if x == d):
+            continue  # not the start of a run
+        n, last = len(re.findall(line_dedup.UNIT, k)), sb
+        while (d, b) in later:
+            b, (ld, _, last), k = later[d, b]
+            n += len(re.findall(line_dedup.UNIT, k))
+            sd2 = ld
+        sd2 = sd if (d, a) in later and later[d, a][0] == b else sd2
+        if n < MIN_WORDS:
+            continue
+        x, y, z = a, b, 0
+        while z < line_dedup.REACH and x > 0 and sa - z > 0 and lines[d][x - 1] == lines[sd][sa - z - 1]:
+            x, z = x - 1, z + 1
+        z = 0
+        while z < line_dedup.REACH and y < len(lines[d]) and last + z < len(lines[sd2]) and lines[d][y] == lines[sd2][last + z]:
+            y, z = y + 1, z + 1
+        gone[d] |= {i for i in range(x, y) if (d, i) not in stay}
+    return [None if t is None else "".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in enumerate(texts)]
+
+
 def test_runs_equal_brute_force(spark, tmp_path):
-    texts = [*TEXTS, "Before it. Other lines.\n" + MENU + "After it. More.\n", MENU, SHARED + MENU + PROSE, LONG[:5000]]
+    texts = [x if x is None else x[:4000] for x in TEXTS]
+    texts += ["Before it. Other lines.\n" + MENU + "After it. More.\n", MENU, SHARED + MENU + PROSE, LONG[:5000], HAN + PROSE, "\u4e00" + HAN,
+              "Tior, " * 90 + "End.", "Now. " + "Tior, " * 200, BARE, "Something else " + BARE + " and more"]
     assert cleaned(stored(spark, tmp_path, texts)) == brute_runs(texts)
 
 
@@ -54,10 +111,24 @@ def test_passages_of_short_lines_lose_most_words(spark, tmp_path, n):
     texts = ["One start. Some words, then.\n" + passage + "An end. Of it.\n", "Another text! It has this:\n" + passage + "Done now. Bye.\n"]
     first, second = cleaned(stored(spark, tmp_path, texts))
     assert first == texts[0]
-    assert len(set(words(passage)) & set(words(second))) <= 24
+    assert not set(words(passage)) & set(words(second))
 
 
 def test_short_repeats_stay(spark, tmp_path):
     texts = ["a. b. c. d.\n" + PROSE, "Not so. a. b. c. d.\nOther words of one line"]
     assert cleaned(stored(spark, tmp_path, texts)) == texts
     assert re.findall(r"\S+", texts[1])[2:6] == ["a.", "b.", "c.", "d."]
+
+
+@pytest.mark.parametrize("passage", [BARE + " ", HAN, "Tior, " * 120])
+def test_passages_without_marks_go(spark, tmp_path, passage):
+    """One line however long, or equal lines in a row: the passage is found in other surroundings."""
+    texts = ["Some words to start with " + passage + "and then an end", "These are different ones for a change " + passage + "until it stops"]
+    first, second = cleaned(stored(spark, tmp_path, texts))
+    assert len(second) < len(texts[1]) - 0.6 * len(passage)
+    assert second.startswith("These are") and second.endswith("stops")
+
+
+def test_runs_of_equal_lines_of_other_lengths(spark, tmp_path):
+    texts = ["Tior, " * 200 + "End.", "Now. " + "Tior, " * 90 + "Other."]
+    assert len(cleaned(stored(spark, tmp_path, texts))[1]) < 100
