@@ -26,14 +26,15 @@ first place. ``REACH`` equal lines in a row hold a whole chunk, but for about on
 place in 10^8, so that no longer stretch has to be compared.
 
 Shuffles: a skinny table of chunk hashes (pre-aggregated, so that a chunk in a
-third of all documents is one row per task), the texts once by row number, and
-the texts of repeated chunks. No Python runs on the executors.
+third of all documents is one row per task), the lines by row number, the texts
+of repeated chunks, and the lines beside runs. No Python runs on the executors.
 
 Defined results: null stays null, empty stays empty; a text of one line is never
 changed; a text all of whose chunks are repeats becomes empty, its row stays;
 repeated rows count as repeats of each other; n_chars, where it is given, is that
-of the new text. ``docs`` must be a stored table or another input whose scan
-gives its rows in the same order each time.
+of the new text. Rows are numbered once, in a table with their lines in the shared
+folder, which every later step reads, so that ``docs`` may come in another order
+or in other partitions each time it is read.
 """
 
 from __future__ import annotations
@@ -47,9 +48,12 @@ from regionscore.llm.common import shared_table
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 LINE_END = r"(?<=\n)|(?<=[.!?,;:\u060c\u061b\u061f\u06d4] )|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
-WORD_END = rf"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=[{UNSPACED}])"
+#: What a long line is cut into: a word and the white space after it. ``split`` would compile a pattern for each line.
+PIECE = rf"[^\x20\x09-\x0D{UNSPACED}]*(?:[\x20\x09-\x0D]+|[{UNSPACED}])|[^\x20\x09-\x0D{UNSPACED}]+"
 #: Bytes. A line of over fifty words has more, and is cut between words.
 LONG_LINE = 96
+#: Stands between the lines of stored texts; texts that hold it are stored as arrays.
+MARK = "\x01"
 #: Lines compared on each side of a run.
 REACH = 16
 #: A repeated run of fewer words may be a common phrase.
@@ -82,7 +86,7 @@ def cut_line(line: Column) -> Column:
         end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
         return F.transform(starts, lambda s, j: F.array_join(F.slice(words, s + 1, end(j) - s), ""))
 
-    return let(F.filter(F.split(line, WORD_END), lambda x: x != ""), lambda w: let(
+    return let(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), lambda w: let(
         F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(starts_of(h), lambda s: joined(w, s))))
 
 
@@ -93,13 +97,18 @@ def lines_of(text: Column) -> Column:
     return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > LONG_LINE, cut_line(x)).otherwise(F.array(x))))
 
 
-def chunked(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with lines (strings) and chunks: an array of (start, len, hash).
+def with_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` with lines, from marked or odd. Called after a shuffle, since arrays are larger than texts."""
+    return rows.withColumn("lines", F.coalesce("odd", F.filter(F.split("marked", MARK), lambda x: x != "")))
+
+
+def chunked(rows: DataFrame, lines: Column) -> DataFrame:
+    """``rows`` with ``lines`` and chunks: an array of (start, len, hash).
 
     Every array is a column of its own that later ones use more than once, so
     that the optimizer doesn't evaluate it again inside a lambda.
     """
-    out = (rows.withColumn("lines", lines_of(text))
+    out = (rows.withColumn("lines", lines)
            .withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
            .withColumn("starts", starts_of(F.col("h"))))
     length = lambda s, j: F.coalesce(F.get("starts", j + 1), F.size("h")) - s
@@ -124,11 +133,16 @@ def extended(span: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id",
                 n_chars: str | None = "n_chars") -> DataFrame:
     """One row per row of ``docs``: row (a struct of its columns, text cleaned), lines_removed, words_removed."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    text_of = F.col("row")[text]
+    others = [F.lit(None).cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    odd = F.contains("text", F.lit(MARK))
+    rows = shared_table(
+        docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("rid"))
+        .withColumn("lines", lines_of(F.col("text")))
+        .select("row", "rid", F.when(~odd, F.array_join("lines", MARK)).alias("marked"), F.when(odd, F.col("lines")).alias("odd")),
+        "rows", "zstd")
     # explode_outer: for explode, the optimizer would push a filter on size(chunks), all of it inlined, below the arrays
     skinny = shared_table(
-        chunked(rows.select(F.col("row")[doc_id].alias("doc"), "rid", text_of.alias("text")), F.col("text"))
+        chunked(with_lines(rows.select(F.col("row")[doc_id].alias("doc"), "rid", "marked", "odd")), F.col("lines"))
         .select("doc", "rid", F.explode_outer("chunks").alias("c"))
         .filter("c.len >= 2").select("doc", "rid", "c.start", "c.len", "c.hash"), "chunks")
     # a table of its own: the join then has a plain exchange on both sides, whose hot hashes Spark splits
@@ -137,8 +151,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
 
     # byte comparison: the repeated chunks with their text, grouped by it
     per_row = proposed.groupBy("rid").agg(F.collect_list(F.struct("start", "len", "hash", "doc")).alias("cs"))
-    texts = (rows.select("rid", text_of.alias("text")).join(per_row, "rid")
-             .withColumn("lines", lines_of(F.col("text"))).withColumn("c", F.explode("cs"))
+    texts = (with_lines(rows.select("rid", "marked", "odd").join(per_row, "rid")).withColumn("c", F.explode("cs"))
              .select("rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
              .withColumn("words", F.regexp_count("chunk", F.lit(UNIT))))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")).alias("first")
@@ -167,8 +180,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     asked = edges.select("source", "side", "line").distinct().groupBy("source").agg(F.collect_list(F.struct("side", "line")).alias("asked"))
     near = F.when(F.col("side") < 0, F.slice("lines", F.greatest(F.lit(1), F.col("line") - REACH + 1), F.least(F.col("line"), F.lit(REACH)))
                   ).otherwise(F.slice("lines", F.col("line") + 1, REACH))
-    beside = shared_table(rows.select(F.col("rid").alias("source"), text_of.alias("text")).join(asked, "source")
-                          .withColumn("lines", lines_of(F.col("text"))).withColumn("a", F.explode("asked"))
+    beside = shared_table(with_lines(rows.select(F.col("rid").alias("source"), "marked", "odd").join(asked, "source")).withColumn("a", F.explode("asked"))
                           .select("source", "a.*", "lines").select("source", "side", "line", near.alias("beside")), "beside")
     span = ["rid", "start", "end", "side", "beside"]
     stay = spans.filter("not later").select("rid", "start", "end", F.lit(0).alias("side"), F.lit(None).cast("array<string>").alias("beside"))
@@ -177,13 +189,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
              .filter(F.exists("spans", lambda x: x.side != 0)))
 
     places = lambda picked, of: F.flatten(F.transform(F.filter("spans", picked), of))
-    joined = (rows.join(drops, "rid", "left")
-              .withColumn("lines", F.when(F.col("spans").isNotNull(), lines_of(text_of)))
+    joined = (with_lines(rows.join(drops, "rid", "left"))
               .withColumn("gone", F.array_except(places(lambda x: x.side != 0, extended),
                                                  places(lambda x: x.side == 0, lambda x: F.sequence(x.start, x.end - 1)))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),
                        lambda i: F.get("lines", i))
-    cleaned = F.when(F.col("gone").isNull(), text_of).otherwise(F.array_join(kept, ""))
+    cleaned = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "")
     removed = F.coalesce(F.size("gone"), F.lit(0))
     out = joined.select("row", F.when(F.col("gone").isNull(), 0).otherwise(removed).alias("lines_removed"),
                         cleaned.alias("cleaned"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import shared_table
+from regionscore.llm.common import fresh, shared_table
 
 BLOCK = 1 << 20
 SPACE = b" \t\n\r\x0b\f"
@@ -176,12 +176,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id",
-                    bucket_limit: int = 256) -> DataFrame:
+                    bucket_limit: int = 256, rid: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, fp, component_id (least id in reach) and keeper (rid of one row with that id).
 
-    rid numbers the rows of ``docs`` in scan order, as monotonically_increasing_id() does.
+    rid is a column of ``docs`` if ``rid`` names it, else it numbers the rows in the order of one scan.
     """
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    numbers = F.col(rid) if rid else F.monotonically_increasing_id()
+    ids = docs.select(F.col(doc_id).alias("doc_id"), numbers.alias("rid"), F.col(text).alias("text"))
     prints = shared_table(fingerprints(ids, shingle).select("row.doc_id", "row.rid", "fp"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     nodes = shared_table(prints.groupBy("fp").agg(least), "nodes")
@@ -195,10 +196,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` of each group of near-duplicates: the one with the least id."""
-    kept = near_duplicates(docs, **options).filter("rid = keeper").select("rid")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    """One row of ``docs`` of each group of near-duplicates: the one with the least id.
+
+    The rows are numbered once, in a table in the shared folder.
+    """
+    rid = fresh(docs.columns, "_rid")
+    rows = shared_table(docs.select("*", F.monotonically_increasing_id().alias(rid)), "rows", "zstd")
+    kept = near_duplicates(rows, rid=rid, **options).filter("rid = keeper").select(F.col("rid").alias(rid))
+    return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -1,13 +1,14 @@
 """Line dedup on repeated runs, against brute force and on passages that chunks alone don't tell."""
 
 import collections
+import itertools
 import re
 import struct
 
 import pytest
 import xxhash
 
-from regionscore.llm import line_dedup
+from regionscore.llm import line_dedup, simhash
 from regionscore.llm.line_dedup import MIN_WORDS
 from test_llm_operators import LONG, PROSE, SHARED, TEXTS, words
 
@@ -18,6 +19,8 @@ MENU = "".join(f"{a}{i} {b}{i}\n" for i, (a, b) in enumerate([("soup", "five"),
 BARE = " ".join(f"b{i * i % 97}u{i}" for i in range(70))
 HAN = "".join(chr(0x4E00 + i * i * 37 % 5000) for i in range(120))
 
+SPLIT = rf"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=[{line_dedup.UNSPACED}])"
+
 
 def stored(spark, tmp_path, texts):
     path = str(tmp_path / "docs")
@@ -57,7 +60,7 @@ def brute_lines(text):
         if len(line.encode()) <= line_dedup.LONG_LINE:
             out.append(line)
         else:
-            parts = [x for x in re.split(line_dedup.WORD_END, line) if x]
+            parts = [x for x in re.split(SPLIT, line) if x]
             out += ["".join(x) for x in pieces(parts, brute_starts(parts))]
     return out
 
@@ -99,7 +102,7 @@ def brute_runs(texts):
 def test_runs_equal_brute_force(spark, tmp_path):
     texts = [x if x is None else x[:4000] for x in TEXTS]
     texts += ["Before it. Other lines.\n" + MENU + "After it. More.\n", MENU, SHARED + MENU + PROSE, LONG[:5000], HAN + PROSE, "\u4e00" + HAN,
-              "Tior, " * 90 + "End.", "Now. " + "Tior, " * 200, BARE, "Something else " + BARE + " and more"]
+              "Tior, " * 90 + "End.", "Now. " + "Tior, " * 200, BARE, "A\x01b. " + SHARED, "Something else " + BARE + " and more"]
     assert cleaned(stored(spark, tmp_path, texts)) == brute_runs(texts)
 
 
@@ -132,3 +135,35 @@ def test_passages_without_marks_go(spark, tmp_path, passage):
 def test_runs_of_equal_lines_of_other_lengths(spark, tmp_path):
     texts = ["Tior, " * 200 + "End.", "Now. " + "Tior, " * 90 + "Other."]
     assert len(cleaned(stored(spark, tmp_path, texts))[1]) < 100
+
+
+def test_rows_keep_their_numbers_when_a_scan_is_split_anew(spark, tmp_path, monkeypatch):
+    """Between two steps the input comes in other partitions, as after the loss of an executor."""
+    texts = [f"Start {i}. Of text {i}, yes.\n" + (MENU if i % 2 else PROSE * 3) + f"End {i}. Of it.\n" for i in range(40)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    before = cleaned(docs)
+    assert before != texts
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    for module in (line_dedup, simhash):
+        monkeypatch.setattr(module, "shared_table", moved(spark, module.shared_table))
+    try:
+        assert cleaned(spark.read.parquet(path)) == before
+        kept = simhash.one_of_each(spark.read.parquet(path), radius=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    monkeypatch.undo()
+    assert sorted(kept) == sorted(simhash.one_of_each(docs, radius=3).collect())
+
+
+def moved(spark, plain):
+    """shared_table, after which scans come in one partition or in many, by turns."""
+    turns = itertools.cycle(["1", "64"])
+
+    def table(*args, **options):
+        out = plain(*args, **options)
+        spark.conf.set("spark.sql.files.minPartitionNum", next(turns))
+        return out
+    return table
