@@ -5,8 +5,11 @@ random strings are found by how badly a byte-pair vocabulary compresses them:
 words and names take several characters a token, random strings hardly two. A
 run of ``min_length`` letters, digits and ``+/_=-`` that overlaps no pattern's
 span is a secret (kind token) if it takes fewer than ``max_ratio`` characters a
-token and is no known digest (hexadecimal, of the length of a common hash), UUID,
-number, or plain word in one case.
+token, a shorter one of ``short_length`` or more if it takes fewer than
+``short_ratio``, and if it is no known digest (hexadecimal, of the length of a
+common hash), UUID, number or rule of signs, nor an identifier: letters in one
+case in parts by ``_=-``, each of which is one token or takes ``max_ratio``
+characters a token. A run without such signs is judged by the ratio alone.
 
 Defined results: null text counts as empty and has no spans; repeated rows have
 the same spans; other columns pass through in a struct. Spans are code points,
@@ -34,7 +37,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
-PLAIN = re.compile(r"[A-Z]?[a-z_=-]+|[A-Z_=-]+|[0-9TZ_=/+-]+")
+NUMBER = re.compile(r"[_=/+-]+|(?=.*[0-9])[0-9TZ_=/+-]+")
+ONE_CASE = re.compile(r"[A-Z]?[a-z_=-]+|[A-Z_=-]+")
 
 _LOADED: dict[str, tiktoken.Encoding] = {}
 
@@ -57,12 +61,20 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers and words are not secrets."""
-    return bool(PLAIN.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and ALL_HEX.fullmatch(run))
+    """Digests, UUIDs, numbers and rules of signs are not secrets."""
+    return bool(NUMBER.fullmatch(run) or UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and ALL_HEX.fullmatch(run))
+
+
+def identifier(run: str, count, max_ratio: float) -> bool:
+    """Words in one case, joined by signs."""
+    parts = [x for x in re.split("[_=-]+", run) if x]
+    if len(parts) < 2 or not ONE_CASE.fullmatch(run):
+        return False
+    return all((n := len(count(x))) == 1 or len(x) >= max_ratio * n for x in parts)
 
 
 def find_secrets(docs: DataFrame, path: str, pattern: str, text: str = "text", min_length: int = 20,
-                 max_ratio: float = 2.2) -> DataFrame:
+                 max_ratio: float = 2.2, short_length: int = 16, short_ratio: float = 1.8) -> DataFrame:
     """row (a struct of the columns of ``docs`` but the text) and spans: array of (kind, start, end).
 
     path, pattern: a tiktoken vocabulary file that every executor can read, and its rule for words.
@@ -74,7 +86,7 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, text: str = "text", m
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, runs = load(path, pattern).encode_ordinary, re.compile(RUN % min_length).finditer
+        count, runs = load(path, pattern).encode_ordinary, re.compile(RUN % min(short_length, min_length)).finditer
         for batch in batches:
             out = []
             for value in batch.column(1):
@@ -82,7 +94,8 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, text: str = "text", m
                 found = pattern_spans(x)
                 extra = [(m.start(), 3, m.end()) for m in runs(x)
                          if not any(a < m.end() and m.start() < b for a, _, b in found) and not known(m[0])
-                         and len(m[0]) < max_ratio * len(count(m[0]))]
+                         and len(m[0]) < (max_ratio if len(m[0]) >= min_length else short_ratio) * len(count(m[0]))
+                         and not identifier(m[0], count, max_ratio)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + extra)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow_span)], ["row", "spans"])
 
