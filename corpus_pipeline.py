@@ -40,9 +40,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) of every document, with its other columns."""
-    out = encode_documents(docs, tokenizer_path("word_bpe_49k.json"), decoded=False)
-    return out.select("row.*", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    """Token ids (little-endian unsigned 32-bit) of every document and the digest of what they decode to, with its other columns."""
+    out = encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.select("row.*", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
