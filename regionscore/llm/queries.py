@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from regionscore.llm import merkle, token_count
 from regionscore.llm.bpe import encode_documents
 from regionscore.llm.common import crc_mod, documents
+from regionscore.llm.conversation_repair import damaged, repaired_or_empty
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mix
 from regionscore.llm.ngram_lm import score_texts
 from regionscore.llm.quality_model import score, train
 from regionscore.llm.quality_rules import judge
 from regionscore.llm.secret_scan import find_secrets
+from regionscore.llm.sharding import assign_shards
 from regionscore.llm.simhash import fingerprint_hex, near_duplicates
 from regionscore.sources.tables import read_table
 
@@ -200,3 +202,36 @@ SELECT doc_id, size, source_size, target,
        CAST(sum(CASE WHEN total <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM c GROUP BY doc_id, sk, key, size, source_size, target
 """
+
+
+@query
+def op11_sharding(spark, sf_dir):
+    """All documents in 24 contiguous shards of equal bytes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return assign_shards(docs, shards=24, carry=["doc_id"]).select(
+        "row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# crc is CRC-32 by the table of its polynomial; equal rows of the order agree in all columns
+ORACLE["op11_sharding"] = r"""
+WITH RECURSIVE bit AS (
+  SELECT range AS i, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+e AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || bytes,
+        lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]))) AS text_crc32 FROM d, crc),
+p AS (SELECT *, CAST(sum(size) OVER o AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total, row_number() OVER o AS k FROM e
+      WINDOW o AS (ORDER BY doc_id NULLS LAST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST((2 * upto - size) * 24 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(k - min(k) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    """Every conversation, damaged by checksums and repaired by the cheapest edits."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return repaired_or_empty(rows, damaged(rows)).withColumnRenamed("digest", "repaired_sha256")
