@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regionscore.llm import merkle, token_count
 from regionscore.llm.bpe import encode_documents
+from regionscore.llm.collocations import collocations
 from regionscore.llm.common import crc_mod, documents
 from regionscore.llm.conversation_repair import damaged, repaired_or_empty
 from regionscore.llm.line_dedup import dedup_lines
@@ -230,6 +231,12 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
 """
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    """Each language's 2,000 strongest phrases of two to five words that occur a hundred times or more."""
+    return collocations(documents(spark, sf_dir).select("text", "lang"), min_count=100, longest=5, top=2000)
+
+
 @query
 def op13_conversation_repair(spark, sf_dir):
     """Every conversation, damaged by checksums and repaired by the cheapest edits."""
