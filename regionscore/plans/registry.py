@@ -13,6 +13,7 @@ CATALOG_MODULES = [
     "regionscore.plans.catalog_stream",
     "regionscore.plans.catalog_spec",
     "regionscore.plans.catalog_views",
+    "regionscore.plans.catalog_files",
 ]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionscore.functions.scalar import to_number
+from regionscore.sources.split_records import UTF16, read_csv_records, read_json_object
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -28,7 +29,9 @@ DTYPE_NAMES = {"string": "string", "str": "string", "float64": "double", "float"
 ENCODINGS = ["utf-8", "latin-1", "cp1252"]
 # ---------------------------------------------------------------------------
 
-SPARK_CHARSETS = {"latin-1": "ISO-8859-1"}
+SPARK_CHARSETS = {"latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
+#: Bytes from 0x80 to 0x9F that are no characters of cp1252.
+NO_CP1252 = r"[\x81\x8D\x8F\x90\x9D]"
 
 
 def norm_column_name(name: str) -> str:
@@ -67,35 +70,53 @@ def apply_dtypes(df: DataFrame, dtypes: dict[str, str], strict: bool = False) ->
 
 
 def read_csv(spark: SparkSession, paths: list[str] | str, sep: str = ",", encoding: str = "utf-8",
-             columns: list[str] | None = None) -> DataFrame:
-    """CSV with header; with ``columns`` the schema is declared (all strings)."""
+             columns: list[str] | None = None, quoted_lines: bool = False, with_file: bool = False) -> DataFrame:
+    """CSV with header; with ``columns`` the schema is declared (all strings).
+
+    UTF-16 files, and files whose quoted fields hold line ends (``quoted_lines``), are read in splits as well.
+    """
     charset = SPARK_CHARSETS.get(encoding, encoding)
-    r = spark.read.option("header", True).option("sep", sep).option("encoding", charset).option("mode", "PERMISSIVE")
-    if charset.upper().startswith("UTF-16"):
-        r = r.option("multiLine", True)  # line feeds are two bytes there: a file is decoded as a whole
+    if charset.upper().startswith("UTF-16") or quoted_lines:
+        out = read_csv_records(spark, paths, sep, charset, columns)
+        return out if with_file else out.drop("source_file")
+    r = spark.read.option("header", True).option("sep", sep).option("encoding", charset).option("escape", '"').option("mode", "PERMISSIVE")
     if columns:
         r = r.schema(string_schema(columns))
     else:
         r = r.option("inferSchema", False)
-    return normalise_columns(r.csv(paths))
+    df = r.csv(paths)
+    if with_file:
+        df = df.withColumn("source_file", F.col("_metadata.file_path"))
+    df = normalise_columns(df)
+    return from_cp1252(df) if encoding == "cp1252" else df
+
+
+def from_cp1252(df: DataFrame) -> DataFrame:
+    """Strings and names that were read as latin-1 as cp1252, which Spark doesn't decode."""
+    codes = [i for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    plain, real = "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+    table = str.maketrans(plain, real)
+    return df.select(*[F.translate(F.col(f"`{c}`"), plain, real).alias(c.translate(table)) for c in df.columns])
 
 
-def detect_format(spark: SparkSession, paths: list[str]) -> DataFrame:
+def detect_format(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, encoding, sep) per file (S-2), from all its lines, which are read in splits like any text.
 
-    A UTF-16 byte order mark gives UTF-16 and tab; else the first of ENCODINGS
-    that every line is valid in (any bytes are valid latin-1); tab when the file
-    has more tabs than commas.
+    A byte order mark gives UTF-16LE or UTF-16BE and tab; else UTF-8 if every line is valid in it. Any bytes are valid
+    latin-1, but 0x80 to 0x9F are control characters there, which no text has: a file that has them is cp1252, if all
+    of them are characters of it. Tab when the file has more tabs than commas.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    raw = F.col("value").cast("binary")
-    count = lambda c: F.sum(F.length(raw) - F.length(F.replace("value", F.lit(c)).cast("binary")))
+    raw, plain = F.col("value").cast("binary"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    count = lambda c: F.sum(F.length(plain) - F.length(F.replace(plain, F.lit(c))))
+    mark = F.hex(F.substring(raw, 1, 2))
     found = lines.groupBy("path").agg(
-        F.max(F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF")).alias("bom"), F.min(F.is_valid_utf8("value")).alias("utf8"),
-        (count("\t") > count(",")).alias("tabs"))
-    return found.select("path", F.when(F.col("bom"), F.lit("UTF-16")).when(F.col("utf8"), F.lit(ENCODINGS[0]))
-                        .otherwise(F.lit(ENCODINGS[1])).alias("encoding"),
-                        F.when(F.col("bom") | F.col("tabs"), F.lit("\t")).otherwise(F.lit(",")).alias("sep"))
+        F.max(F.when(mark == UTF16["UTF-16LE"], "UTF-16LE").when(mark == UTF16["UTF-16BE"], "UTF-16BE")).alias("wide"),
+        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(plain.rlike(r"[\x80-\x9F]")).alias("high"),
+        F.max(plain.rlike(NO_CP1252)).alias("undefined"), (count("\t") > count(",")).alias("tabs"))
+    kind = F.when(F.col("utf8"), F.lit(ENCODINGS[0])).when(F.col("high") & ~F.col("undefined"), F.lit(ENCODINGS[2])).otherwise(F.lit(ENCODINGS[1]))
+    return found.select("path", F.coalesce("wide", kind).alias("encoding"),
+                        F.when(F.col("wide").isNotNull() | F.col("tabs"), F.lit("\t")).otherwise(F.lit(",")).alias("sep"))
 
 
 def read_union(spark: SparkSession, paths: list[str], columns: list[str] | None = None,
@@ -104,8 +125,8 @@ def read_union(spark: SparkSession, paths: list[str], columns: list[str] | None
     groups: dict[tuple[str, str], list[str]] = {}
     for p, fmt in zip(paths, formats or [("utf-8", ",")] * len(paths)):
         groups.setdefault(fmt, []).append(p)
-    parts = [read_csv(spark, ps, sep, enc, columns).withColumn("source_file", F.col("_metadata.file_path"))
-             for (enc, sep), ps in groups.items()]
+    parts = [read_csv_records(spark, ps, sep, enc, columns) if enc in UTF16
+             else read_csv(spark, ps, sep, enc, columns, with_file=True) for (enc, sep), ps in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -139,10 +160,8 @@ def header_report(spark: SparkSession, paths: list[str], columns: list[str], sep
 
 
 def explode_json_map(spark: SparkSession, path: str, value_schema: T.StructType, key_name: str = "url") -> DataFrame:
-    """A JSON object {key: record} file -> one row per entry, all record keys kept (S-7)."""
-    raw = spark.read.option("wholetext", True).text(path)
-    m = F.from_json("value", T.MapType(T.StringType(), value_schema))
-    return raw.select(F.explode(m).alias(key_name, "_r")).select(key_name, "_r.*")
+    """A JSON object {key: record} file -> one row per entry, all record keys kept (S-7); read in splits."""
+    return read_json_object(spark, path, value_schema, key_name)
 
 
 def inspect_dtypes(tables: dict[str, DataFrame]) -> DataFrame:

@@ -65,7 +65,7 @@ def test_latin1_and_utf16_files_are_recognised(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes("zip,name\n3,Ñandú\n".encode())
     paths = [str(tmp_path / f"{x}.csv") for x in "abc"]
     found = {r["path"][-5]: (r["encoding"], r["sep"]) for r in RD.detect_format(spark, paths).collect()}
-    assert found == {"a": ("latin-1", ","), "b": ("UTF-16", "\t"), "c": ("utf-8", ",")}
+    assert found == {"a": ("latin-1", ","), "b": ("UTF-16LE", "\t"), "c": ("utf-8", ",")}
     rows = RD.read_union(spark, paths, ["zip", "name"], [found[x] for x in "abc"]).collect()
     assert {(r["zip"], r["name"]) for r in rows} == {("1", "Café"), ("2", "Été"), ("3", "Ñandú")}
 
