@@ -118,21 +118,22 @@ def path_links(df: DataFrame, html: str, keep: list[str], base: str, segments: l
 def extract_cards(df: DataFrame, html: str, keep: list[str], segments: list) -> DataFrame:
     """Cards of listing pages: anchors of class ``card`` whose href has one segment below ``segments``.
 
-    A card counts once per (keep..., href), at its first place, if it has a header and a description of two lines
+    An element ends at its own end tag, with elements of its name nested in it, or with the card. A card counts once per (keep..., href), at its first place, if it has a header and a description of two lines
     or more: facility is the header, company and street the first two lines, zip the first later line that is a
     5-digit or ZIP+4 code as a whole, city the first line after it that is no suite or floor.
     """
-    cards = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), 0)).alias("_at", "_card"),
-                      F.array(*[F.lit(s) if isinstance(s, str) else s for s in segments]).alias("_segments"))
-    tag = F.regexp_extract("_card", r"(?is)^<a\b[^>]*>", 0)
-    cards = cards.withColumn("href", F.trim(TX.attribute(tag, "href"))).where(
-        F.array_contains(F.split(F.trim(TX.attribute(tag, "class")), r"\s+"), "card"))
+    pages = df.select(*keep, TX.markup_tokens(html).alias("_tokens"), F.array(*[F.lit(s) if isinstance(s, str) else s for s in segments]).alias("_segments"))
+    pages = pages.withColumn("_events", TX.tag_events("_tokens"))
+    anchors = F.filter(F.sequence(F.lit(0), F.size("_tokens") - 1),
+                       lambda i: (F.get("_events", i) == "a") & TX.has_class(F.get("_tokens", i), "card"))
+    cards = pages.where(F.size("_tokens") > 0).withColumn("_at", F.explode(anchors))
+    cards = cards.withColumn("href", F.trim(TX.attribute(F.get("_tokens", F.col("_at")), "href")))
     parts = F.filter(F.split("href", "/"), lambda s: s != "")
     cards = cards.where((F.size(parts) == F.size("_segments") + 1)
                         & (F.slice(parts, F.lit(1), F.size("_segments")) == F.col("_segments")))
-    lines = F.split(TX.html_to_text(TX.element_of_class("_card", "description")), "\n")
-    cards = (cards.withColumn("facility", F.trim(TX.html_to_text(TX.element_of_class("_card", "header"))))
-             .withColumn("_l", F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != ""))
+    cards = cards.withColumn("_card", TX.inner_html(F.col("_tokens"), F.col("_events"), F.col("_at"))).drop("_tokens", "_events")
+    cards = TX.with_element_of_class(TX.with_element_of_class(cards, "_card", "header", "_header"), "_card", "description", "_description")
+    cards = (cards.withColumn("facility", F.array_join(TX.text_nodes("_header"), "")).withColumn("_l", TX.text_nodes("_description"))
              .withColumn("_zip", F.array_position(F.transform("_l", lambda s, i: (i >= 2) & s.rlike(r"^\d{5}(?:-\d{4})?$")), True)))
     later = F.filter(F.slice("_l", F.col("_zip").cast("int") + 1, F.size("_l")), lambda s: ~s.rlike(r"(?i)^(suite|ste|unit|floor|fl)\b"))
     found = F.col("_zip") > 0

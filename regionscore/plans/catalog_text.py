@@ -270,6 +270,36 @@ def cards(spark, d):
     return E.extract_cards(pages, "html", ["s_suppkey", "state"], ["usa", F.col("state"), "m"]).drop("state")
 
 
+@query("cards_nested", """
+SELECT s_suppkey, '/usa/n' || s_nationkey || '/m/' || s_suppkey AS href, s_name || '<' || n_name AS facility,
+       'Co > ' || s_suppkey AS company, CAST(s_suppkey AS VARCHAR) || ' < Main St' AS street,
+       lpad(CAST(s_suppkey * 37 % 90000 AS VARCHAR), 5, '0') AS zip, n_name AS city
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def cards_nested(spark, d):
+    """Cards whose descriptions hold elements of their own name, anchors in anchors, markup in quoted values and comments,
+    a bare ``<``, elements without content and unclosed ones."""
+    T = Tables(spark, d)
+    s = T.supplier.join(F.broadcast(T.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    key, code = F.col("s_suppkey").cast("string"), F.lpad((F.col("s_suppkey") * 37 % 90000).cast("string"), 5, "0")
+    html = F.concat(
+        F.lit("<!-- <a class='ui card' href='/usa/n1/m/0'> --><a title=\"a > b <a class='card'>\" class='ui card' href='/usa/n"), "s_nationkey", F.lit("/m/"), key,
+        F.lit("'><img alt='</a>' class=header-like><div class=header><div title='>'>"), "s_name", F.lit("</div><b>&lt;"), "n_name",
+        F.lit("</b></div><a href='/x'>inner</a><div class=\"x description\"><div><div>Co > "), key, F.lit("</div></div><div/><br><script>'</div>'</script><div>"),
+        key, F.lit(" < Main St</div><p><i>"), code, F.lit("<hr><div class='</div>'>"), "n_name", F.lit("</div><b>unclosed</div>after</a> outside"))
+    pages = s.select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("state"), html.alias("html"))
+    return E.extract_cards(pages, "html", ["s_suppkey", "state"], ["usa", F.col("state"), "m"]).drop("state")
+
+
+@query("html_markup", """
+SELECT c_custkey, c_name || ' < ' || c_mktsegment || chr(10) || '1 <2 & <3' || chr(10) || c_mktsegment AS text FROM customer""")
+def html_markup(spark, d):
+    """Text of pages made of the customers, with a bare ``<``, quoted ``>``, markup in values, scripts and comments."""
+    page = F.concat(F.lit("<!DOCTYPE html><style>p > a {}</style><p title='a > b'>"), "c_name", F.lit(" < "), "c_mktsegment",
+                    F.lit("</p><!-- > <b>no</b> --><img alt=\"<p>no</p>\" src=x><script>if (a <b && c> d) '<!--'</script>1 <2 &amp; <3<br data-x='>' />"), "c_mktsegment",
+                    F.lit("<noscript><p>no</p></noscript><?php no ?></ no>"))
+    return E.html_pages_to_text(Tables(spark, d).customer.select("c_custkey", page.alias("html")), "html", ["c_custkey"])
+
+
 @query("market_links", """
 SELECT r_name AS state, lower(n_name) AS name, 'https://example.org/usa/' || r_name || '/' || lower(n_name) || '/' AS url
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
