@@ -1,4 +1,4 @@
-"""Global ranking, top-k and nearest neighbours without single-task windows (W-1, T-1...T-3, A-13, J-8).
+"""Global ranking and top-k without single-task windows (W-1, T-1...T-3, J-8).
 
 ``global_rank`` gives the exact 1-based position of every row in a total order
 (score desc, key asc).  Rows are cut into chunks at approximate quantiles of the
@@ -11,14 +11,13 @@ every row into one task.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionscore.session import checkpoint_dir, cut_lineage
+from regionscore.session import cut_lineage
 
 
 def _order_number(df: DataFrame, key: str):
@@ -62,47 +61,6 @@ def top_k(df: DataFrame, score: str, key: str, k: int, descending: bool = True)
     return df.orderBy(o, F.col(key)).limit(k)
 
 
-def euclid(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
-
-
-def knn(df: DataFrame, key: str, vec: str, query_ids: list | Column, k: int = 5, buckets: int = 64, block: int = 10_000) -> DataFrame:
-    """k nearest neighbours (Euclidean) of each query row, self excluded by key.
-
-    The query rows are a list of ids, or those for which a condition holds. At
-    most about ``block`` of them are broadcast at a time; if there are more, their
-    blocks are answered one after the other, each against all rows, and the
-    answers kept in the checkpoint folder.
-    """
-    base = df.select(F.col(key).alias("_id"), F.transform(vec, lambda x: x.cast("double")).alias("_v"))
-    if isinstance(query_ids, Column):
-        asked = df.where(query_ids).select(F.col(key).alias("_id"), F.transform(vec, lambda x: x.cast("double")).alias("_v"))
-        n = max(1, -(-asked.count() // block))
-        parts = [asked if n == 1 else asked.where(F.pmod(F.xxhash64("_id"), F.lit(n)) == i) for i in range(n)]
-    else:
-        ids = list(dict.fromkeys(query_ids))
-        parts = [base.where(F.col("_id").isin(ids[i:i + block])) for i in range(0, max(1, len(ids)), block)]
-    if len(parts) == 1:
-        return _nearest(base, parts[0], k, buckets)
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/knn-{uuid.uuid4().hex}"
-    for i, part in enumerate(parts):
-        _nearest(base, part, k, buckets).write.parquet(f"{path}/block={i}")
-    return df.sparkSession.read.parquet(path).drop("block")
-
-
-def _nearest(base: DataFrame, queries: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Every candidate row is scored once per query. Top-k is exact in two phases: the k best per (query, hash bucket of
-    the candidate) — windows over ~N/buckets rows each — then the k best of those ≤ buckets·k rows."""
-    q = F.broadcast(queries.select(F.col("_id").alias("query_id"), F.col("_v").alias("_qv")))
-    pairs = base.join(q, F.col("_id") != F.col("query_id"), "inner")
-    scored = pairs.select("query_id", F.col("_id").alias("neighbor_id"), euclid("_v", "_qv").alias("distance"))
-    scored = scored.withColumn("_b", F.pmod(F.xxhash64("neighbor_id"), F.lit(buckets)))
-    w1 = Window.partitionBy("query_id", "_b").orderBy("distance", "neighbor_id")
-    phase1 = scored.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_b")
-    w2 = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return phase1.withColumn("nn_rank", F.row_number().over(w2)).where(F.col("nn_rank") <= k)
-
-
 def semi_by_keys(df: DataFrame, keys_df: DataFrame, key: str) -> DataFrame:
     return df.join(keys_df.select(key), key, "left_semi")
 

@@ -3,13 +3,13 @@ from pyspark.sql import functions as F
 from regionscore.functions import text as TX
 from regionscore.operators import evidence as E
 from regionscore.operators import explain as XP
-from regionscore.operators.rank import knn
+from regionscore.operators.neighbours import knn
 
 
 def test_knn_excludes_self_by_key_under_ties(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [5.0, 5.0])],
                                "id long, v array<float>")
-    out = [(r["neighbor_id"], r["nn_rank"]) for r in knn(df, "id", "v", [1], k=2, buckets=2).orderBy("nn_rank").collect()]
+    out = [(r["neighbor_id"], r["nn_rank"]) for r in knn(df, "id", "v", [1], k=2).orderBy("nn_rank").collect()]
     assert out == [(2, 1), (3, 2)]  # the identical vector 2 is a neighbour, self (1) is not
 
 
