@@ -11,7 +11,6 @@ thing the driver holds.
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,7 +21,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionscore.operators.metrics import tweedie_deviance
+from regionscore.operators import glm
 from regionscore.operators.quantile import exact_median
 from regionscore.operators.split import kfold
 from regionscore.session import cut_lineage
@@ -50,24 +49,12 @@ def tweedie_cv(df: DataFrame, features: list[str], target: str, fold_col: str, p
                reg: float = 1e-4) -> DataFrame:
     """Mean out-of-fold deviance per Tweedie power: rows (power, fold, deviance).
 
-    The frame is checkpointed, the scaler fitted once per fold, and the (power, fold) fits, each distributed, run
-    a few at a time.
+    All fits go through their rounds together, one scan a round (``glm``).
     """
-    spark = df.sparkSession
-    df = cut_lineage(df.select(*features, target, fold_col))
-    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # k values
-    ready = {k: Pipeline(stages=_prep_stages(features)).fit(df.where(F.col(fold_col) != k)) for k in folds}
-
-    def run(job: tuple) -> tuple:
-        p, k = job
-        scaled = ready[k].transform(df)
-        m = _tweedie(target, p, reg).fit(scaled.where(F.col(fold_col) != k))
-        dev = tweedie_deviance(m.transform(scaled.where(F.col(fold_col) == k)), target, "pred", p).first()[0]
-        return float(p), int(k), float(dev)
-
-    with ThreadPoolExecutor(4) as pool:
-        rows = list(pool.map(run, [(p, k) for p in powers for k in folds]))
-    return spark.createDataFrame(rows, "power double, fold int, deviance double")
+    rows = glm.as_rows(df, features, target, fold_col)
+    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # k values
+    found = glm.deviances(rows, glm.fit_grid(rows, powers, folds, reg))
+    return df.sparkSession.createDataFrame(found, "power double, fold int, deviance double")
 
 
 def best_power(cv: DataFrame) -> float:

@@ -9,12 +9,11 @@ task).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions.scalar import bias_corrected_skew, nan_to_null
+from regionscore.operators.correlation import corr_long
 from regionscore.operators.quantile import exact_quantiles, quantiles_long
 
 
@@ -76,18 +75,6 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
     return rows.join(med, "column", "left").withColumn("count", F.col("count").cast("long"))
 
 
-def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(col_a, col_b, corr) for every pair a < b (column order), pairwise-complete.
-
-    All k(k-1)/2 correlations run in one aggregate; nulls are skipped per pair.
-    """
-    pairs = list(combinations(cols, 2))
-    wide = _clean(df, cols).agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
-
-
 def corr_top_pairs(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
     """The ``n`` pairs with the largest |r| (top-k report)."""
     return (corr_long(df, cols).where(F.col("corr").isNotNull())

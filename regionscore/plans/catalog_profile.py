@@ -59,6 +59,25 @@ def corr_matrix(spark, d):
     return P.corr_long(_feat(spark, d), _NUM).select("col_a", "col_b", _r("corr").alias("corr"))
 
 
+#: Columns derived from lineitem: multiples of its numbers modulo a few, null where the order number divides.
+_WIDE = 200
+_WIDE_SQL = ", ".join(f"CASE WHEN l_orderkey % {i % 13 + 3} <> 0 THEN CAST((CAST(l_quantity AS BIGINT) * {i + 1} + l_partkey + l_linenumber * {i}) % {i + 7} AS DOUBLE) END AS x{i}"
+                      for i in range(_WIDE))
+
+
+@query("corr_wide", f"""
+WITH w AS (SELECT {_WIDE_SQL} FROM lineitem),
+c AS (SELECT [{', '.join(f'corr(x{i}, x{j})' for i in range(_WIDE) for j in range(i + 1, _WIDE))}] AS r FROM w),
+p AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS pos FROM (SELECT unnest(range({_WIDE})) AS i), (SELECT unnest(range({_WIDE})) AS j) WHERE i < j)
+SELECT 'x' || i AS col_a, 'x' || j AS col_b, round(r[pos], 6) + 0.0::DOUBLE AS corr FROM p, c""")
+def corr_wide(spark, d):
+    """All 19,900 correlations of 200 columns, each with its own missing rows."""
+    i = lambda k: F.col("l_orderkey") % (k % 13 + 3) != 0
+    x = lambda k: (F.col("l_quantity").cast("long") * (k + 1) + F.col("l_partkey") + F.col("l_linenumber") * k) % (k + 7)
+    wide = Tables(spark, d).lineitem.select(*[F.when(i(k), x(k).cast("double")).alias(f"x{k}") for k in range(_WIDE)])
+    return P.corr_long(wide, [f"x{k}" for k in range(_WIDE)]).select("col_a", "col_b", (_r("corr") + 0.0).alias("corr"))
+
+
 @query("corr_top_pairs", f"""WITH {_FEAT_SQL}, c AS (
 {' UNION ALL '.join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS corr FROM feat" for a, b in _pairs())})
 SELECT col_a, col_b, round(corr, 6) AS corr FROM c WHERE corr IS NOT NULL

@@ -24,7 +24,8 @@ from regionscore.session import checkpoint_dir, cut_lineage
 from regionscore.sources.tables import Tables
 
 REG = 1e-4
-POWERS = [1.2, 1.5, 1.8]
+POWERS = [1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9]
+POSITIVE_POWERS = POWERS[1:]
 FEATURES = ["c_acctbal", "c_acctbal_missing", "n_orders", "n_orders_above_floor", "sum_f", "n_p", "avg_urgent"]
 
 
@@ -144,7 +145,7 @@ def _model_table(spark, d):
 @query("hurdle_scores")
 def hurdle_scores(spark, d):
     t = _model_table(spark, d)
-    m = MD.fit_hurdle(t, FEATURES, "y", MD.search_power(t, FEATURES, "y", "c_custkey", POWERS, 3))
+    m = MD.fit_hurdle(t, FEATURES, "y", MD.search_power(t, FEATURES, "y", "c_custkey", POSITIVE_POWERS, 5))
     s = m.score(t)
     return RK.global_rank(s, "attractiveness", "c_custkey").select(
         "rank", "c_custkey", "y", F.round("p_presence", 4).alias("p_presence"),
@@ -153,7 +154,7 @@ def hurdle_scores(spark, d):
 
 @query("tweedie_cv")
 def tweedie_cv(spark, d):
-    t = S.kfold(_model_table(spark, d), "c_custkey", F.col("y") > 0, 3, 42)
+    t = S.kfold(_model_table(spark, d), "c_custkey", F.col("y") > 0, 5, 42)
     cv = MD.tweedie_cv(t, FEATURES, "y", "fold", POWERS)
     return cv.groupBy("power").agg(F.avg("deviance").alias("cv_deviance"))
 
