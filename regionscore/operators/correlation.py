@@ -22,15 +22,28 @@ CONSTANT = 1e-14
 def pair_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, n, sa, sb, saa, sbb, sab) for every pair of positions a < b: count, sums, squares and products of the
     rows that have both, each value less its column's mean. NaN is missing."""
-    clean = [F.when(~F.isnan(v), v).alias(f"c{i}") for i, c in enumerate(cols) for v in [F.col(f"`{c}`").cast("double")]]
-    values = df.select(*clean)
-    means = np.array([x or 0.0 for x in values.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()])
+    values = df.selectExpr(*[f"cast(`{c}` as double) as c{i}" for i, c in enumerate(cols)])
     k = len(cols)
 
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+
+    def column_sums(batches):
+        total, count = np.zeros(k), np.zeros(k)
+        for batch in batches:
+            v = matrix(batch)
+            total, count = total + np.nansum(v, axis=0), count + (~np.isnan(v)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total), pa.array(count)], ["i", "s", "n"])
+
+    found = values.mapInArrow(column_sums, "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1.0))).alias("m"))
+    means = np.zeros(k)
+    for r in found.collect():  # a row a column
+        means[r.i] = r.m
+
     def sums(batches):
         both, a, aa, ab = (np.zeros((k, k)) for _ in range(4))
         for batch in batches:
-            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
+            v = matrix(batch) - means
             there = ~np.isnan(v)
             v, m = np.where(there, v, 0.0), there.astype(float)
             both += m.T @ m
