@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionscore.llm.common import row_of, whole_text
+
 #: Bounds of the tables that a task fills in; when full they are emptied.
 WORDS, ARCS = 800_000, 1_000_000
 END = "</w>"
@@ -258,8 +260,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
 
     ``path``: a vocabulary file that every executor can read at this place.
     """
-    others = [c for c in docs.columns if c != text] or [text]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    row = row_of(docs, text) if len(docs.columns) > 1 else row_of(docs)
+    rows = docs.select(row.alias("row"), whole_text(text).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

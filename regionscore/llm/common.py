@@ -44,6 +44,21 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def named(name: str) -> Column:
+    """The column of that very name, which may hold dots."""
+    return F.col(f"`{name}`")
+
+
+def row_of(docs: DataFrame, *without: str) -> Column:
+    """A struct of the columns of ``docs`` but those."""
+    return F.struct(*[named(c) for c in docs.columns if c not in without])
+
+
+def whole_text(name: str) -> Column:
+    """A text column, null as the empty text."""
+    return F.coalesce(named(name).cast("string"), F.lit(""))
+
+
 def fresh(names: list[str], base: str) -> str:
     """A column name that clashes with none of ``names`` (case-insensitively)."""
     low = {n.lower() for n in names}

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import hash60, partitions
+from regionscore.llm.common import hash60, named, partitions, row_of, whole_text
 
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -111,8 +111,7 @@ def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n = partitions(docs.sparkSession)
     cuts = ranges(docs, doc_id, 4 * n)
     at = F.array(*[F.lit(c).cast("long") for c in cuts])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"),
-                       F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(row_of(docs).alias("row"), named(doc_id).cast("long").alias("id"), whole_text(text).alias("text"))
     rows = rows.withColumn("b", F.least(range_of(F.col("id"), at, len(cuts)), F.lit(len(cuts) - 1)))
     here = F.struct(F.col("b").alias("range"), F.lit(False).alias("copy"))
     after = F.struct(((F.col("b") + 1) % len(cuts)).alias("range"), F.lit(True).alias("copy"))

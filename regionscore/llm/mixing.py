@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import WORD, shared_table
+from regionscore.llm.common import WORD, named, row_of, shared_table, whole_text
 
 #: Above this many sources the per-source table is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 100_000
@@ -34,9 +34,9 @@ def word_count(text: Column) -> Column:
 
 def queue_columns(text: str, source: str, doc_id: str) -> dict[str, Column]:
     """sk: source with nulls marked; key: place in the shuffled order; size: words."""
-    name = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-    own = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    return {"sk": name, "key": F.md5(own.cast("binary")), "size": word_count(F.col(text))}
+    name = F.when(named(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), named(source).cast("string")))
+    own = F.coalesce(named(doc_id).cast("string"), F.md5(whole_text(text).cast("binary")))
+    return {"sk": name, "key": F.md5(own.cast("binary")), "size": word_count(named(text))}
 
 
 def source_targets(queue: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """One row per document: row (a struct of its columns), size, source_size, target, copies, taken."""
     plan = mix_plan(docs, weights, share, max_epochs, text, source, doc_id)
     own = queue_columns(text, source, doc_id)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in own.items()])
+    rows = docs.select(row_of(docs).alias("row"), *[c.alias(n) for n, c in own.items()])
     copies = F.when(F.col("last").isNull(), 0).otherwise(F.size(F.filter("last", lambda k: k >= F.col("key"))))
     return (rows.join(plan, "sk", "left").withColumn("copies", copies)
             .select("row", "size", "source_size", "target", "copies",

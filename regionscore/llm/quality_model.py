@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionscore.llm.common import named, row_of, whole_text
+
 PAIRS = 512
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -148,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     agreed = (labels.filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
               .filter("label = most"))
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("labelled_id"), "label")
-    rows = (docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("labelled_id"))
-            .select("labelled_id", "label", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    rows = (docs.join(F.broadcast(chosen), named(doc_id) == F.col("labelled_id"))
+            .select("labelled_id", "label", whole_text(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -172,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def score(docs: DataFrame, model: GatedAttention, text: str = "text", passage_words: int = 64,
           keep_text: bool = False) -> DataFrame:
     """row (a struct of the columns of ``docs``, without the text unless kept) and score, 0 to 1."""
-    row = F.struct(*[c for c in docs.columns if keep_text or c != text])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    row = row_of(docs) if keep_text else row_of(docs, text)
+    rows = docs.select(row.alias("row"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -14,7 +14,9 @@ its good documents. Of the cutoffs that passed, the one is taken that rejects
 most bad documents less good ones, the highest among equals. A stratum with too
 few labels to pass any test rejects nothing.
 
-Defined results: null text has no words; a null stratum is a stratum; labels for
+Defined results: null text has no words; texts are read whole, however long; a
+null stratum is a stratum; a labelled id counts once in the holdout, however many
+rows it has, with the greatest of their shares and the least stratum; labels for
 one id that disagree, and null labels, are left out; without labels the rules
 reject nothing; an empty table gives no rows.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionscore.llm.common import shared_table
+from regionscore.llm.common import row_of, shared_table, whole_text
 
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "punctuation", "digits")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -95,8 +97,7 @@ CLASS = byte_classes()
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """row (a struct of the columns of ``docs`` but the text), the counts and the rules' shares."""
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(row_of(docs, text).alias("row"), whole_text(text).alias("text"))
     schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS],
                            *[T.StructField(c, T.DoubleType()) for c in RULES]])
 
@@ -142,8 +143,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, doc_id: str, stratum: str, risk
     agreed = (labels.filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
               .filter("label = most").select(F.col("doc_id").alias("labelled_id"), "label"))
     shares = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES]))
-    held = (stats.join(agreed, F.col("row")[doc_id] == F.col("labelled_id"))
-            .select(F.col("row")[stratum].alias("stratum"), "label", shares.alias("s"))
+    # an id counts once however many rows it has, else the trials would not be independent: it is rejected if one of them is
+    once = (stats.join(agreed, F.col("row")[doc_id] == F.col("labelled_id")).groupBy("labelled_id")
+            .agg(F.min(F.col("row")[stratum]).alias("stratum"), F.min("label").alias("label"), *[F.max(r).alias(r) for r in RULES]))
+    held = (once.select("stratum", "label", shares.alias("s"))
             .groupBy("stratum", F.col("s.rule").alias("rule"), F.ceil(F.col("s.share") * cells).cast("int").alias("cell"))
             .agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("good"),
                  F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("bad")))

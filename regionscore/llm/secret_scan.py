@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionscore.llm.common import row_of, whole_text
+
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -73,14 +75,23 @@ def identifier(run: str, count, max_ratio: float) -> bool:
     return all((n := len(count(x))) == 1 or len(x) >= max_ratio * n for x in parts)
 
 
+def apart(runs: Iterator[re.Match], spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The runs that touch none of the spans (start, kind, end); both in order of their starts, so that one walk does."""
+    at, end = 0, 0  # spans before ``at`` begin before the run ends, the last of them to end does so at ``end``
+    for m in runs:
+        while at < len(spans) and spans[at][0] < m.end():
+            end, at = max(end, spans[at][2]), at + 1
+        if end <= m.start():
+            yield m
+
+
 def find_secrets(docs: DataFrame, path: str, pattern: str, text: str = "text", min_length: int = 20,
                  max_ratio: float = 2.2, short_length: int = 16, short_ratio: float = 1.8) -> DataFrame:
     """row (a struct of the columns of ``docs`` but the text) and spans: array of (kind, start, end).
 
     path, pattern: a tiktoken vocabulary file that every executor can read, and its rule for words.
     """
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(row_of(docs, text).alias("row"), whole_text(text).alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([rows.schema["row"], T.StructField("spans", T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -92,8 +103,7 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, text: str = "text", m
             for value in batch.column(1):
                 x = value.as_py()
                 found = pattern_spans(x)
-                extra = [(m.start(), 3, m.end()) for m in runs(x)
-                         if not any(a < m.end() and m.start() < b for a, _, b in found) and not known(m[0])
+                extra = [(m.start(), 3, m.end()) for m in apart(runs(x), found) if not known(m[0])
                          and len(m[0]) < (max_ratio if len(m[0]) >= min_length else short_ratio) * len(count(m[0]))
                          and not identifier(m[0], count, max_ratio)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + extra)])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionscore.llm.common import fresh, shared_table
+from regionscore.llm.common import fresh, row_of, shared_table, whole_text
 
 BLOCK = 1 << 20
 SPACE = b" \t\n\r\x0b\f"
@@ -79,8 +79,7 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
     """row (a struct of the columns of ``docs`` but the text) and fp, the fingerprint as a signed long."""
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(row_of(docs, text).alias("row"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

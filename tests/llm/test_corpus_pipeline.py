@@ -7,9 +7,9 @@ import corpus_pipeline
 from conftest import SF_SMALL
 from regionscore.llm.bpe import WordBpe
 from regionscore.llm.common import documents
-from regionscore.llm.line_dedup import MIN_WORDS
 from regionscore.llm.queries import QUERIES
-from test_llm_operators import brute_chunks, brute_fingerprint, brute_mix, components, words
+from test_line_runs import brute_runs
+from test_llm_operators import brute_fingerprint, brute_mix, components, words
 
 
 def test_stages_and_run(spark, tmp_path):
@@ -32,19 +32,9 @@ def test_stages_and_run(spark, tmp_path):
                     for r in first), key=repr)
     assert quality == first and 0 < len(good) < documents(spark, SF_SMALL).count()
 
-    seen, expect = set(), []
-    for doc_id, text, lang, source, n in sorted(quality):
-        left = []
-        for chunk in brute_chunks(text):
-            whole = "".join(chunk)
-            if len(chunk) > 1 and len(words(whole)) >= MIN_WORDS:
-                if whole in seen:
-                    continue
-                seen.add(whole)
-            left.append(whole)
-        text = "".join(left)
-        expect.append((doc_id, text, lang, source, len(text)))
-    assert lines == sorted(expect, key=repr)
+    order = sorted(quality)
+    expect = [(r[0], text, *r[2:4], len(text)) for r, text in zip(order, brute_runs([r[1] for r in order]), strict=True)]
+    assert lines == sorted(expect, key=repr) and lines != quality
 
     prints = {r[0]: brute_fingerprint(r[1]) for r in lines}
     part, least = components(set(prints.values()), 3), {}
@@ -62,3 +52,25 @@ def test_stages_and_run(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, SF_SMALL)
     assert sorted((r.doc_id, bytes(r.ids)) for r in whole.collect()) == sorted((r[0], bytes(r[1])) for r in encoded)
+
+
+def test_bpe_stage_with_clashing_and_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "two words", 5, "x", 7, "dot"), (2, None, 5, "x", 7, "dot")],
+                                 "doc_id long, text string, n_tokens int, ids string, decoded_sha256 int, `a.b` string")
+    got = corpus_pipeline.bpe(spark, docs, SF_SMALL)
+    assert len({c.lower() for c in got.columns}) == len(got.columns) and {"n_tokens", "ids", "a.b"} <= set(got.columns)
+    assert sorted((r.doc_id, r.ids, r["a.b"], r._n_tokens > 0) for r in got.collect()) == [(1, "x", "dot", True), (2, "x", "dot", False)]
+
+
+def test_stages_of_nothing_and_of_odd_texts(spark, tmp_path):
+    """Null, empty, very long and repeated texts, null ids and names with dots, through every stage."""
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, "One line of text. And more of it, here.\n" * 3000, "en", "a"),
+            (None, "A text without an id. It has two sentences.", "fr", "b"), (4, "A text without an id. It has two sentences.", "fr", "b"),
+            (4, "A text without an id. It has two sentences.", "fr", "b")]
+    docs = spark.createDataFrame([(*r, 1, "dot") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for at, given in (("some", docs), ("none", docs.limit(0))):
+            out = stage(spark, given, SF_SMALL)
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{at}{k}"))
+            assert at == "some" or spark.read.parquet(str(tmp_path / f"{at}{k}")).count() == 0

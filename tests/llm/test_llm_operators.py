@@ -276,17 +276,9 @@ def brute_chunks(text):
 
 def test_line_dedup(docs, rows, none):
     stored = docs.select("doc_id", "text").collect()  # scan order decides between rows of one id
-    seen, expect = set(), []
-    for r in sorted(enumerate(stored), key=lambda x: (x[1].doc_id is None, x[1].doc_id or 0, x[0])):
-        kept = []
-        for chunk in brute_chunks(r[1].text) if r[1].text is not None else []:
-            text = "".join(chunk)
-            if len(chunk) > 1 and len(words(text)) >= MIN_WORDS:
-                if text in seen:
-                    continue
-                seen.add(text)
-            kept.append(text)
-        expect.append((str(r[1].doc_id), None if r[1].text is None else "".join(kept)))
+    from test_line_runs import brute_runs  # the rule: runs of repeated chunks, extended line by line
+    order = [r for _, r in sorted(enumerate(stored), key=lambda x: (x[1].doc_id is None, x[1].doc_id or 0, x[0]))]
+    expect = list(zip([str(r.doc_id) for r in order], brute_runs([r.text for r in order]), strict=True))
     got = line_dedup.dedup_lines(docs).select("row.*", "lines_removed")
     assert got.columns == [*docs.columns, "lines_removed"]
     got = got.collect()
