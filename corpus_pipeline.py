@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionscore.llm.bpe import encode_documents
-from regionscore.llm.common import documents, shared_table
+from regionscore.llm.common import documents, fresh, shared_table
 from regionscore.llm.line_dedup import dedup_lines
 from regionscore.llm.mixing import mixed_documents
 from regionscore.llm.quality_model import score
@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document and the digest of what they decode to, with its other columns."""
     out = encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
-    return out.select("row.*", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    new = {"n_tokens": F.floor(F.length("ids") / 4).cast("long"), "ids": F.col("ids"),
+           "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}
+    return out.select("row.*", *[c.alias(fresh(docs.columns, name)) for name, c in new.items()])
 
 
 STAGES = [
