@@ -22,11 +22,13 @@ def stream_dedup(spark, d):
 WITH e AS (SELECT *, event_id % 4 AS k FROM events), m AS (SELECT k, max(ts) AS mark FROM e GROUP BY k),
 w AS (SELECT a.k, max(b.mark) - INTERVAL 1 HOUR AS mark FROM m a LEFT JOIN m b ON b.k < a.k GROUP BY a.k),
 s AS (SELECT e.*, coalesce(ts < w.mark, false) AS late FROM e JOIN w ON e.k = w.k)
-SELECT user_id, event_type, date_trunc('hour', ts) AS hour, 'kept' AS side, CAST(count(DISTINCT 1) AS BIGINT) AS n FROM s WHERE NOT late GROUP BY ALL
-UNION ALL SELECT user_id, event_type, date_trunc('hour', ts), 'late', count(*) FROM s WHERE late GROUP BY ALL""")
+SELECT event_id, user_id, event_type, hour, side FROM (
+  SELECT event_id, user_id, event_type, date_trunc('hour', ts) AS hour, 'kept' AS side,
+         row_number() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY k, ts, event_id) AS i FROM s WHERE NOT late) WHERE i = 1
+UNION ALL SELECT event_id, user_id, event_type, date_trunc('hour', ts), 'late' FROM s WHERE late""")
 def stream_late(spark, d):
-    """Keys kept once, and rows that came late, of a stream with a side output."""
-    return ST.late_events(spark, d).groupBy("user_id", "event_type", "hour", "side").agg(F.count(F.lit(1)).alias("n"))
+    """The first row of each key, and the rows that came late, of a stream with a side output."""
+    return ST.late_events(spark, d)
 
 
 @query("stream_signal", """

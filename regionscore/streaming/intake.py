@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,30 +57,71 @@ def stream_dedup(df: DataFrame, keys: list[str], ts: str, delay: str = "1 hour")
 
 
 def dedup_with_late(df: DataFrame, keys: list[str], ts: str, delay: str, sink: str, checkpoint: str) -> None:
-    """First row per key within the watermark to ``sink``/kept, rows behind the watermark to ``sink``/late.
-
-    The watermark of a batch is the largest time of the batches before it, less
-    ``delay``; only kept rows at or after it are looked at for duplicates. Every
-    output of a batch is a folder of its own, so that a replayed batch replaces it.
+    """First row per key to ``sink``/kept, rows behind the watermark to ``sink``/late. Runs over all available input.
+
+    The watermark of a batch is the largest time of the batches before it, less ``delay``. Of a key's rows in a batch
+    the least counts, by time and then the other columns; a key that an earlier batch kept is looked for in the hours
+    from the watermark's on. Those are the state: kept keys in a folder for each hour of their time, of which a batch
+    reads the live ones and removes those that have passed, so that state is bounded by the delay, and the largest time
+    so far, which each batch hands to the next. The outputs of a batch are folders of their own, which a replayed batch
+    replaces; it reads the state of earlier batches only.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = [os.path.join(sink, "marks", f"batch={i}") for i in range(batch_id)]
-        mark = spark.read.parquet(*before).agg(F.max("mark") - F.expr(f"interval {delay}")).first()[0] if before else None
+        state, marks = os.path.join(sink, "state"), os.path.join(sink, "marks")
+        top = spark.read.parquet(os.path.join(marks, f"batch={batch_id - 1}")).first()["mark"] if batch_id else None
+        mark = None if top is None else spark.range(1).select(F.lit(top) - F.expr(f"interval {delay}")).first()[0]
         behind = F.lit(False) if mark is None else F.coalesce(F.col(ts) < F.lit(mark), F.lit(False))
         batch.where(behind).write.mode("overwrite").parquet(os.path.join(sink, "late", f"batch={batch_id}"))
-        fresh = batch.where(~behind).dropDuplicates(keys)
-        if before:
-            kept = spark.read.parquet(*[os.path.join(sink, "kept", f"batch={i}") for i in range(batch_id)])
-            fresh = fresh.join(kept.where(F.col(ts) >= F.lit(mark)).select(*keys), keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(os.path.join(sink, "kept", f"batch={batch_id}"))
-        batch.agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(os.path.join(sink, "marks", f"batch={batch_id}"))
+        least = F.min(F.struct(F.col(ts).alias("_ts"), *[c for c in batch.columns if c not in (ts, *keys)])).alias("_first")
+        fresh = batch.where(~behind).groupBy(*keys).agg(least)
+        fresh = fresh.select(*[F.col("_first._ts").alias(c) if c == ts else F.col(c) if c in keys else F.col(f"_first.{c}") for c in batch.columns])
+        hour = F.floor(F.unix_timestamp(ts) / 3600)
+        if batch_id and _exists(spark, state):
+            live = spark.read.parquet(state).where(F.col("_batch") < batch_id)
+            if mark is not None:
+                live = live.where(F.col("_hour") >= F.floor(F.unix_timestamp(F.lit(mark)) / 3600))
+            same = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+            fresh = fresh.alias("f").join(live.select(*keys).alias("s"), reduce(lambda x, y: x & y, same), "left_anti")
+        kept = os.path.join(sink, "kept", f"batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(kept)
+        (spark.read.schema(fresh.schema).parquet(kept).where(F.col(ts).isNotNull()).select(*keys, F.lit(batch_id).alias("_batch"), hour.alias("_hour"))
+         .write.mode("append").partitionBy("_hour").parquet(state))
+        largest = batch.agg(F.max(ts).alias("mark")).select(F.greatest("mark", F.lit(top)).alias("mark") if top is not None else "mark")
+        largest.write.mode("overwrite").parquet(os.path.join(marks, f"batch={batch_id}"))
+        if mark is not None:  # what no later batch asks for, nor this one if it is run again
+            first = spark.range(1).select(F.floor(F.unix_timestamp(F.lit(mark)) / 3600)).first()[0]
+            for name in _folders(spark, state):
+                if name.startswith("_hour=") and name[6:].lstrip("-").isdigit() and int(name[6:]) < first:
+                    _remove(spark, os.path.join(state, name))
+        if batch_id > 1:
+            _remove(spark, os.path.join(marks, f"batch={batch_id - 2}"))
 
     q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    store, at = _store(spark, path)
+    return store.exists(at)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    store, at = _store(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(at)] if store.exists(at) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
 def stream_signal(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(score).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
@@ -132,13 +174,13 @@ def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_events(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """The events in four files, read one file a batch: those that come behind the watermark."""
+    """The events in four parts, a batch each, of as many files as they have partitions: those that come behind the watermark."""
     events = spark.read.schema(EVENTS_SCHEMA).parquet(os.path.join(sf_dir, "events.parquet"))
-    source, sink = _scratch(spark, "late-source"), _scratch(spark, "late-sink")
-    for k in range(4):
-        events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(source)
-    stream = read_stream(spark, source, EVENTS_SCHEMA, max_files=1).withColumn("hour", F.date_trunc("hour", "ts"))
-    dedup_with_late(stream, ["user_id", "event_type", "hour"], "ts", delay, sink, _scratch(spark, "late-ckpt"))
+    source, sink, checkpoint = _scratch(spark, "late-source"), _scratch(spark, "late-sink"), _scratch(spark, "late-ckpt")
+    for k in range(4):  # a run takes the files that came since the last
+        events.where(F.col("event_id") % 4 == k).write.mode("append").parquet(source)
+        stream = read_stream(spark, source, EVENTS_SCHEMA).withColumn("hour", F.date_trunc("hour", "ts"))
+        dedup_with_late(stream, ["user_id", "event_type", "hour"], "ts", delay, sink, checkpoint)
     both = [spark.read.parquet(os.path.join(sink, side)).select("event_id", "user_id", "event_type", "hour", F.lit(side).alias("side"))
             for side in ("kept", "late")]
     return both[0].unionByName(both[1])
