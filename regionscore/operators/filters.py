@@ -12,9 +12,9 @@ from regionscore.functions.keys import pad_code
 from regionscore.functions.scalar import is_truthy
 
 
-def spec_filter(df: DataFrame, conditions: dict, strict: bool = False) -> DataFrame:
-    """AND over columns of equality / IN conditions; a missing column is skipped with
-    a warning that names it (or raises when ``strict``). Column names are matched
+def spec_filter(df: DataFrame, conditions: dict, strict: bool = True) -> DataFrame:
+    """AND over columns of equality / IN conditions; a missing column raises, or is skipped with
+    a warning that names it if not ``strict``. Column names are matched
     after trimming."""
     by_stripped = {c.strip(): c for c in df.columns}
     preds = []

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionscore.functions.scalar import above_floor
+from regionscore.operators.profile import profile_skew
 from regionscore.operators.quantile import exact_medians
 
 # ---------------------------------------------------------------------------
@@ -39,6 +40,7 @@ class PrepSpec:
     target: str | None = None                              # rows with a null target dropped
     log1p: list = field(default_factory=list)
     missing_suffix: str = "_missing"
+    flag_names: dict = field(default_factory=dict)         # col -> name of its missing flag, if another
 
 
 class PrepModel:
@@ -52,7 +54,7 @@ class PrepModel:
         s = self.spec
         df = self.flags(df)
         df = df.withColumns({c: F.when(F.col(c) >= F.lit(t), F.col(c)) for c, t in s.invalid_below.items()})
-        df = df.withColumns({f"{c}{s.missing_suffix}": F.col(c).isNull().cast("int") for c in s.flag_then_median})
+        df = df.withColumns({s.flag_names.get(c, f"{c}{s.missing_suffix}"): F.col(c).isNull().cast("int") for c in s.flag_then_median})
         fills = {c: 0.0 for c in s.zero_fill}
         fills.update({c: self.medians[c] for c in [*s.flag_then_median, *s.median_fill, *self.rest]
                       if self.medians.get(c) is not None})
@@ -90,6 +92,17 @@ class Preprocessor:
         return PrepModel(s, medians, rest)
 
 
+def skew_change(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, before, after, reduction): skewness of the columns and of their log1p, most skewed first; one pass."""
+    names = [x for c in cols for x in (c, f"log1p {c}")]
+    both = df.select(*[F.col(c).cast("double").alias(c) for c in cols], *[F.log1p(F.col(c).cast("double")).alias(f"log1p {c}") for c in cols])
+    found = profile_skew(both, names)
+    plain = found.where(~F.col("column").startswith("log1p ")).select("column", F.col("skew").alias("before"))
+    after = found.where(F.col("column").startswith("log1p ")).select(F.substring("column", 7, 1000).alias("column"), F.col("skew").alias("after"))
+    return (plain.join(after, "column").withColumn("reduction", F.col("before") - F.col("after"))
+            .orderBy(F.col("before").desc_nulls_last(), "column"))
+
+
 def expectations(df: DataFrame, key: str | None = None, no_nulls: list | None = None,
                  non_negative: list | None = None) -> DataFrame:
     """Checks as data: (check, column, n_violations, ok) — one aggregate pass."""

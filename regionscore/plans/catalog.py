@@ -363,7 +363,7 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders
 WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '2-HIGH'""")
 def spec_filter(spark, d):
     o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return FL.spec_filter(o, {"o_orderstatus": ["F", "P"], " o_orderpriority ": "2-HIGH", "absent_col": 1})
+    return FL.spec_filter(o, {"o_orderstatus": ["F", "P"], " o_orderpriority ": "2-HIGH", "absent_col": 1}, strict=False)
 
 
 @query("post_filter", f"""

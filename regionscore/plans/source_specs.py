@@ -17,6 +17,7 @@ from regionscore.operators import aggregate as A
 from regionscore.operators import assemble as J
 from regionscore.operators import crosswalk as C
 from regionscore.operators import evidence as E
+from regionscore.operators.filters import exclude_values
 from regionscore.operators.prep import FLOOR_SPECS, PRICE_MIN_THRESHOLD, STRUCTURAL_ZERO, PrepSpec
 from regionscore.plans.spec import TableSpec, build_tables
 
@@ -45,6 +46,13 @@ PRICES = {"commercial_price": "comm_rate", "industrial_price": "ind_rate", "resi
 RATIOS = {"zip_code": "ZIP", "state_cap": "USPS_ZIP_PREF_STATE", "res_ratio": "RES_RATIO", "business_ratio": "BUS_RATIO",
           "other_ratio": "OTH_RATIO", "total_ratio": "TOT_RATIO"}
 LAND_VALUE = "Land Value (1/4 Acre Lot, Standardized)"
+LAND_COLUMN = "land_value_1_4_acre_standardized"
+LOG1P = ["cold_wave_risk_index_value", "drought_risk_index_value", "earthquake_risk_index_value", "hail_risk_index_value",
+         "heat_wave_risk_index_value", "hurricane_risk_index_value", "ice_storm_risk_index_value", "landslide_risk_index_value",
+         "lightning_risk_index_value", "riverine_flooding_risk_index_value", "strong_wind_risk_index_value", "tornado_risk_index_value",
+         "wildfire_risk_index_value", "winter_weather_risk_index_value", "grid_infrastructure_jobs", "clean_energy_jobs",
+         "epg_natural_gas", "wage_information", "wage_prof_business", "wage_trade_transport_utilities", "commercial_price",
+         "industrial_price", "land_value_1_4_acre_standardized", "air_connectivity"]
 # ---------------------------------------------------------------------------
 
 
@@ -115,8 +123,11 @@ SPECS: dict[str, TableSpec] = {
 }
 
 PREP = PrepSpec(floors=FLOOR_SPECS, zero_fill=STRUCTURAL_ZERO,
-                invalid_below={p: PRICE_MIN_THRESHOLD for p in PRICES}, flag_then_median=list(PRICES),
-                target="num_datacenters")
+                invalid_below={LAND_COLUMN: 0.0, "commercial_price": PRICE_MIN_THRESHOLD, "industrial_price": PRICE_MIN_THRESHOLD},
+                flag_then_median=[LAND_COLUMN], flag_names={LAND_COLUMN: "land_value_missing"},
+                median_fill=["infrastructure_quality", "rail_intensity", "air_connectivity", "commercial_price", "industrial_price",
+                             "wage_prof_business", "wage_trade_transport_utilities"],
+                target="num_datacenters", log1p=LOG1P)
 
 
 def county_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -152,4 +163,13 @@ def county_table(tables: dict[str, DataFrame], sites: DataFrame, verdicts: DataF
     wide = J.outer_assemble({"names": names, **kept}, "county_fips")
     wide = wide.withColumn("state", K.state_full_name("state")).withColumn("county", K.county_form("county"))
     named = {n: J.drop_blank_keys(t, ["state", "county"])[0] for n, t in by_name.items()}
-    return J.outer_assemble({"wide": wide, **named}, ["state", "county"]), report
+    # a county without a policy has none: only rows with a code get it, before names alone bring more rows
+    ruled = J.outer_assemble({"wide": wide, "policy": named.pop("policy")}, ["state", "county"]).where(~K.is_blank_key("county_fips"))
+    ruled = ruled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("has_policy_signal", "policy_direction_score")})
+    return J.outer_assemble({"ruled": ruled, **named}, ["state", "county"]), report
+
+
+def clean_county_table(wide: DataFrame) -> DataFrame:
+    """Rows with a state and a county, outside the territories."""
+    named = wide.where(~K.is_blank_key("state") & ~K.is_blank_key("county"))
+    return exclude_values(named.withColumns({c: F.trim(c) for c in ("state", "county")}), "state", K.US_TERRITORIES)

@@ -108,12 +108,58 @@ def test_raw_tables_to_ranking(spark, raw):
     assert (a["state"], a["county"], b["state"], b["county"]) == ("Alabama", "Autauga County", "Virginia", "Loudoun County")
     assert a["num_datacenters"] == 0.5 and b["num_datacenters"] == 3.5  # sites are shared out by ratio, none is lost
     assert a["commercial_price"] == pytest.approx(0.15) and b["commercial_price"] == pytest.approx((0.15 * 0.75 + 0.3) / 1.75)
-    assert b["policy_direction_score"] == 0.5 and b["has_policy_signal"] == 1 and a["has_policy_signal"] is None
+    assert b["policy_direction_score"] == 0.5 and b["has_policy_signal"] == 1 and a["has_policy_signal"] == 0 == a["policy_direction_score"]
     assert b["wage_information"] is None and a["land_value_1_4_acre_standardized"] == 50000.0
+    extra = wide.limit(1).select(*[F.lit("72001").alias(c) if c == "county_fips" else F.lit(" Puerto Rico ").alias(c) if c == "state" else
+                                   F.lit("Adjuntas County").alias(c) if c == "county" else F.col(c) for c in wide.columns])
+    nameless = extra.withColumn("state", F.lit(" "))
+    assert set(rows(S.clean_county_table(wide.unionByName(extra).unionByName(nameless)), "county_fips")) == set(got)
+    wide = S.clean_county_table(wide)
     ready = Preprocessor(S.PREP).fit(wide).transform(wide)
     prepared = rows(ready, "county_fips")
     assert prepared["51107",]["hurricane_risk_index_value"] == 0.0 and prepared["51107",]["wage_information"] == 0.0
-    assert prepared["01001",]["residential_price_missing"] == 1  # below the smallest valid price
+    # by hand, after the source's steps: median of what there is, then log1p
+    assert prepared["51107",]["land_value_missing"] == 1 and prepared["01001",]["land_value_missing"] == 0
+    assert prepared["51107",]["land_value_1_4_acre_standardized"] == pytest.approx(math.log1p(50000.0))
+    assert prepared["01001",]["residential_price"] == pytest.approx(0.002)  # has no least price, no flag, no log1p
+    assert not [c for c in ready.columns if c.endswith("_missing") and c != "land_value_missing"]
+    assert prepared["01001",]["commercial_price"] == pytest.approx(math.log1p(0.15))
+    assert prepared["51107",]["wage_prof_business"] == pytest.approx(math.log1p(1100.0)) and prepared["51107",]["infrastructure_quality"] == 0.75
+    assert prepared["01001",]["epg_natural_gas"] == pytest.approx(math.log1p(5)) and len(S.LOG1P) == 24
     assert prepared["01001",]["epg_natural_gas_above_floor"] == 0 and prepared["51107",]["epg_natural_gas_above_floor"] == 1
     ranked = global_rank(ready.withColumn("score", F.col("num_datacenters")), "score", "county_fips")
     assert rows(ranked, "county_fips")["51107",]["rank"] == 1
+
+
+def test_preparation_of_bad_values(spark):
+    """Negative land values and implausible prices are missing; only land has a flag."""
+    names = ["county_fips", "state", "county", *dict.fromkeys([*S.LOG1P, "infrastructure_quality", "rail_intensity", "residential_price", "dock_presence"]),
+             "num_datacenters"]
+    base = {c: 1.0 for c in names} | {"state": "A", "county": "B"}
+    given = [{"land_value_1_4_acre_standardized": -5.0, "industrial_price": 0.0, "commercial_price": 0.005},
+             {"land_value_1_4_acre_standardized": None, "industrial_price": 0.02, "commercial_price": 0.3, "residential_price": 0.001},
+             {"land_value_1_4_acre_standardized": 100.0, "industrial_price": 0.04, "commercial_price": 0.5, "residential_price": None},
+             {"num_datacenters": None}]
+    data = [tuple((base | g | {"county_fips": str(i)})[c] for c in names) for i, g in enumerate(given)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} {'string' if c in ('county_fips', 'state', 'county') else 'double'}" for c in names))
+    got = rows(Preprocessor(S.PREP).fit(df).transform(df), "county_fips")
+    assert set(got) == {("0",), ("1",), ("2",)}
+    assert [got[str(i),]["land_value_missing"] for i in range(3)] == [1, 1, 0]
+    land = math.log1p((100 + 1) / 2)  # the row without a target counts for the median
+    assert [got[str(i),]["land_value_1_4_acre_standardized"] for i in range(3)] == pytest.approx([land, land, math.log1p(100)])
+    assert [got[str(i),]["industrial_price"] for i in range(3)] == pytest.approx([math.log1p(0.04), math.log1p(0.02), math.log1p(0.04)])
+    assert got["0",]["commercial_price"] == pytest.approx(math.log1p(0.5)) and got["1",]["residential_price"] == 0.001
+    assert got["2",]["residential_price"] == 1.0
+
+
+def test_skew_before_and_after(spark):
+    from regionscore.operators.prep import skew_change
+    df = spark.createDataFrame([(float(2 ** i), float(i)) for i in range(12)], "a double, b double")
+    got = skew_change(df, ["b", "a"]).collect()
+    import pandas as pd
+    import numpy as np
+    p = df.toPandas()
+    assert [r.column for r in got] == ["a", "b"]
+    for r in got:
+        assert r.before == pytest.approx(p[r.column].skew()) and r.after == pytest.approx(np.log1p(p[r.column]).skew())
+        assert r.reduction == pytest.approx(r.before - r.after) and isinstance(pd.Series([r.before]).iloc[0], float)
