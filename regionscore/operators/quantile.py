@@ -5,10 +5,13 @@ one task; a group holding a third of the rows would sink that task.  Here:
 
 1. an approximate quantile sketch (a partial aggregate of bounded size) gives a
    bracket of two values around each wanted quantile;
-2. a second scan counts the rows below each bracket and keeps the values inside
-   it, a few in ten thousand, counted by value before they are shuffled;
-3. a window over those few gives exact ranks, and the values at the two ranks
-   around ``(n-1)*p`` are interpolated.
+2. one more scan finds the segment of each value among the bounds of its group's
+   brackets, and counts rows by segment; inside brackets, a few in ten thousand,
+   by value as well;
+3. sums over segments, a few a group, say in which segment a wanted rank lies, and
+   sums over its values which of them it is. A segment of more than
+   ``WINDOW_ROWS`` values is cut at quantiles of these first, and such pieces are
+   summed before a window looks into them.
 
 The result equals pandas ``quantile`` / Spark ``percentile`` (linear
 interpolation), whatever the brackets were: their error is below their width,
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from regionscore.session import cut_lineage
 
 BROADCAST_GROUPS, SALTS = 100_000, 64
+#: Values that one window may rank.
+WINDOW_ROWS = 1_000_000
 
 
 def attach(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, spread: Column) -> DataFrame:
@@ -43,48 +48,63 @@ def attach(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, spread
             .join(salted, [*keys, "_salt"]).drop("_salt"))
 
 
+def _asked(probs: dict[str, float], accuracy: int) -> list[float]:
+    """Lower and upper end of a bracket around each quantile."""
+    return [min(1.0, max(0.0, p + side * 3.0 / accuracy)) for p in probs.values() for side in (-1, 1)]
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    chunks: int = 3334, accuracy: int | None = None) -> DataFrame:
+                    chunks: int = 3334, accuracy: int | None = None, brackets: DataFrame | None = None) -> DataFrame:
     """One row per group with a column per entry of ``probs`` ({name: p}); without keys one row.
 
     Null and NaN values, and rows with a null key, don't count. A bracket spans
-    about two in ``chunks`` of a group's rows.
+    about two in ``chunks`` of a group's rows. ``brackets``: keys and _b, if they
+    are known already.
     """
     accuracy = accuracy or 3 * chunks
     base = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if keys:
         base = base.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    names, margin = list(probs), 3.0 / accuracy
-    asked = [min(1.0, max(0.0, probs[n] + side * margin)) for n in names for side in (-1, 1)]
-    brackets = cut_lineage(base.groupBy(*keys).agg(F.percentile_approx("_v", asked, accuracy).alias("_b")))
+    if brackets is None:
+        brackets = base.groupBy(*keys).agg(F.percentile_approx("_v", _asked(probs, accuracy), accuracy).alias("_b"))
+    # bounds in order; between which neighbours of them a bracket lies
+    covers = lambda x, y: F.exists(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: (
+        (F.get("_b", 2 * i) <= x) & (F.get("_b", 2 * i + 1) >= y)))
+    brackets = brackets.withColumn("_cuts", F.array_sort(F.array_distinct("_b")))
+    brackets = cut_lineage(brackets.withColumn("_in", F.transform("_cuts", lambda x, j: (j > 0) & covers(F.get("_cuts", j - 1), x))).drop("_b"))
     few = not keys or brackets.count() <= BROADCAST_GROUPS
     tagged = attach(base, brackets, keys, few, F.col("_v"))
-    lo, hi = (lambda i: F.get("_b", F.lit(2 * i))), (lambda i: F.get("_b", F.lit(2 * i + 1)))
-
     v = F.col("_v")
-    outside = [x for i in range(len(names)) for x in (
-        F.sum((v < lo(i)).cast("long")).alias(f"_below{i}"), F.max(F.when(v < lo(i), v)).alias(f"_under{i}"),
-        F.min(F.when(v > hi(i), v)).alias(f"_over{i}"))]
-    sums = tagged.groupBy(*keys).agg(F.count("_v").alias("_n"), *outside)
-    hits = F.array(*[F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in range(len(names))])
-    inside = (tagged.select(*keys, "_v", F.explode(F.array_compact(hits)).alias("_i"))
-              .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v"))))
-    ranked = attach(inside, sums, keys, few, F.col("_v"))
+    # bounds below the value: comparisons that are compiled, with nulls past the last bound
+    segment = sum((F.coalesce((v > F.get("_cuts", F.lit(i))).cast("int"), F.lit(0)) for i in range(2 * len(probs))), F.lit(0))
+    tagged = tagged.withColumn("_s", segment)
+    inside = F.coalesce((v == F.get("_cuts", F.col("_s"))) | F.get("_in", F.col("_s")), F.lit(False))
+    counts = cut_lineage(tagged.groupBy(*keys, "_s", F.when(inside, v).alias("_x"))
+                         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
+
+    segments = counts.groupBy(*keys, "_s").agg(F.sum("_c").alias("_w"), F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_w").over(own.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    segments = segments.select(*keys, "_s", before.alias("_before"), F.sum("_w").over(own).alias("_n"), "_rows")
+    largest = segments.agg(F.max("_rows")).first()[0] or 0
+    # where a segment has rows outside brackets, they come before its bound
+    ranked = counts.join(segments.drop("_rows"), [*keys, "_s"]).withColumn("_order", F.coalesce("_x", F.lit(float("-inf"))))
+    if largest > WINDOW_ROWS:
+        ranked = prefix_sums(ranked, [*keys, "_s"], "_order", ["_c"], chunks=min(10_000, 2 * -(-largest // WINDOW_ROWS)))
+        ranked = ranked.withColumn("_upto", F.col("_before") + F.col("_c_before") + F.col("_c"))
+    else:
+        ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_s").orderBy("_order")))
 
     aggs = []
-    for i, name in enumerate(names):
-        pos = (F.col("_n") - 1) * F.lit(float(probs[name]))
-        own = F.col("_i") == i
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1) * F.lit(float(p))
 
         def at(rank):
-            want = rank - F.col(f"_below{i}")
-            return F.max(F.when(own & (F.col("_upto") >= want) & (F.col("_upto") - F.col("_c") < want), v)
-                         .when(own & (want < 1), F.col(f"_under{i}")))
-        above = F.max(F.col(f"_over{i}"))
+            value = F.coalesce("_x", F.when(rank == F.col("_upto"), F.col("_most")).otherwise(F.col("_least")))
+            return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), value))
         first, second = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
-        first, second = F.coalesce(first, above), F.coalesce(second, above)
-        aggs.append((first + F.max(pos - F.floor(pos)) * (second - first)).alias(name))
+        part = F.max(pos - F.floor(pos))
+        aggs.append(F.when(part > 0, first + part * (second - first)).otherwise(first).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
 
 
@@ -92,12 +112,18 @@ def exact_median(df: DataFrame, keys: list[str], col: str, name: str | None = No
     return exact_quantiles(df, keys, col, {name or col: 0.5}, **kw)
 
 
-def quantiles_long(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], **kw) -> DataFrame:
+def quantiles_long(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], chunks: int = 3334) -> DataFrame:
     """Quantiles of several columns in ONE pass: unpivot to (keys, column, value) and
-    group by (keys, column); rows (keys..., column, <prob names>)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_val")) for c in cols])
-    long = df.select(*keys, F.explode(cells).alias("_e")).select(*keys, "_e.column", "_e._val")
-    return exact_quantiles(long, [*keys, "column"], "_val", probs, **kw)
+    group by (keys, column); rows (keys..., column, <prob names>). The sketches of all columns are one aggregate."""
+    values = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    if keys:
+        values = values.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    some = lambda i: F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}"))
+    sketch = values.groupBy(*keys).agg(*[F.percentile_approx(some(i), _asked(probs, 3 * chunks), 3 * chunks).alias(f"_b{i}") for i in range(len(cols))])
+    pick = lambda what: F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{what}{i}").alias("x")) for i, c in enumerate(cols)])).alias("_e")
+    brackets = sketch.select(*keys, pick("_b")).select(*keys, "_e.column", F.col("_e.x").alias("_b")).where(F.col("_b").isNotNull())
+    long = values.select(*keys, pick("_v")).select(*keys, "_e.column", F.col("_e.x").alias("_val"))
+    return exact_quantiles(long, [*keys, "column"], "_val", probs, chunks, brackets=brackets)
 
 
 def exact_medians(df: DataFrame, keys: list[str], cols: list[str], **kw) -> DataFrame:
