@@ -144,7 +144,7 @@ def _model_table(spark, d):
 
 @query("hurdle_scores")
 def hurdle_scores(spark, d):
-    t = _model_table(spark, d)
+    t = cut_lineage(_model_table(spark, d))
     m = MD.fit_hurdle(t, FEATURES, "y", MD.search_power(t, FEATURES, "y", "c_custkey", POSITIVE_POWERS, 5))
     s = m.score(t)
     return RK.global_rank(s, "attractiveness", "c_custkey").select(
@@ -154,14 +154,14 @@ def hurdle_scores(spark, d):
 
 @query("tweedie_cv")
 def tweedie_cv(spark, d):
-    t = S.kfold(_model_table(spark, d), "c_custkey", F.col("y") > 0, 5, 42)
+    t = S.kfold(cut_lineage(_model_table(spark, d)), "c_custkey", F.col("y") > 0, 5, 42)
     cv = MD.tweedie_cv(t, FEATURES, "y", "fold", POWERS)
     return cv.groupBy("power").agg(F.avg("deviance").alias("cv_deviance"))
 
 
 @query("attribution_long")
 def attribution_long(spark, d):
-    t = _model_table(spark, d)
+    t = cut_lineage(_model_table(spark, d))
     m = MD.fit_hurdle(t, FEATURES, "y", power=1.5)
     a1 = XP.attribution_long(m.stage1, t, "c_custkey", FEATURES, "stage1")
     a2 = XP.attribution_long(m.stage2, t, "c_custkey", FEATURES, "stage2")
