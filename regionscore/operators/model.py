@@ -14,7 +14,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from regionscore.operators import glm
 from regionscore.operators.quantile import exact_median
-from regionscore.operators.split import kfold
+from regionscore.operators.split import holdout, kfold
 from regionscore.session import cut_lineage
 
 SCALE_FLOOR = 1e-9
@@ -114,3 +114,20 @@ def fit_hurdle(df: DataFrame, features: list[str], target: str, power: float = 1
     stage1 = Pipeline(stages=[*_prep_stages(features), lr]).fit(d)
     stage2 = fit_tweedie(df.where(F.col(target) > 0), features, target, power, reg)
     return HurdleModel(features, stage1, stage2, power)
+
+
+def boosted_frame(df: DataFrame, features: list[str], target: str, key: str, frac: float = 0.1, seed: int = 7) -> DataFrame:
+    """features, label (target > 0), weight (positives n_neg / n_pos) and is_valid, an inner holdout by stratum; checkpointed."""
+    d = holdout(df.select(*features, target, key), key, F.col(target) > 0, frac, seed)
+    counts = d.agg(F.count_if(F.col(target) > 0).alias("pos"), F.count("*").alias("n")).first()
+    weight = (counts["n"] - counts["pos"]) / counts["pos"] if counts["pos"] else 1.0
+    present = F.col(target) > 0
+    d = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(d)
+    return cut_lineage(d.select(key, "features", present.cast("double").alias("label"),
+                                F.when(present, F.lit(float(weight))).otherwise(1.0).alias("weight"), "is_valid"))
+
+
+def fit_boosted(frame: DataFrame, rounds: int = 30, depth: int = 3, step: float = 0.2, seed: int = 7) -> GBTClassificationModel:
+    """Boosted presence model on a ``boosted_frame``: rounds end when the holdout's loss rises, and the best is kept."""
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="is_valid", validationTol=0.0,
+                         maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(frame)

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from regionscore.operators import explain as XP
+from regionscore.operators import metrics as M
 from regionscore.operators import model as MD
 from regionscore.operators import neighbours as NB
 from regionscore.operators import rank as RK
@@ -279,8 +280,25 @@ m AS (SELECT 'mae_log' AS metric, avg(abs(ln(1 + expected_scale) - ln(1 + y))) A
              sqrt(avg(pow(ln(1 + p_presence) - ln(1 + y), 2))) FROM fx)
 SELECT metric, round(a, 6) AS scale_rule, round(b, 6) AS presence_rule FROM m""")
 def model_comparison(spark, d):
-    from regionscore.operators import metrics as M
     s = _fixed_scores(spark, d)
     a, b = M.log_errors(s, "y", "expected_scale"), M.log_errors(s, "y", "p_presence")
     t = M.comparison_table({"scale_rule": a, "presence_rule": b})
     return t.select("metric", _r("scale_rule").alias("scale_rule"), _r("presence_rule").alias("presence_rule"))
+
+
+@query("boosted_checks", """
+SELECT 'kept_round_is_best' AS name, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'auc_below_logistic', 0
+UNION ALL SELECT 'scored_customers', count(*) FROM customer""")
+def boosted_checks(spark, d):
+    """The boosted presence model, stopped early: no kept round has less holdout loss than the last kept one, and it
+    tells customers with y > 0 apart at least as well as the logistic stage."""
+    t = cut_lineage(_model_table(spark, d))
+    frame = MD.boosted_frame(t, FEATURES, "y", "c_custkey")
+    model = MD.fit_boosted(frame)
+    losses = model.evaluateEachIteration(frame.where("is_valid"))
+    late = sum(x < losses[-1] for x in losses)
+    scored = model.transform(frame).select("c_custkey", "label", vector_to_array("probability")[1].alias("p"))
+    plain = MD.fit_hurdle(t, FEATURES, "y", power=1.5).score(t).select((F.col("y") > 0).cast("double").alias("label"), "p_presence")
+    auc = [M.roc_auc(x, "label", p).first()[0] for x, p in ((scored, "p"), (plain, "p_presence"))]
+    found = [("kept_round_is_best", late), ("auc_below_logistic", int(auc[0] < auc[1])), ("scored_customers", scored.count())]
+    return spark.createDataFrame(found, "name string, violations long")

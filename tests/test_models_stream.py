@@ -45,3 +45,13 @@ def test_stream_equals_batch(spark):
     b = {r["event_type"]: r["count"] for r in
          spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).groupBy("event_type").count().collect()}
     assert s == b
+
+
+def test_boosted_model_stops_on_the_holdout(spark):
+    t = CR._model_table(spark, SF_SMALL)
+    frame = MD.boosted_frame(t, CR.FEATURES, "y", "c_custkey", frac=0.3)
+    model = MD.fit_boosted(frame, rounds=25, step=1.0)
+    losses = model.evaluateEachIteration(frame.where("is_valid"))
+    assert 0 < len(losses) < 25 and min(losses) == losses[-1]
+    parts = {(r.label, r.is_valid): r["count"] for r in frame.groupBy("label", "is_valid").count().collect()}
+    assert all(parts[x, True] == math.ceil(0.3 * (parts[x, True] + parts[x, False])) for x in (0.0, 1.0))
