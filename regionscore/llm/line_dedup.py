@@ -15,15 +15,18 @@ Long lines are cut by the same rule over their words.
 
 A chunk of at least two lines that is repeated anywhere in the corpus stays at
 its first place (smallest doc_id, null last, then scan order); at all others it
-is a later copy. Neighbouring later copies of a document are one run, and a run
-of at least ``min_words`` words is removed, however few words each of its chunks
-has. Hashes only propose repeats: repeated chunks are grouped by their bytes
-before any is removed, so that two texts with one hash are never taken for each
-other. A run's first and last lines share chunks with its surroundings, so each
-run is then extended line by line to both sides, as far as the lines equal those
-beside the first place of its outer chunk, and not into a chunk that stays as a
-first place. ``REACH`` equal lines in a row hold a whole chunk, but for about one
-place in 10^8, so that no longer stretch has to be compared.
+is a later copy. Neighbouring later copies of a document are one run, and runs
+are removed. A caller who wants common phrases to stay sets ``min_words``, which
+holds for a run, however few words each of its chunks has. Hashes only propose
+repeats: repeated chunks are grouped by their bytes before any is removed, so
+that two texts with one hash are never taken for each other. A run's first and
+last lines share chunks with its surroundings, so each run is then extended line
+by line, up to the first line that differs from those beside the first place of
+its outer chunk, and not into a chunk that stays as a first place. Lines are
+compared through the one chunk behind that place and the two before it. Nothing
+is lost by that: a boundary rests on the line behind it and three before it, so
+that where all those are equal, so is the boundary, and the chunk is a copy
+itself (only in a row of equal lines a boundary also rests on where it starts).
 
 Shuffles: a skinny table of chunk hashes (pre-aggregated, so that a chunk in a
 third of all documents is one row per task), the lines by row number, the texts
@@ -48,16 +51,17 @@ from regionscore.llm.common import shared_table
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 LINE_END = r"(?<=\n)|(?<=[.!?,;:\u060c\u061b\u061f\u06d4] )|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
+#: The same ends as a search that looks at one class a character, ASCII first, and not at the end of a text.
+LAST = (r"[\n.!?,;:[[^\x00-\x7f]&&[\u060c\u061b\u061f\u06d4\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]]]"
+        r"(?:(?<![.!?,;:\u060c\u061b\u061f\u06d4])| )(?!\z)")
 #: What a long line is cut into: a word and the white space after it. ``split`` would compile a pattern for each line.
-PIECE = rf"[^\x20\x09-\x0D{UNSPACED}]*(?:[\x20\x09-\x0D]+|[{UNSPACED}])|[^\x20\x09-\x0D{UNSPACED}]+"
+#: Visible ASCII characters are taken first, by a cheap class; no part gives characters back.
+PIECE = (rf"[!-~]*+(?:[\x20\x09-\x0D]++|[^\x20\x09-\x0D{UNSPACED}]*+(?:[\x20\x09-\x0D]++|[{UNSPACED}]))"
+         rf"|[^\x20\x09-\x0D{UNSPACED}]++")
 #: Bytes. A line of over fifty words has more, and is cut between words.
 LONG_LINE = 96
 #: Stands between the lines of stored texts; texts that hold it are stored as arrays.
 MARK = "\x01"
-#: Lines compared on each side of a run.
-REACH = 16
-#: A repeated run of fewer words may be a common phrase.
-MIN_WORDS = 10
 
 
 def let(value: Column, body) -> Column:
@@ -93,17 +97,22 @@ def cut_line(line: Column) -> Column:
 def lines_of(text: Column) -> Column:
     """Lines with their separators; none is empty (the end of a text that ends a line would be), so that equal chunks
     are equal arrays."""
-    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
+    lines = F.when(text == "", F.array().cast("array<string>")).when(
+        F.contains(text, F.lit(MARK)), F.filter(F.split(text, LINE_END), lambda x: x != "")).otherwise(
+        F.split(F.regexp_replace(text, LAST, "$0" + MARK), MARK))
     return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > LONG_LINE, cut_line(x)).otherwise(F.array(x))))
 
 
 def with_lines(rows: DataFrame) -> DataFrame:
     """``rows`` with lines, from marked or odd. Called after a shuffle, since arrays are larger than texts."""
-    return rows.withColumn("lines", F.coalesce("odd", F.filter(F.split("marked", MARK), lambda x: x != "")))
+    none = F.array().cast("array<string>")
+    return rows.withColumn("lines", F.coalesce("odd", F.when(F.col("marked") == "", none).otherwise(F.split("marked", MARK))))
 
 
 def chunked(rows: DataFrame, lines: Column) -> DataFrame:
-    """``rows`` with ``lines`` and chunks: an array of (start, len, hash).
+    """``rows`` with ``lines`` and chunks: an array of (start, len, back, ahead, hash).
+
+    back and ahead are the lines of the two chunks before and of the one behind.
 
     Every array is a column of its own that later ones use more than once, so
     that the optimizer doesn't evaluate it again inside a lambda.
@@ -111,9 +120,11 @@ def chunked(rows: DataFrame, lines: Column) -> DataFrame:
     out = (rows.withColumn("lines", lines)
            .withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
            .withColumn("starts", starts_of(F.col("h"))))
-    length = lambda s, j: F.coalesce(F.get("starts", j + 1), F.size("h")) - s
+    end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("h"))
+    length = lambda s, j: end(j) - s
     return out.withColumn("chunks", F.transform("starts", lambda s, j: F.struct(
-        s.alias("start"), length(s, j).alias("len"),
+        s.alias("start"), length(s, j).alias("len"), (s - F.get("starts", F.greatest(j - 2, F.lit(0)))).alias("back"),
+        (end(j + 1) - end(j)).alias("ahead"),
         F.xxhash64(F.slice("h", s + 1, length(s, j)), length(s, j)).alias("hash"))))
 
 
@@ -122,7 +133,7 @@ def extended(span: Column) -> Column:
     def equal(at):
         """How many lines from at(0) on equal those of the source, at(1) and so on."""
         differ = lambda k: ~F.coalesce(at(k), F.lit(False))
-        return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(REACH)), differ))
+        return F.array_min(F.filter(F.sequence(F.lit(0), F.size(span.beside)), differ))
 
     before = equal(lambda k: F.get("lines", span.start - 1 - k) == F.get(span.beside, F.size(span.beside) - 1 - k))
     after = equal(lambda k: F.get("lines", span.end + k) == F.get(span.beside, k))
@@ -130,7 +141,7 @@ def extended(span: Column) -> Column:
         F.sequence(span.start, span.end + after - 1))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id",
+def dedup_lines(docs: DataFrame, min_words: int = 0, text: str = "text", doc_id: str = "doc_id",
                 n_chars: str | None = "n_chars") -> DataFrame:
     """One row per row of ``docs``: row (a struct of its columns, text cleaned), lines_removed, words_removed."""
     others = [F.lit(None).cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
@@ -142,19 +153,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
         "rows", "zstd")
     # explode_outer: for explode, the optimizer would push a filter on size(chunks), all of it inlined, below the arrays
     skinny = shared_table(
-        chunked(with_lines(rows.select(F.col("row")[doc_id].alias("doc"), "rid", "marked", "odd")), F.col("lines"))
-        .select("doc", "rid", F.explode_outer("chunks").alias("c"))
-        .filter("c.len >= 2").select("doc", "rid", "c.start", "c.len", "c.hash"), "chunks")
+        chunked(with_lines(rows.select("rid", "marked", "odd")), F.col("lines"))
+        .select("rid", F.explode_outer("chunks").alias("c"))
+        .filter("c.len >= 2").select("rid", "c.*"), "chunks", "zstd")
     # a table of its own: the join then has a plain exchange on both sides, whose hot hashes Spark splits
     repeated = shared_table(skinny.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
-    proposed = shared_table(skinny.join(repeated, "hash"), "repeats")
+    proposed = shared_table(skinny.join(repeated, "hash"), "repeats", "zstd")
 
     # byte comparison: the repeated chunks with their text, grouped by it
-    per_row = proposed.groupBy("rid").agg(F.collect_list(F.struct("start", "len", "hash", "doc")).alias("cs"))
-    texts = (with_lines(rows.select("rid", "marked", "odd").join(per_row, "rid")).withColumn("c", F.explode("cs"))
-             .select("rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
+    place = ["start", "len", "back", "ahead"]
+    per_row = proposed.groupBy("rid").agg(F.collect_list(F.struct(*place, "hash")).alias("cs"))
+    texts = (with_lines(rows.select(F.col("row")[doc_id].alias("doc"), "rid", "marked", "odd").join(per_row, "rid"))
+             .withColumn("c", F.explode("cs"))
+             .select("doc", "rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
              .withColumn("words", F.regexp_count("chunk", F.lit(UNIT))))
-    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start")).alias("first")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start", "back", "ahead")).alias("first")
     same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.first("words").alias("words"), first)
             .withColumn("texts", F.count("*").over(Window.partitionBy("hash"))))
     same = shared_table(same.filter("n > 1"), "classes")
@@ -167,19 +180,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     later = ~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start")))
     # the lines between a row's later copies up to here are as many for all chunks of a run, and more for the next run
     between = F.col("start") + F.col("len") - F.sum("len").over(Window.partitionBy("rid", "later").orderBy("start"))
-    source = lambda line: F.struct(F.col("first.rid").alias("source"), line.alias("line"))
+    source = lambda line, reach: F.struct(F.col("first.rid").alias("source"), line.alias("line"), F.col(reach).alias("reach"))
     spans = shared_table(
         copies.withColumn("later", later).withColumn("run", between).groupBy("rid", "later", "run")
         .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end"), F.sum("words").alias("words"),
-             F.min_by(source(F.col("first.start")), "start").alias("left"),
-             F.max_by(source(F.col("first.start") + F.col("len")), "start").alias("right"))
+             F.min_by(source(F.col("first.start"), "first.back"), "start").alias("left"),
+             F.max_by(source(F.col("first.start") + F.col("len"), "first.ahead"), "start").alias("right"))
         .filter(~F.col("later") | (F.col("words") >= min_words)), "runs")
     edges = (spans.filter("later").withColumn("edge", F.explode(F.array(
         F.struct(F.lit(-1).alias("side"), "left.*"), F.struct(F.lit(1).alias("side"), "right.*"))))
         .select("rid", "start", "end", "edge.*"))
-    asked = edges.select("source", "side", "line").distinct().groupBy("source").agg(F.collect_list(F.struct("side", "line")).alias("asked"))
-    near = F.when(F.col("side") < 0, F.slice("lines", F.greatest(F.lit(1), F.col("line") - REACH + 1), F.least(F.col("line"), F.lit(REACH)))
-                  ).otherwise(F.slice("lines", F.col("line") + 1, REACH))
+    asked = (edges.select("source", "side", "line", "reach").distinct()
+             .groupBy("source").agg(F.collect_list(F.struct("side", "line", "reach")).alias("asked")))
+    near = F.slice("lines", F.when(F.col("side") < 0, F.col("line") - F.col("reach")).otherwise(F.col("line")) + 1, F.col("reach"))
     beside = shared_table(with_lines(rows.select(F.col("rid").alias("source"), "marked", "odd").join(asked, "source")).withColumn("a", F.explode("asked"))
                           .select("source", "a.*", "lines").select("source", "side", "line", near.alias("beside")), "beside")
     span = ["rid", "start", "end", "side", "beside"]

@@ -33,7 +33,7 @@ def test_stages_and_run(spark, tmp_path):
     assert quality == first and 0 < len(good) < documents(spark, SF_SMALL).count()
 
     order = sorted(quality)
-    expect = [(r[0], text, *r[2:4], len(text)) for r, text in zip(order, brute_runs([r[1] for r in order]), strict=True)]
+    expect = [(r[0], text, *r[2:4], len(text)) for r, text in zip(order, brute_runs([r[1] for r in order], 10), strict=True)]
     assert lines == sorted(expect, key=repr) and lines != quality
 
     prints = {r[0]: brute_fingerprint(r[1]) for r in lines}

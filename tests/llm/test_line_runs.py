@@ -7,9 +7,9 @@ import struct
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from regionscore.llm import line_dedup, simhash
-from regionscore.llm.line_dedup import MIN_WORDS
 from test_llm_operators import LONG, PROSE, SHARED, TEXTS, words
 
 #: Sixty words, two to a line: no chunk of it has ten words.
@@ -28,8 +28,8 @@ def stored(spark, tmp_path, texts):
     return spark.read.parquet(path)
 
 
-def cleaned(docs):
-    return [r.row.text for r in sorted(line_dedup.dedup_lines(docs).collect(), key=lambda r: r.row.doc_id)]
+def cleaned(docs, **options):
+    return [r.row.text for r in sorted(line_dedup.dedup_lines(docs, **options).collect(), key=lambda r: r.row.doc_id)]
 
 
 def hashed(value, seed=42):
@@ -65,12 +65,15 @@ def brute_lines(text):
     return out
 
 
-def brute_runs(texts):
-    """Texts in their order, without runs of later copies of MIN_WORDS words or more, extended line by line."""
+def brute_runs(texts, min_words=0):
+    """Texts in their order, without runs of later copies of min_words words or more, extended line by line into the
+    two chunks before and the one behind the first place."""
     lines = [brute_lines(t or "") for t in texts]
-    places = collections.defaultdict(list)
+    places, low, high = collections.defaultdict(list), {}, {}
     for d, x in enumerate(lines):
         s = brute_starts(x)
+        low |= {(d, a): s[max(j - 2, 0)] for j, a in enumerate(s)}
+        high |= {(d, b): [*s, len(x)][j + 2] if j + 2 <= len(s) else len(x) for j, b in enumerate([*s[1:], len(x)])}
         for a, c in zip(s, pieces(x, s), strict=True):
             if len(c) > 1:
                 places["".join(c)].append((d, a, a + len(c)))
@@ -87,23 +90,24 @@ def brute_runs(texts):
             n += len(re.findall(line_dedup.UNIT, k))
             sd2 = ld
         sd2 = sd if (d, a) in later and later[d, a][0] == b else sd2
-        if n < MIN_WORDS:
+        if n < min_words:
             continue
         x, y, z = a, b, 0
-        while z < line_dedup.REACH and x > 0 and sa - z > 0 and lines[d][x - 1] == lines[sd][sa - z - 1]:
+        while x > 0 and sa - z > low[sd, sa] and lines[d][x - 1] == lines[sd][sa - z - 1]:
             x, z = x - 1, z + 1
         z = 0
-        while z < line_dedup.REACH and y < len(lines[d]) and last + z < len(lines[sd2]) and lines[d][y] == lines[sd2][last + z]:
+        while y < len(lines[d]) and last + z < high[sd2, last] and lines[d][y] == lines[sd2][last + z]:
             y, z = y + 1, z + 1
         gone[d] |= {i for i in range(x, y) if (d, i) not in stay}
     return [None if t is None else "".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in enumerate(texts)]
 
 
-def test_runs_equal_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("floor", [0, 10])
+def test_runs_equal_brute_force(spark, tmp_path, floor):
     texts = [x if x is None else x[:4000] for x in TEXTS]
     texts += ["Before it. Other lines.\n" + MENU + "After it. More.\n", MENU, SHARED + MENU + PROSE, LONG[:5000], HAN + PROSE, "\u4e00" + HAN,
               "Tior, " * 90 + "End.", "Now. " + "Tior, " * 200, BARE, "A\x01b. " + SHARED, "Something else " + BARE + " and more"]
-    assert cleaned(stored(spark, tmp_path, texts)) == brute_runs(texts)
+    assert cleaned(stored(spark, tmp_path, texts), min_words=floor) == brute_runs(texts, floor)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3])
@@ -112,14 +116,14 @@ def test_passages_of_short_lines_lose_most_words(spark, tmp_path, n):
     line = [" ".join(f"w{i}x{k}" for k in range(n)) + "\n" for i in range(60 // n)]
     passage = "".join(line)
     texts = ["One start. Some words, then.\n" + passage + "An end. Of it.\n", "Another text! It has this:\n" + passage + "Done now. Bye.\n"]
-    first, second = cleaned(stored(spark, tmp_path, texts))
+    first, second = cleaned(stored(spark, tmp_path, texts), min_words=10)
     assert first == texts[0]
     assert not set(words(passage)) & set(words(second))
 
 
-def test_short_repeats_stay(spark, tmp_path):
+def test_short_repeats_stay_under_a_floor(spark, tmp_path):
     texts = ["a. b. c. d.\n" + PROSE, "Not so. a. b. c. d.\nOther words of one line"]
-    assert cleaned(stored(spark, tmp_path, texts)) == texts
+    assert cleaned(stored(spark, tmp_path, texts), min_words=10) == texts
     assert re.findall(r"\S+", texts[1])[2:6] == ["a.", "b.", "c.", "d."]
 
 
@@ -167,3 +171,26 @@ def moved(spark, plain):
         spark.conf.set("spark.sql.files.minPartitionNum", next(turns))
         return out
     return table
+
+
+def test_short_repeats_go_without_a_floor(spark, tmp_path):
+    short = "".join(f"{c}. " for c in "abcdefghijklmnop")
+    texts = ["One way. " + short + PROSE, "Not so. " + short + "Other words of one line"]
+    first, second = cleaned(stored(spark, tmp_path, texts))
+    assert first == texts[0] and second == "Not so. Other words of one line"
+
+
+def test_runs_are_extended_through_long_rows_of_single_lines(spark, tmp_path):
+    """Every common line goes, wherever in a passage the boundaries fall."""
+    texts, expect = [], []
+    for k in range(12):
+        passage = "".join(f"Common line {k} number {i}.\n" for i in range(24))
+        texts += [f"Own {k}. Here {k}.\n{passage}Its end {k}.\n", f"Different {k}! There {k}.\nMore of it {k}.\n{passage}Another end {k}.\n"]
+        expect += [texts[-2], texts[-1].replace(passage, "")]
+    assert cleaned(stored(spark, tmp_path, texts)) == expect
+
+
+def test_line_ends_are_found_in_one_search(spark):
+    texts = ["a. b\n\nc", "x.y. z.", "\n", "", "end. ", "q\u3002\uff1f r\u061f s\u061ft", ", , ,", "a.  b", "tail\n", "\u3001\u3001"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.lines_of(F.col("t"))).collect()
+    assert [r[0] for r in got] == [[x for x in re.split(line_dedup.LINE_END, t) if x] for t in texts]

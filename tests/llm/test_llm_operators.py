@@ -15,7 +15,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from regionscore.llm import line_dedup, merkle, mixing, ngram_lm, quality_model, quality_rules, secret_scan, simhash, token_count
-from regionscore.llm.line_dedup import MIN_WORDS
 from regionscore.llm.bpe import WordBpe, encode_documents
 
 WORD = r"[^\x20\x09-\x0D]+"
