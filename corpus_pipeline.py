@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take globally repeated runs of lines out of the texts; every document stays."""
-    return dedup_lines(docs).select("row.*")
+    """Take globally repeated runs of ten words or more out of the texts; every document stays, and common phrases do."""
+    return dedup_lines(docs, min_words=10).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
