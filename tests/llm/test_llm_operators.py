@@ -343,17 +343,36 @@ def brute_mix(rows, weights=(3, 1, 2), share=1.5, epochs=2):
     entries = []
     for e in range(epochs):
         for s in names:
-            for k in sorted({k for k, x in zip(key, source, strict=True) if x == s}):
-                upto = sum(z for z, x, q in zip(sizes, source, key, strict=True) if x == s and q <= k)
-                own = sum(z for z, x, q in zip(sizes, source, key, strict=True) if x == s and q == k)
-                entries.append(((e * total[s] + upto) / w[s], s, e, k, own))
-    taken, spent = collections.Counter(), 0
-    for _, s, _, k, own in sorted(entries):
-        spent += own
+            groups, sent = collections.Counter((k, z) for k, z, x in zip(key, sizes, source, strict=True) if x == s), e * total[s]
+            for (k, z), n in sorted(groups.items()):
+                for copy in range(1, n + 1) if z else [n]:
+                    entries.append(((sent + z * copy) / w[s], s, e, k, z, copy))
+                sent += z * n
+    taken, spent = {}, 0
+    for _, s, e, k, z, copy in sorted(entries):
+        spent += z
         if spent > budget:
             break
-        taken[s, k] += 1
-    return [(str(r[0]), z, total[s], target[s], taken[s, k], taken[s, k] * z) for r, z, s, k in zip(rows, sizes, source, key, strict=True)]
+        taken[s, k, z, e] = copy
+    out, seen = [], collections.Counter()
+    for r, z, s, k in zip(rows, sizes, source, key, strict=True):
+        seen[s, k, z] += 1
+        c = sum(seen[s, k, z] <= taken.get((s, k, z, e), 0) for e in range(epochs))
+        out.append((str(r[0]), z, total[s], target[s], c, c * z))
+    return out
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "own"])
+def test_mixing_takes_as_many_copies_as_fit(spark, ids):
+    """A source of equal rows comes near its target with and without ids."""
+    rows = [({"none": None, "one": 7, "own": i}[ids], "ten words " * 5 if i < 90 else f"other text {i} " * (i % 9), "en", "a" if i < 90 else f"b{i % 3}")
+            for i in range(200)] + [(None, "", "en", "a")] * 5 + [(None, None, "en", "b1")]
+    table = spark.createDataFrame([(i, t, s) for i, t, _, s in rows], "doc_id long, text string, source string").repartition(3)
+    got = [(str(r.row.doc_id), r.size, r.source_size, r.target, r.copies, r.taken) for r in mixing.mix(table).collect()]
+    assert sorted((x[:3] + x[4:]) for x in got) == sorted((x[:3] + x[4:]) for x in brute_mix(rows))
+    for source_size, target in {(x[2], x[3]) for x in got}:
+        assert abs(sum(x[5] for x in got if x[2] == source_size and x[3] == target) - target) <= 40
+    assert mixing.mixed_documents(table).count() == sum(x[4] for x in got)
 
 
 def test_mixing(spark, docs, rows, none):
