@@ -26,6 +26,9 @@ DEFAULT_MAX_CHARS = 8000
 # ---------------------------------------------------------------------------
 
 
+#: A word of a place name, and one that may begin it before any white space. The name words of ``PLACE_NAME`` are such words.
+WORD = r"(?:St\.|[A-Z][a-z]++)"
+DIRECTION = "(?:New|North|South|East|West|Upper|Lower)"
 #: Rest of a tag after its first letter: quoted values may hold ``>``.
 REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 #: A comment, an element that is not page text, a declaration, or a tag: ``<`` and a letter, ``/``, ``!`` or ``?``.
@@ -50,20 +53,27 @@ def _c(c) -> Column:
 def place_name_pattern(suffix: str = DEFAULT_SUFFIX, prefilter: bool = False) -> str:
     """Regex whose group 1 is a full place name.
 
-    ``suffix`` is a regex fragment: ``"County"`` for the county extractor,
+    ``suffix`` is a regex fragment, its alternatives in a group: ``"County"`` for the county extractor,
     or a capitalised-word class to find any run of capitalised words.
-    ``prefilter`` adds a ``(?=[A-Z])`` lookahead (Java only; every match starts
-    with a capital) so the engine rejects most positions at once; the plain
-    form is also valid RE2.
+    ``prefilter`` gives the same names in a form for Java only, whose loops give nothing back: Java keeps a stack
+    frame for each round of a loop that may, and a long run of capitalised words overflows the stack, which ends the
+    executor. From a name's start it goes to the first word that the suffix follows, and on from each to the next.
+    Where there is none, a second branch takes the run without group 1, as no later word of it can begin a name; but
+    not a last word of direction that two spaces follow, which can. So a text is read in linear time. The plain form
+    is also valid RE2.
     """
-    look = "(?=[A-Z])" if prefilter else ""
-    return rf"\b{look}{PLACE_NAME % suffix}\b"
+    if not prefilter:
+        return rf"\b{PLACE_NAME % suffix}\b"
+    end = rf"\s(?:{suffix})"
+    to_end = rf"(?:(?!{end}\b)[-'\s]{WORD})*+(?={end}\b)"
+    return (rf"(?=[A-Z])\b(?:((?:{DIRECTION}\s++)?{WORD}{to_end}(?:[-'\s]{WORD}{to_end})*+{end})\b"
+            rf"|{WORD}(?:[-'\s](?!{DIRECTION}\s\s){WORD})*+)")
 
 
 def place_names(text, suffix: str = DEFAULT_SUFFIX) -> Column:
     """Distinct, trimmed place names found in ``text`` (array<string>)."""
     found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(place_name_pattern(suffix, True)), 1)
-    return F.array_distinct(F.transform(found, lambda s: F.trim(s)))
+    return F.array_distinct(F.transform(F.filter(found, lambda s: s != ""), lambda s: F.trim(s)))
 
 
 def decode_entities(c) -> Column:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from regionscore.functions import text as TX
@@ -19,6 +22,35 @@ def test_names_single_multiple_complex_none(spark):
     assert _names(spark, "The county-level policy discussion is ongoing.") == set()
 
 
+def test_names_of_odd_texts_equal_python_re(spark):
+    """Both forms of the pattern give the same names, with suffixes that are words of a name and others."""
+    parts = ["New", "North", "St.", "San", "La", "Ada", "County", "Bar", "city", "of", "O'", "x", "A", ".", "É", "é", "_", "7"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", "-", "'", "\n", ""]) for _ in range(rng.randint(1, 14)))
+             for _ in range(4000)]
+    texts += ["New  County", "Ada New  Bar County", "New  New  Ada County x", "Ada County Bar Ada", "St.Ada County",
+              "Ada city Bar city", "Ada County Board Bar County Boards", "Ada-County Bar 'County"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for suffix in ["County", "[A-Z][a-z]+", "(?:County|city)", "County Bar", r"\s*Bar"]:
+        pattern = re.compile(TX.place_name_pattern(suffix))
+        got = {r.i: r.n for r in df.select("i", TX.place_names("t", suffix).alias("n")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == list(dict.fromkeys(m.group(1).strip(" ") for m in pattern.finditer(t))), (suffix, t)
+
+
+def test_names_of_long_runs(spark):
+    """A run of any length takes no stack and linear time: without a name, with one at its start, with one at its end."""
+    run = "Alpha " * 200_000
+    texts = [run, "Ada County " + run, run + "County", "New  " + run, "Ada  New  " * 50_000, "Alpha-Beta'" * 100_000, "A" + "a" * 1_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", TX.place_names("t").alias("n")).collect()}
+    assert got == {0: [], 1: ["Ada County"], 2: [run + "County"], 3: [], 4: [], 5: [], 6: []}
+    words = df.where("i < 2").select("i", TX.place_names("t", "[A-Z][a-z]+").alias("n")).collect()
+    assert {r.i: r.n for r in words} == {0: [run.strip()], 1: ["Ada County " + run.strip()]}
+    verdicts = E.rule_verdicts(df, "t", ["i"], ["County"], ["Ada"], ["Alpha"]).collect()
+    assert {r.i: r.mentioned_county for r in verdicts if r.mentioned_county} == {1: "Ada County", 2: run + "County"}
+
+
 def test_evidence_rows_and_counts(spark):
     items = spark.createDataFrame([
         ("q1", "Prince William County news", "Prince William County votes", "u1"),
