@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from regionscore.operators import profile as P
@@ -65,17 +67,36 @@ _WIDE_SQL = ", ".join(f"CASE WHEN l_orderkey % {i % 13 + 3} <> 0 THEN CAST((CAST
                       for i in range(_WIDE))
 
 
+def wide_values(wide: int = _WIDE):
+    """A function that gives the columns of ``_WIDE_SQL``, a row each, of a batch with order, part, line and quantity; NaN
+    is null. It goes to the tasks by value, so that they need no package."""
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        order, part, line, quantity = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns)
+        known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+        gone = [~(known & (order % m != 0)) for m in range(3, 16)]
+        most = [np.abs(c, dtype=float).max(initial=0) for c in (part, line, quantity)]
+        if most[0] + wide * (most[1] + most[2]) >= 2 ** 63:
+            raise OverflowError("a column of corr_wide passes 64 bits")
+        out = np.empty((wide, len(order)))
+        for i in range(wide):
+            x = quantity * (i + 1) + part + line * i
+            # numpy divides by one number faster than it takes remainders; SQL's remainder has the sign of x
+            out[i] = x - x // (i + 7) * (i + 7) if x.min(initial=0) >= 0 else np.fmod(x, i + 7)
+            out[i][gone[i % 13]] = np.nan
+        return out
+
+    return values
+
+
 @query("corr_wide", f"""
 WITH w AS (SELECT {_WIDE_SQL} FROM lineitem),
 c AS (SELECT [{', '.join(f'corr(x{i}, x{j})' for i in range(_WIDE) for j in range(i + 1, _WIDE))}] AS r FROM w),
 p AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS pos FROM (SELECT unnest(range({_WIDE})) AS i), (SELECT unnest(range({_WIDE})) AS j) WHERE i < j)
 SELECT 'x' || i AS col_a, 'x' || j AS col_b, round(r[pos], 6) + 0.0::DOUBLE AS corr FROM p, c""")
 def corr_wide(spark, d):
-    """All 19,900 correlations of 200 columns, each with its own missing rows."""
-    x = [f"if(l_orderkey % {k % 13 + 3} <> 0, cast((cast(l_quantity as long) * {k + 1} + l_partkey + l_linenumber * {k}) % {k + 7} as double), null) as x{k}"
-         for k in range(_WIDE)]
-    wide = Tables(spark, d).lineitem.selectExpr(*x)
-    return P.corr_long(wide, [f"x{k}" for k in range(_WIDE)]).select("col_a", "col_b", (_r("corr") + 0.0).alias("corr"))
+    """All 19,900 correlations of 200 columns, each with its own missing rows. Tasks derive the columns."""
+    base = Tables(spark, d).lineitem.selectExpr("l_orderkey", "l_partkey", "cast(l_linenumber as long)", "cast(l_quantity as long)")
+    return P.corr_long(base, [f"x{k}" for k in range(_WIDE)], wide_values()).select("col_a", "col_b", (_r("corr") + 0.0).alias("corr"))
 
 
 @query("corr_top_pairs", f"""WITH {_FEAT_SQL}, c AS (

@@ -4,13 +4,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from regionscore.operators import glm
 from regionscore.operators import model as MD
-from regionscore.operators.correlation import corr_long
+from regionscore.operators.correlation import corr_long, pair_sums
 
 
 def test_correlations_equal_pandas(spark):
@@ -42,6 +43,61 @@ def test_correlations_equal_pandas(spark):
     assert all(r["corr"] is None for r in corr_long(df.limit(0), ["c0", "c1"]).collect())
 
 
+def test_wide_columns_equal_their_expressions(spark):
+    """The columns that tasks derive for corr_wide are those of its SQL, with nulls, negative and zero numbers."""
+    import duckdb
+    from regionscore.plans import catalog_profile as cp
+    rows = [(o, p, n, q) for o in (0, 60, 77, -13, None) for p in (-200, 0, 9 ** 12, None) for n in (1, -7, None) for q in (50, -3, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
+    numbers = pa.Table.from_batches([batch])  # noqa: F841
+    expect = duckdb.sql(f"SELECT {cp._WIDE_SQL} FROM numbers").fetchall()
+    got = cp.wide_values()(batch).T
+    assert [[None if math.isnan(x) else x for x in r] for r in got] == [list(r) for r in expect]
+    assert cp.wide_values()(batch.slice(0, 0)).shape == (200, 0)
+    with pytest.raises(OverflowError):
+        cp.wide_values()(pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (1, 1, 1, 2 ** 62)], batch.schema.names))
+
+
+def test_corr_wide_sends_its_base_columns_only(spark, monkeypatch):
+    """Hundreds of columns do not pass from Spark to Arrow: the tasks that multiply read four."""
+    import __spark_entry__ as E
+    from pyspark.sql.classic.dataframe import DataFrame
+    sent, map_in_arrow = [], DataFrame.mapInArrow
+
+    def noted(self, *args, **kwargs):
+        sent.append(len(self.columns))
+        return map_in_arrow(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noted)
+    E.queries()["corr_wide"](spark, "/root/testdata/sf0.001")
+    assert sent == [4, 4]
+
+
+def test_derived_columns_equal_given_ones(spark):
+    """Columns with common and with own missing rows, derived or given, have the same sums."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 6)) + [0, 5, 1e6, 0, 0, 0]
+    x[::3, :2] = np.nan
+    x[1::4, 2] = np.nan
+    x[:, 5] = np.nan
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names)).repartition(3)
+
+    def same(batch):
+        return np.vstack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+    key = ["a", "b"]
+    given = pair_sums(df, names).toPandas().sort_values(key).reset_index(drop=True)
+    derived = pair_sums(df, names, same).toPandas().sort_values(key).reset_index(drop=True)
+    pd.testing.assert_frame_equal(given, derived, atol=1e-9)
+    z = np.where(np.isnan(x), 0, x - np.nan_to_num(np.nanmean(x[:, :5], axis=0).tolist() + [0]))
+    there = (~np.isnan(x)).astype(float)
+    for r in given.itertuples():
+        assert r.n == there[:, r.a] @ there[:, r.b]
+        assert [r.sa, r.sb, r.saa, r.sbb, r.sab] == pytest.approx(
+            [z[:, r.a] @ there[:, r.b], z[:, r.b] @ there[:, r.a], z[:, r.a] ** 2 @ there[:, r.b], z[:, r.b] ** 2 @ there[:, r.a], z[:, r.a] @ z[:, r.b]], abs=1e-6)
+
+
 def test_grid_equals_separate_fits(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, [1, 50, 0.01], (900, 3)) + [0, 1000, 0]
