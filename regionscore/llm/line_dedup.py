@@ -51,13 +51,16 @@ from regionscore.llm.common import shared_table
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 LINE_END = r"(?<=\n)|(?<=[.!?,;:\u060c\u061b\u061f\u06d4] )|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
-#: The same ends as a search that looks at one class a character, ASCII first, and not at the end of a text.
-LAST = (r"[\n.!?,;:[[^\x00-\x7f]&&[\u060c\u061b\u061f\u06d4\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]]]"
+#: The same ends as a search, and not at the end of a text. ``LAST_LOW`` is for texts without characters from ``HIGH``
+#: on, the first mark beyond ASCII: Java tests its class in one step, and one of many ranges range by range.
+LAST_LOW = r"[\n.!?,;:](?:(?<=\n)| )(?!\z)"
+LAST = (r"[[^A-\u060b]&&[\n.!?,;:[[^\x00-\x7f]&&[\u060c\u061b\u061f\u06d4\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]]]]"
         r"(?:(?<![.!?,;:\u060c\u061b\u061f\u06d4])| )(?!\z)")
+HIGH = "[\u060c-\U0010ffff]"
 #: What a long line is cut into: a word and the white space after it. ``split`` would compile a pattern for each line.
-#: Visible ASCII characters are taken first, by a cheap class; no part gives characters back.
-PIECE = (rf"[!-~]*+(?:[\x20\x09-\x0D]++|[^\x20\x09-\x0D{UNSPACED}]*+(?:[\x20\x09-\x0D]++|[{UNSPACED}]))"
-         rf"|[^\x20\x09-\x0D{UNSPACED}]++")
+#: Characters below the first of ``UNSPACED`` are taken first, by a single range; no part gives characters back.
+INNER = rf"[!-\u0dff[^\x20\x09-\x0D{UNSPACED}]]*+"
+PIECE = rf"[!-\u0dff]*+(?:[\x20\x09-\x0D]++|{INNER}(?:[\x20\x09-\x0D]++|[{UNSPACED}]))|(?!\z){INNER}"
 #: Bytes. A line of over fifty words has more, and is cut between words.
 LONG_LINE = 96
 #: Stands between the lines of stored texts; texts that hold it are stored as arrays.
@@ -69,19 +72,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rolled(h: Column) -> Column:
+    """The rolling hash of a sequence with hashes ``h``, which is used more than once; equal neighbours count with their
+    place in their row."""
+    def tied(h):
+        rows = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        place = lambda rows: F.flatten(F.transform(rows, lambda s, j: F.sequence(
+            F.lit(0), F.coalesce(F.get(rows, j + 1), F.size(h)) - s - 1)))
+        return let(rows, lambda f: F.zip_with(h, place(f), lambda x, k: F.when(k == 0, x).otherwise(F.xxhash64(x, k))))
+
+    rolling = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i - 1)))
+    # null beside an equal one: only then the places in rows are worked out
+    plain = F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), F.xxhash64(x, F.get(h, i - 1))))
+    return let(plain, lambda r: F.when(F.exists(r, F.isnull), let(tied(h), rolling)).otherwise(r))
+
+
+def starts_at(r: Column, i: Column) -> Column:
+    """Whether a chunk starts at i > 0: one ends at a strict local minimum of the rolling hash. Null for i = 1."""
+    return (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i))
+
+
 def starts_of(h: Column) -> Column:
     """Where the chunks of a sequence with hashes ``h`` start. ``h`` is used more than once."""
-    def tied(rows):
-        place = F.flatten(F.transform(rows, lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get(rows, j + 1), F.size(h)) - s - 1)))
-        return F.when(F.size(rows) == F.size(h), h).otherwise(
-            F.zip_with(h, place, lambda x, k: F.when(k == 0, x).otherwise(F.xxhash64(x, k))))
+    places = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | starts_at(r, i))
+    return F.when(F.size(h) > 0, let(rolled(h), places)).otherwise(F.array().cast("array<int>"))
 
-    rows = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
-    rolling = lambda t: F.transform(t, lambda x, i: F.xxhash64(x, F.get(t, i - 1)))
-    ends = lambda r, i: (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i))
-    places = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | ((i >= 2) & ends(r, i)))
-    found = let(rows, lambda f: let(tied(f), lambda t: let(rolling(t), places)))
-    return F.when(F.size(h) > 0, found).otherwise(F.array().cast("array<int>"))
+
+def words_of(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(PIECE), F.lit(0))
 
 
 def cut_line(line: Column) -> Column:
@@ -90,23 +108,49 @@ def cut_line(line: Column) -> Column:
         end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
         return F.transform(starts, lambda s, j: F.array_join(F.slice(words, s + 1, end(j) - s), ""))
 
-    return let(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), lambda w: let(
+    return let(words_of(line), lambda w: let(
         F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(starts_of(h), lambda s: joined(w, s))))
 
 
-def lines_of(text: Column) -> Column:
-    """Lines with their separators; none is empty (the end of a text that ends a line would be), so that equal chunks
-    are equal arrays."""
-    lines = F.when(text == "", F.array().cast("array<string>")).when(
-        F.contains(text, F.lit(MARK)), F.filter(F.split(text, LINE_END), lambda x: x != "")).otherwise(
-        F.split(F.regexp_replace(text, LAST, "$0" + MARK), MARK))
+def mark_line(line: Column) -> Column:
+    """The same, with marks between them."""
+    marked = lambda words, r: F.array_join(F.transform(words, lambda x, i: F.when(
+        starts_at(r, i), F.concat(F.lit(MARK), x)).otherwise(x)), "")
+    return let(words_of(line), lambda w: let(
+        F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(rolled(h), lambda r: marked(w, r))))
+
+
+def is_odd(text: Column) -> Column:
+    return F.contains(text, F.lit(MARK))
+
+
+def marked_lines(text: Column) -> Column:
+    """Lines with their separators, marks between them; none is empty (the end of a text that ends a line would be), so
+    that equal chunks are equal arrays. For texts that hold no mark."""
+    low = (F.octet_length(text) == F.length(text)) | ~F.regexp_like(text, F.lit(HIGH))
+    ends = F.when(low, F.regexp_replace(text, LAST_LOW, "$0" + MARK)).otherwise(F.regexp_replace(text, LAST, "$0" + MARK))
+    lines = F.split(ends, MARK)
+    return F.array_join(F.transform(lines, lambda x: F.when(F.octet_length(x) > LONG_LINE, mark_line(x)).otherwise(x)), MARK)
+
+
+def odd_lines(text: Column) -> Column:
+    """The same lines as an array, for any text."""
+    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
     return F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) > LONG_LINE, cut_line(x)).otherwise(F.array(x))))
 
 
+def unmarked(marked: Column) -> Column:
+    return F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(marked, MARK))
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of any text."""
+    return F.when(is_odd(text), odd_lines(text)).otherwise(let(marked_lines(text), unmarked))
+
+
 def with_lines(rows: DataFrame) -> DataFrame:
     """``rows`` with lines, from marked or odd. Called after a shuffle, since arrays are larger than texts."""
-    none = F.array().cast("array<string>")
-    return rows.withColumn("lines", F.coalesce("odd", F.when(F.col("marked") == "", none).otherwise(F.split("marked", MARK))))
+    return rows.withColumn("lines", F.coalesce("odd", unmarked(F.col("marked"))))
 
 
 def chunked(rows: DataFrame, lines: Column) -> DataFrame:
@@ -122,10 +166,12 @@ def chunked(rows: DataFrame, lines: Column) -> DataFrame:
            .withColumn("starts", starts_of(F.col("h"))))
     end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("h"))
     length = lambda s, j: end(j) - s
+    # slice would copy all of h for each chunk here, as it isn't in generated code
+    own = lambda s, j: F.transform(F.sequence(s, end(j) - 1), lambda i: F.get("h", i))
     return out.withColumn("chunks", F.transform("starts", lambda s, j: F.struct(
         s.alias("start"), length(s, j).alias("len"), (s - F.get("starts", F.greatest(j - 2, F.lit(0)))).alias("back"),
         (end(j + 1) - end(j)).alias("ahead"),
-        F.xxhash64(F.slice("h", s + 1, length(s, j)), length(s, j)).alias("hash"))))
+        F.xxhash64(own(s, j), length(s, j)).alias("hash"))))
 
 
 def extended(span: Column) -> Column:
@@ -145,17 +191,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 0, text: str = "text", doc_id:
                 n_chars: str | None = "n_chars") -> DataFrame:
     """One row per row of ``docs``: row (a struct of its columns, text cleaned), lines_removed, words_removed."""
     others = [F.lit(None).cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    odd = F.contains("text", F.lit(MARK))
-    rows = shared_table(
+    whole, odd = F.col("text"), is_odd(F.col("text"))
+    numbered = (
         docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("rid"))
-        .withColumn("lines", lines_of(F.col("text")))
-        .select("row", "rid", F.when(~odd, F.array_join("lines", MARK)).alias("marked"), F.when(odd, F.col("lines")).alias("odd")),
-        "rows", "zstd")
-    # explode_outer: for explode, the optimizer would push a filter on size(chunks), all of it inlined, below the arrays
-    skinny = shared_table(
-        chunked(with_lines(rows.select("rid", "marked", "odd")), F.col("lines"))
-        .select("rid", F.explode_outer("chunks").alias("c"))
-        .filter("c.len >= 2").select("rid", "c.*"), "chunks", "zstd")
+        .select("row", "rid", F.when(~odd, marked_lines(whole)).alias("marked"), F.when(odd, odd_lines(whole)).alias("odd")))
+    rows = shared_table(chunked(with_lines(numbered), F.col("lines")).select("row", "rid", "marked", "odd", "chunks"), "rows", "zstd")
+    skinny = rows.select("rid", F.explode("chunks").alias("c")).filter("c.len >= 2").select("rid", "c.*")
     # a table of its own: the join then has a plain exchange on both sides, whose hot hashes Spark splits
     repeated = shared_table(skinny.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
     proposed = shared_table(skinny.join(repeated, "hash"), "repeats", "zstd")
@@ -165,15 +206,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 0, text: str = "text", doc_id:
     per_row = proposed.groupBy("rid").agg(F.collect_list(F.struct(*place, "hash")).alias("cs"))
     texts = (with_lines(rows.select(F.col("row")[doc_id].alias("doc"), "rid", "marked", "odd").join(per_row, "rid"))
              .withColumn("c", F.explode("cs"))
-             .select("doc", "rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk"))
-             .withColumn("words", F.regexp_count("chunk", F.lit(UNIT))))
+             .select("doc", "rid", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.len")), "").alias("chunk")))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid", "start", "back", "ahead")).alias("first")
-    same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.first("words").alias("words"), first)
+    same = (texts.groupBy("hash", "chunk").agg(F.count("*").alias("n"), first)
             .withColumn("texts", F.count("*").over(Window.partitionBy("hash"))))
-    same = shared_table(same.filter("n > 1"), "classes")
+    words = F.regexp_count("chunk", F.lit(UNIT)) if min_words > 0 else F.lit(0)  # no floor asks for none
+    same = shared_table(same.filter("n > 1").withColumn("words", words), "classes")
     # nearly always one text has the hash, and the hash tells the class; else the text does
     alone = proposed.join(same.filter("texts = 1").select("hash", "words", "first"), "hash")
-    shared = same.filter("texts > 1").select("hash", "chunk", "first")
+    shared = same.filter("texts > 1").select("hash", "chunk", "words", "first")
     copies = alone.select("rid", "start", "len", "words", "first")
     if not shared.isEmpty():
         copies = copies.union(texts.join(shared, ["hash", "chunk"]).select("rid", "start", "len", "words", "first"))
@@ -202,12 +243,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 0, text: str = "text", doc_id:
              .filter(F.exists("spans", lambda x: x.side != 0)))
 
     places = lambda picked, of: F.flatten(F.transform(F.filter("spans", picked), of))
-    joined = (with_lines(rows.join(drops, "rid", "left"))
+    # texts that lose nothing are not split into lines again
+    joined = (rows.drop("chunks").join(drops, "rid", "left")
+              .withColumn("lines", F.when(F.col("spans").isNotNull(), F.coalesce("odd", unmarked(F.col("marked")))))
               .withColumn("gone", F.array_except(places(lambda x: x.side != 0, extended),
                                                  places(lambda x: x.side == 0, lambda x: F.sequence(x.start, x.end - 1)))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),
                        lambda i: F.get("lines", i))
-    cleaned = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "")
+    whole = F.coalesce(F.array_join("odd", ""), F.replace("marked", F.lit(MARK), F.lit("")))
+    cleaned = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(kept, ""))
     removed = F.coalesce(F.size("gone"), F.lit(0))
     out = joined.select("row", F.when(F.col("gone").isNull(), 0).otherwise(removed).alias("lines_removed"),
                         cleaned.alias("cleaned"))

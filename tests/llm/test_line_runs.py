@@ -194,3 +194,31 @@ def test_line_ends_are_found_in_one_search(spark):
     texts = ["a. b\n\nc", "x.y. z.", "\n", "", "end. ", "q\u3002\uff1f r\u061f s\u061ft", ", , ,", "a.  b", "tail\n", "\u3001\u3001"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.lines_of(F.col("t"))).collect()
     assert [r[0] for r in got] == [[x for x in re.split(line_dedup.LINE_END, t) if x] for t in texts]
+
+
+def test_long_lines_are_cut_alike_with_marks_and_as_arrays(spark):
+    lines = [BARE, HAN, "Tior " * 90, "a  b\t\tc " * 40, " lead " + BARE, HAN[:40] + " " + HAN[40:] + "\n", "\u2014dash\u2014 \uac00\uac01 \u00e9t\u00e9 " * 30, "x" * 200]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select(
+        line_dedup.cut_line(F.col("t")), F.split(line_dedup.mark_line(F.col("t")), line_dedup.MARK)).collect()
+    for t, (a, b) in zip(lines, got, strict=True):
+        parts = [x for x in re.split(SPLIT, t) if x]
+        assert a == b == ["".join(x) for x in pieces(parts, brute_starts(parts))]
+
+
+def test_chunks_are_hashed_without_a_copy_of_all_lines_each(spark, tmp_path):
+    """In a lambda, slice copies the whole array for each chunk, so that time grows with the square of a text's lines."""
+    docs = stored(spark, tmp_path, TEXTS).select(line_dedup.lines_of(F.col("text")).alias("lines"))
+    plan = line_dedup.chunked(docs, F.col("lines"))._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "hash, xxhash64(slice(" not in plan
+
+
+def test_words_are_counted_for_a_floor_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "UNIT", "[")  # no pattern: raises where it is used
+    texts = ["One. Two. Three. " + SHARED, "Four. Five. " + SHARED]
+    assert cleaned(stored(spark, tmp_path, texts)) == brute_runs_without_words(texts)
+
+
+def brute_runs_without_words(texts):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(line_dedup, "UNIT", "x")
+        return brute_runs(texts)
